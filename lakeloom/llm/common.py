@@ -74,12 +74,16 @@ def buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: White space and all other ASCII characters but letters and digits.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_bounds(data: np.ndarray, off: np.ndarray, white: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of all words, and for each row (and one past) its first word's index."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(off), np.int64)
-    white = _WHITE[data]
+    white = white[data]
     before = np.empty(len(data), bool)
     before[0], before[1:] = True, white[:-1]
     after = np.empty(len(data), bool)

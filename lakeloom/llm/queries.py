@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing, secret_scan
+from . import covertree, language, mixing, onebit, pieces, secret_scan, toxicity
 
 QUERIES = {
+    "op2_onebit": onebit.op2_onebit,
     "op3_secrets": secret_scan.op3_secrets,
+    "op4_covertree": covertree.op4_covertree,
+    "op5_language": language.op5_language,
+    "op6_pieces": pieces.op6_pieces,
     "op8_mixing": mixing.op8_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {
     "op3_secrets": secret_scan.SQL,
+    "op4_covertree": covertree.SQL,
     "op8_mixing": mixing.SQL,
 }
