@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import covertree, language, mixing, onebit, pieces, secret_scan, toxicity
+from . import covertree, language, mixing, onebit, pieces, pii, secret_scan, toxicity
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
     "op2_onebit": onebit.op2_onebit,
     "op3_secrets": secret_scan.op3_secrets,
     "op4_covertree": covertree.op4_covertree,
