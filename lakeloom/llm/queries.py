@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, language, mixing, onebit, pieces, pii, secret_scan, toxicity
+from . import covertree, language, mixing, neardup, onebit, pieces, pii, secret_scan, substrings, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -11,8 +11,10 @@ QUERIES = {
     "op4_covertree": covertree.op4_covertree,
     "op5_language": language.op5_language,
     "op6_pieces": pieces.op6_pieces,
+    "op7_substrings": substrings.op7_substrings,
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_neardup": neardup.op10_neardup,
 }
 SQL = {
     "op3_secrets": secret_scan.SQL,
