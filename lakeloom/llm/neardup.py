@@ -6,15 +6,16 @@
    that two sets meet in is headed by all retained values of one residue class: single values would make long lists of
    the passages that many documents share.  Sets of 0.85 similarity agree in a residue class with probability
    0.85**DEPTH = 0.44 or more, so they miss each other in all with less than 1e-10; sets of 0.2 meet in one of 75 cases.
-3. Candidates of a list are pairs with its least and its greatest member, so their number is that of the members.
-   Estimates from the bottom-k of the union of two sketches drop those below the limit by more than five standard
-   deviations; exact similarity of the full sets decides the others.
-4. Lists whose members are now all connected are done.  In the others each pair of members of different components is
-   estimated and verified too, so no link is lost; a list of one large group never becomes all its pairs.
+3. A class is compared with one leader, the class that is least in most of its lists: an estimate from the bottom-k of
+   the union of the two sketches drops pairs more than five standard deviations below the limit, the exact similarity
+   of the full sets decides the others.  That is one pair a class, however large a group is.
+4. Lists whose members are now all connected are done.  What the other lists hold together is a cluster: its classes
+   meet in tasks of at most two blocks of BLOCK classes, which compare full sets exactly and give one link for each
+   two components that they join.  So no link is lost, and no task writes all pairs of a group.
 5. Components by rounds of least labels with pointer jumping.
 
-Scale: texts are never shuffled.  Lists are shuffled as (key, class) pairs.  Full sets are built, in a second pass over
-the texts, only for classes that share a list; which these are goes to the tasks as a bitmap of bounded size, so a
+Scale: texts are never shuffled.  Lists are shuffled once as (key, class) pairs.  Full sets are built, in a second pass
+over the texts, only for classes that share a list; which these are goes to the tasks as a bitmap of bounded size, so a
 false hit costs time only.  Joins on hot keys are plain equi-joins, which adaptive execution splits.  All stages that
 others build on are written to the shared folder.
 """
@@ -22,6 +23,7 @@ others build on are written to the shared folder.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +35,8 @@ GROUPS, DEPTH, SKETCH = 40, 5, 128
 #: Of a sketch's estimate: five standard deviations at the limit.
 SLACK = 5 * (LIMIT * (1 - LIMIT) / SKETCH) ** 0.5
 BITMAP_BITS = 1 << 24
+#: Classes of a cluster that one side of a comparison holds.
+BLOCK = 2000
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +116,7 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
 
 
 def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sig, n, sketch, shingles of the wanted classes, each once, from a second pass over the texts."""
+    """sig, leader, n, shingles of the wanted classes, each once, from a second pass over the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches):
@@ -129,27 +133,76 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 kept = [sets[at[k] : at[k + 1]] for k in out]
-                kind = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([sigs[k] for k in out], pa.binary()), pa.array([len(x) for x in kept], pa.int64()), pa.array([x[:SKETCH] for x in kept], kind), pa.array(kept, kind)],
-                    names=["sig", "n", "sketch", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([sigs[k] for k in out], pa.binary()), pa.array([len(x) for x in kept], pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["sig", "n", "shingles"])
+
+    full = docs.select("text").mapInArrow(run, "sig binary, n long, shingles array<long>")
+    return full.join(wanted, "sig").dropDuplicates(["sig"])
+
+
+def _leader_links(sets: DataFrame, limit: float) -> DataFrame:
+    """(a, b) of classes and their leaders that are as similar as the limit."""
+    first = sets.where("sig <> leader").select(F.col("sig").alias("a"), F.col("leader").alias("b"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
+    second = sets.join(sets.select(F.col("leader").alias("sig")).distinct(), "sig", "left_semi").select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    both = first.join(second, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * limit))
+    ka, kb = F.slice("sa", 1, SKETCH), F.slice("sb", 1, SKETCH)
+    union = F.slice(F.array_sort(F.array_union(ka, kb)), 1, SKETCH)
+    shared = F.size(F.array_intersect(F.array_intersect(union, ka), kb))
+    exact = F.size(F.array_intersect("sa", "sb"))
+    near = shared >= (limit - SLACK) * F.size(union)
+    return both.where(F.when(near, exact * 100 >= (F.col("na") + F.col("nb") - exact) * round(100 * limit)).otherwise(False)).select("a", "b")
+
+
+def joining_links(sets: list[np.ndarray], labels: list, limit: float) -> list[tuple[int, int]]:
+    """Index pairs of similar sets of different labels, one for each two components that are joined."""
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, word, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[word] > 1
+    owner, word = owner[shared], np.unique(word[shared], return_inverse=True)[1]
+    order = np.argsort(word, kind="stable")
+    owner, word = owner[order], word[order]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    width = 4096
+    for lo in range(0, int(word[-1]) + 1 if len(word) else 0, width):
+        a, b = np.searchsorted(word, [lo, lo + width])
+        x = np.zeros((len(sets), width), np.float32)
+        x[owner[a:b], word[a:b] - lo] = 1
+        both += x @ x.T
+    near = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * round(100 * limit)
+    names = {x: k for k, x in enumerate(dict.fromkeys(labels))}
+    root = list(range(len(names)))
+    mine = [names[x] for x in labels]
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
+        x, y = find(mine[i]), find(mine[j])
+        if x != y:
+            root[x] = y
+            out.append((int(i), int(j)))
+    return out
+
 
-    full = docs.select("text").mapInArrow(run, "sig binary, n long, sketch array<long>, shingles array<long>")
-    return full.join(wanted, "sig", "left_semi").dropDuplicates(["sig"])
+def _cluster_links(sets: DataFrame, clusters: DataFrame, limit: float) -> DataFrame:
+    """(a, b) that join components inside clusters (sig, cluster, label)."""
+    parts = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    block = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
+    split = clusters.join(parts, "cluster").withColumn("block", block)
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
+    rows = sets.select("sig", "shingles").join(split.select("sig", "cluster", "label", F.explode(meets).alias("m")), "sig")
 
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        sigs = group["sig"].tolist()
+        pairs = joining_links(group["shingles"].tolist(), group["label"].tolist(), limit) if len(group) > 1 else []
+        return pd.DataFrame({"a": [sigs[i] for i, _ in pairs], "b": [sigs[j] for _, j in pairs]})
 
-def _links(pairs: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
-    """The pairs (a, b) of classes that are as similar as the limit: by estimate, then exactly."""
-    small = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-    full = lambda x: sets.select(F.col("sig").alias(x), F.col("n").alias(f"n{x}"), F.col("shingles").alias(f"s{x}"))
-    near = pairs.join(small("a"), "a").where(F.col("na") > 0).join(small("b"), "b")
-    sizes = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(100 * limit)
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(union, "sa"), "sb"))
-    near = near.where(sizes).where(shared >= (limit - SLACK) * F.size(union)).select("a", "b")
-    both = near.join(full("a"), "a").join(full("b"), "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
-    return both.where(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * round(100 * limit)).select("a", "b", "both")
+    keyed = rows.select("cluster", "m.x", "m.y", "sig", "label", "shingles")
+    return keyed.groupBy("cluster", "x", "y").applyInPandas(compare, "a binary, b binary")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -167,41 +220,36 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id, kept of each row of docs.
+    """doc_id, n_shingles, component_id, kept of each row of docs.
 
-    n_links counts the row's links to documents of other texts' sets that were confirmed (at least one where there is
-    any); component_id is the least doc_id reachable.  Null and empty texts have no shingles, no links, and are their
-    own component.  Copies and repeated rows share a component; kept is true for each row whose doc_id is the
+    component_id is the least doc_id reachable over links.  Null and empty texts have no shingles, no links, and are
+    their own component.  Copies and repeated rows share a component; kept is true for each row whose doc_id is the
     component's.  Null doc_ids are never a component's id unless all of it are null; then kept is true.  An empty table
     gives an empty one.  Only doc_id and text are read.
     """
     docs = docs.select("doc_id", "text")
     classes = written(_classes(docs), "neardup-classes")
-    lists = classes.where("n > 0").select("sig", F.explode("keys").alias("key")).distinct()
-    ends = lists.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high")
-    members = written(lists.join(ends, "key"), "neardup-lists")
-    wanted = members.select("sig").distinct()
+    lists = classes.where("n > 0").select("sig", F.explode("keys").alias("key")).repartition(F.col("key"))
+    ends = lists.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key", "low")
+    members = written(lists.join(ends, "key").distinct(), "neardup-lists")
+    votes = members.groupBy("sig", "low").agg(F.count("*").alias("votes"))
+    leaders = votes.groupBy("sig").agg(F.max_by("low", F.struct("votes", "low")).alias("leader"))
+    wanted = written(leaders, "neardup-wanted")
     sets = written(_wanted_sets(docs, wanted), "neardup-sets")
-    apart = lambda x, y: F.when(F.col(x) < F.col(y), F.struct(F.col(x).alias("a"), F.col(y).alias("b")))
-    stars = members.select(F.explode(F.array(apart("low", "sig"), apart("sig", "high"))).alias("p")).where("p IS NOT NULL").select("p.a", "p.b").distinct()
-    stars = written(stars, "neardup-stars")
-    first = written(_links(stars, sets, limit), "neardup-links")
+    first = written(_leader_links(sets, limit), "neardup-links")
     labels = components(first)
-    labelled = members.select("key", "sig").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    open_lists = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = written(labelled.join(open_lists, "key"), "neardup-open")
-    left, right = rest.select("key", F.col("sig").alias("a"), F.col("label").alias("la")), rest.select("key", F.col("sig").alias("b"), F.col("label").alias("lb"))
-    crossing = left.join(right, "key").where("a < b AND la <> lb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    second = written(_links(crossing, sets, limit), "neardup-more")
-    links = first.unionByName(second)
-    labels = components(links, "neardup-components")
-    degree = links.select(F.explode(F.array("a", "b")).alias("sig")).groupBy("sig").agg(F.count("*").alias("n_links"))
-    known = labels.join(degree, "sig")
-    rows = classes.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(known, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    labelled = members.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    still = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    rest = written(labelled.join(still, "key").select("sig", "low", "label").distinct(), "neardup-open")
+    clusters = components(rest.where("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b")), "neardup-clusters")
+    clusters = clusters.withColumnRenamed("label", "cluster").join(rest.select("sig", "label").distinct(), "sig")
+    second = written(_cluster_links(sets, clusters, limit), "neardup-more")
+    labels = components(first.unionByName(second), "neardup-components")
+    rows = classes.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = rows.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "label", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def keep_one(docs: DataFrame, limit: float = LIMIT) -> DataFrame:

@@ -48,8 +48,9 @@ def corpus(seed):
     return rows + rows[:3]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(1, 2000), (2, 3)])
+def test_equals_brute_force(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, b"x", "z") for r in rows], "doc_id long, text string, sig binary, label string").repartition(3)
     found = neardup.near_duplicates(docs).collect()
