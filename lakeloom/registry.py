@@ -4,5 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
+from lakeloom.operators import content, operations, relational, retrieval, versioning
+
+_MODULES = (relational, retrieval, operations, versioning, content)
+QUERIES: dict[str, Callable] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {k: f for m in _MODULES for k, f in m.SQL.items()}
