@@ -38,7 +38,7 @@ def SC17_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("html", noise, " "), "<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("body"))
 
 
-@query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=""?([^"" >]+)', 1))) AS link FROM pages".replace('""', '"'))
+@query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\x22?([^\x22 >]+)', 1))) AS link FROM pages")
 def SC5_links(spark, d):
     links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="?([^" >]+)'), F.lit(1)))
     return table(spark, d, "pages").select("page_id", F.explode(links).alias("link"))
@@ -77,7 +77,7 @@ def SF10_regex_extract(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}")).cast("long").alias("dates"), F.regexp_extract("text", "([A-Za-z0-9._]+)@", 1).alias("user_"))
 
 
-@query("SELECT event_id, epoch_ms(ts) AS ms, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS local FROM events")
+@query("SELECT event_id, epoch_us(ts) // 1000 AS ms, strftime(ts + INTERVAL 8 HOUR, '%Y-%m-%d %H:%M') AS local FROM events")
 def SF12_epoch(spark, d):
     return table(spark, d, "events").select("event_id", F.unix_millis("ts").alias("ms"), F.date_format(F.from_utc_timestamp("ts", "Asia/Shanghai"), "yyyy-MM-dd HH:mm").alias("local"))
 
