@@ -1,0 +1,158 @@
+"""Small tables with nulls, empty and long texts, ties, repeats and clashing columns for the operators without a file of their own."""
+
+import re
+
+import numpy as np
+import pytest
+
+from lakeloom.llm import covertree, language, mixing, onebit, pieces, secret_scan, toxicity
+
+
+def test_mixing(spark):
+    rows = [(i, "w " * (i % 9), f"s{i % 3}") for i in range(300)] + [(None, "a b", None), (7, None, "s0"), (8, "", ""), (8, "", ""), (9, "x " * 9000, "s1")]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, size int")
+    got = mixing.sample_copies(docs).collect()
+    assert len(got) == len(rows)
+    total = sum(len((t or "").split()) for _, t, _ in rows)
+    assert abs(sum({r.source: r.target for r in got}.values()) - 1.5 * total) < 1e-6
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert own[0].target <= 2 * own[0].source_size + 1e-9
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own) + 40
+    assert all(r.taken <= 2 * r.size for r in got)
+    assert sorted(map(str, got)) == sorted(map(str, mixing.sample_copies(docs.repartition(3)).collect()))
+    assert mixing.mixed(docs).columns == ["doc_id", "text", "source"] or mixing.mixed(docs).count() == sum(r.copies for r in got)
+    assert mixing.sample_copies(docs.limit(0)).count() == 0
+
+
+def test_targets_reshare_until_none_is_above():
+    sizes, weights, most = np.array([10.0, 500.0, 300.0, 5.0]), np.array([3.0, 1.0, 2.0, 3.0]), 2.0
+    left, target = 1.5 * sizes.sum(), np.zeros(4)
+    while left > 1e-9:
+        free = target < most * sizes - 1e-9
+        target[free] += left * weights[free] / weights[free].sum()
+        left = np.maximum(target - most * sizes, 0).sum()
+        target = np.minimum(target, most * sizes)
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
+    df = spark.createDataFrame([(f"s{k}", int(x)) for k, x in enumerate(sizes)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+    assert np.allclose([got[f"s{k}"] for k in range(4)], target)
+
+
+def plain_secrets(text):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if m.end() - m.start() >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if m.end() - m.start() >= 24]
+    return ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(out))
+
+
+def test_secrets(spark):
+    import hashlib
+
+    key = "aB3dE5gH7jK9mN1pQ3sT5"
+    texts = [
+        f"é token = '{key}' and {key}", "password:abc secret: token: abcdefgh", None, "", "AKIA" + "A1" * 9 + " AKIASHORT", "0123456789abcdef" * 3 + "x" + "f" * 23, f"TOKEN={key} x {key}",
+        "word " * 3000 + " api_key: zzzzzz.", f"only {key[::-1]} here",
+    ]
+    rows = [(i, t, f"o{i % 3}") for i, t in enumerate(texts)] + [(0, texts[0], "o0"), (None, texts[4], None)]
+    docs = spark.createDataFrame([(*r, "q", 1) for r in rows], "doc_id long, text string, source string, base string, kind int")
+    got = secret_scan.scan_secrets(docs).collect()
+    assert len(got) == len(rows)
+    want = sorted((str(i), hashlib.sha256(plain_secrets(t or "").encode()).hexdigest()) for i, t, _ in rows)
+    assert sorted((str(r.doc_id), r.base_sha256) for r in got) == want
+    assert [r for r in got if r.doc_id == 8][0].spans == "live:5:26"
+    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def vectors():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 16)) * rng.uniform(0.5, 2, size=(400, 1))
+    x[50], x[51] = x[40], x[40]
+    rows = [(int(i), [float(v) for v in np.float32(y)]) for i, y in enumerate(x)]
+    return rows + [(1000, None), (1001, [None] * 16), (1002, [float("nan")] * 16), (1003, [0.0] * 16), (1004, []), rows[3], (None, rows[0][1])]
+
+
+@pytest.mark.parametrize("exact", [False, True])
+def test_searches(spark, vectors, exact):
+    df = spark.createDataFrame([(*r, 1) for r in vectors], "vec_id long, embedding array<float>, score int")
+    found = (covertree.top_products if exact else onebit.nearest)(df).collect()
+    rows = [(i, np.array(v, np.float64)) for i, v in vectors if i is not None and v and None not in v and np.isfinite(v).all() and (exact or any(v))]
+    if exact:
+        rows = [(i, np.floor(64 * v)) for i, v in rows]
+    hit = total = 0
+    for q, v in rows:
+        if q % 20 == 0:
+            best = {}
+            for i, w in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), float(v @ w))
+            want = sorted(best, key=lambda i: (-best[i], i))[:20]
+            got = [r for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+            assert [r["rank"] for r in got] == list(range(1, 21))
+            if exact:
+                assert [(r.vec_id, r.score) for r in got] == [(i, int(best[i])) for i in want]
+            assert all(abs(r.score - best[r.vec_id]) < 1e-9 for r in got)
+            hit, total = hit + len(set(want) & {r.vec_id for r in got}), total + 20
+    assert hit / total >= 0.9
+    assert (covertree.top_products if exact else onebit.nearest)(df.limit(0)).count() == 0
+
+
+def test_language(spark):
+    words = {"aa": "the of and ing tion".split(), "bb": "der die und keit schön".split(), "cc": "los que ción ñ el".split()}
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k) for i, k in enumerate(list(words) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs.where("doc_id % 5 <> 0"))
+    odd = [(900, None, None), (901, "", "aa"), (902, "123 ...", "bb"), (903, "the of " * 20000, None), (None, "der die und", "aa")]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows + odd, "doc_id long, text string, lang_pred string"), model).collect()}
+    assert all(got[i].lang_pred == k for i, _, k in rows)
+    assert [got[i].lang_pred for i in (900, 901, 902, 903, None)] == ["und", "und", "und", "aa", "bb"] and got[900].lang_score == 0
+    assert language.identify(docs.limit(0), model).count() == 0
+    assert language.train(docs.limit(0)).predict(["x"])[0] == ["und"]
+
+
+def test_kneser_ney_sums_to_one():
+    rng = np.random.default_rng(2)
+    flat, doc = language.symbols(["".join(rng.choice(list("abc ")) for _ in range(400))])
+    code, _ = language.grams(flat, doc, language.ORDER)
+    model = language.KneserNey(*np.unique(code, return_counts=True))
+    context = code[10] >> np.uint64(language.SYMBOL_BITS)
+    every = (context << np.uint64(language.SYMBOL_BITS)) | np.arange(1 << language.SYMBOL_BITS, dtype=np.uint64)
+    assert abs((2 ** model.log2(every)).sum() - 1) < 1e-3
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(3)
+    plain = [f"w{k}" for k in range(300)]
+    rows, labels = [], []
+    for i in range(900):
+        bad = i % 4 == 0
+        words = list(rng.choice(plain, 40)) + (["vile", "awful"] if bad else [])
+        rows.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, int(bad)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels + [(None, 1), (5, None)], "doc_id long, toxic int")
+    odd = spark.createDataFrame([(5000, None, "z"), (5001, "", "z"), (5002, "w1 " * 30000, "z"), (None, "vile awful", "z")], "doc_id long, text string, toxicity string")
+    weights = toxicity.train(docs, known.where("doc_id % 3 <> 1 OR doc_id IS NULL"))
+    held = [r for r in toxicity.score(docs, weights).collect() if r.doc_id % 3 == 1]
+    assert sum((r.toxic_predicted == 1) == (r.doc_id % 4 == 0) for r in held) / len(held) > 0.97
+    got = {r.doc_id: r for r in toxicity.score(odd, weights).collect()}
+    assert got[5000].toxicity == got[5001].toxicity and got[5002].toxic_predicted == 0 and got[None].toxic_predicted == 1
+    assert toxicity.score(docs.limit(0), toxicity.train(docs, known.limit(0))).count() == 0
+
+
+def test_pieces_on_tables(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.default_path())
+    texts = ["a b", None, "", "x" * 20000, "a b", "é\n\t 🙂"]
+    docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")
+    got = sorted(pieces.encode_documents(docs, pieces.default_path()).collect(), key=lambda r: r.doc_id)
+    assert [r.token_ids for r in got] == [sp.encode(t or "", add_bos=True, add_eos=True) for t in texts]
+    back = pieces.decode_documents(pieces.encode_documents(docs, pieces.default_path()), pieces.default_path(), to="again").orderBy("doc_id").collect()
+    assert [r.again for r in back] == [t or "" for t in texts]
