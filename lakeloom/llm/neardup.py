@@ -2,10 +2,12 @@
 
 1. A document is its set of hashed 5-word shingles.  Documents of equal sets are one class; all that follows sees each
    class once, so copies cost nothing.
-2. Inverted lists.  A sketch retains the DEPTH least hashes of each of GROUPS residue classes of the hash.  The list
-   that two sets meet in is headed by all retained values of one residue class: single values would make long lists of
-   the passages that many documents share.  Sets of 0.85 similarity agree in a residue class with probability
-   0.85**DEPTH = 0.44 or more, so they miss each other in all with less than 1e-10; sets of 0.2 meet in one of 75 cases.
+2. Inverted lists.  A sketch retains the DEPTH least hashes of each residue class of the hash.  The list that two sets
+   meet in is headed by all retained values of one residue class: single values would make long lists of the passages
+   that many documents share.  The number of classes follows the size of the set, so that it exceeds the number of
+   values in which two linked sets can differ: they meet for certain.  From GROUPS classes on (sets of some 260
+   values) classes hold more than DEPTH values and sets of 0.85 similarity agree in one with probability 0.85**DEPTH =
+   0.38 or more, so they miss each other in all with less than 1e-9; sets of 0.2 hardly ever meet.
 3. A class is compared with one leader, the class that is least in most of its lists: an estimate from the bottom-k of
    the union of the two sketches drops pairs more than five standard deviations below the limit, the exact similarity
    of the full sets decides the others.  That is one pair a class, however large a group is.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import buffer, mix, rolling, slices, word_bounds, word_hashes, written
 
 SHINGLE, LIMIT = 5, 0.85
-GROUPS, DEPTH, SKETCH = 40, 5, 128
+GROUPS, DEPTH, SKETCH = 44, 6, 128
 #: Of a sketch's estimate: five standard deviations at the limit.
 SLACK = 5 * (LIMIT * (1 - LIMIT) / SKETCH) ** 0.5
 BITMAP_BITS = 1 << 24
@@ -59,23 +61,45 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in both]
 
 
+def _groups(level: np.ndarray) -> np.ndarray:
+    """Number of residue classes at a level of size: one more than the values that can differ, GROUPS at most.
+
+    Sets of similarity LIMIT or more in a level or the next have a union of at most LIMIT**-(level + 2) values, of which
+    a share of 1 - LIMIT at most is not common; so one class at least is untouched, unless GROUPS is the smaller number.
+    """
+    return np.minimum(GROUPS, np.floor((1 - LIMIT) * LIMIT ** -(level + 2.0)) + 2).astype(np.int64)
+
+
 def list_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the inverted lists of all sets, flat, and where each set's begin."""
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    group = (sets.view(np.uint64) % np.uint64(GROUPS)).astype(np.int64)
-    cell = owner * GROUPS + group
-    order = np.lexsort((sets, cell))
-    cell, value = cell[order], sets[order].view(np.uint64)
-    first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
-    begin = np.flatnonzero(first)
-    place = np.arange(len(cell)) - np.repeat(begin, np.diff(np.append(begin, len(cell))))
-    held = place < DEPTH
-    cell, value, place = cell[held], value[held], place[held]
-    begin = np.flatnonzero(place == 0)
-    if not len(begin):
-        return np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    keys = mix(np.add.reduceat(mix(value + place.astype(np.uint64)), begin) + (cell[begin] % GROUPS).astype(np.uint64)).view(np.int64)
-    return keys, np.searchsorted(cell[begin] // GROUPS, np.arange(len(at)))
+    """Keys of the inverted lists of all sets, flat, and where each set's begin.
+
+    A set of n values is at level floor(log n to base 1 / LIMIT); sets that can be linked are at one level or at
+    neighbours, so each set joins the lists of its level and of the next, where these have other numbers of classes.
+    """
+    n = np.diff(at)
+    level = np.floor(np.log(np.maximum(n, 1)) / -np.log(LIMIT) + 1e-9)
+    low, high = _groups(level), _groups(level + 1)
+    keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for groups, used in ((low, n > 0), (high, (n > 0) & (high != low))):
+        owner = np.repeat(np.arange(len(n)), n)
+        mine = used[owner]
+        owner, value = owner[mine], sets[mine]
+        if not len(owner):
+            continue
+        cell = owner * GROUPS + (value.view(np.uint64) % groups[owner].astype(np.uint64)).astype(np.int64)
+        order = np.lexsort((value, cell))
+        cell, value = cell[order], value[order].view(np.uint64)
+        begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        place = np.arange(len(cell)) - np.repeat(begin, np.diff(np.append(begin, len(cell))))
+        held = place < DEPTH
+        cell, value, place = cell[held], value[held], place[held]
+        begin = np.flatnonzero(place == 0)
+        own = cell[begin] // GROUPS
+        keys.append(mix(np.add.reduceat(mix(value + place.astype(np.uint64)), begin) + (cell[begin] % GROUPS + GROUPS * groups[own]).astype(np.uint64)).view(np.int64))
+        owners.append(own)
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(owners, kind="stable")
+    return keys[order], np.searchsorted(owners[order], np.arange(len(at)))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
