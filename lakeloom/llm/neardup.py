@@ -14,7 +14,7 @@
 4. Lists whose members are now all connected are done.  What the other lists hold together is a cluster: its classes
    meet in tasks of at most two blocks of BLOCK classes, which compare full sets exactly and give one link for each
    two components that they join.  So no link is lost, and no task writes all pairs of a group.
-5. Components by rounds of least labels with pointer jumping.
+5. Components by rounds of large and small stars, whose number doesn't depend on how long chains are.
 
 Scale: texts are never shuffled.  Lists are shuffled once as (key, class) pairs.  Full sets are built, in a second pass
 over the texts, only for classes that share a list; which these are goes to the tasks as a bitmap of bounded size, so a
@@ -39,6 +39,8 @@ SLACK = 5 * (LIMIT * (1 - LIMIT) / SKETCH) ** 0.5
 BITMAP_BITS = 1 << 24
 #: Classes of a cluster that one side of a comparison holds.
 BLOCK = 2000
+#: Edges that a task turns into a forest at a time.
+CHUNK = 1 << 18
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -229,18 +231,72 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, limit: float) -> DataFr
     return keyed.groupBy("cluster", "x", "y").applyInPandas(compare, "a binary, b binary")
 
 
+def forest(a: list, b: list) -> tuple[list, list]:
+    """The links as (node, least node of its component), each node that isn't the least one once."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    for x, y in zip(a, b, strict=True):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    nodes = [x for x in root if find(x) != x]
+    return nodes, [find(x) for x in nodes]
+
+
+def _forests(edges: DataFrame) -> DataFrame:
+    """(a, b) with a > b: each run of CHUNK edges in a task becomes a forest of depth one that connects the same nodes."""
+
+    def run(batches):
+        a, b = [], []
+        for batch in batches:
+            a += batch.column("a").to_pylist()
+            b += batch.column("b").to_pylist()
+            if len(a) >= CHUNK:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in forest(a, b)], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in forest(a, b)], names=["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a binary, b binary")
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Links every larger neighbour of a node to the least of the node and its neighbours."""
+    both = edges.union(edges.select("b", "a")).toDF("u", "v")
+    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Links a node and its smaller neighbours to the least of these."""
+    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    rest = edges.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return rest.union(low.select("a", "m"))
+
+
+def _unfinished(edges: DataFrame) -> DataFrame:
+    """Nodes with two parents, or with a parent and a child."""
+    ends = edges.select(F.col("a").alias("u"), F.col("b").alias("up"), F.lit(0).alias("child")).union(edges.select("b", F.lit(None).cast("binary"), F.lit(1)))
+    seen = ends.groupBy("u").agg(F.min("up").alias("x"), F.max("up").alias("y"), F.max("child").alias("child"))
+    return seen.where("x <> y OR (x IS NOT NULL AND child = 1)")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
-    """(sig, label) of each class with a link: the least class that is reachable."""
-    edges = written(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-edges")
-    labels = written(edges.groupBy(F.col("a").alias("sig")).agg(F.least(F.min("b"), F.first("a")).alias("label")), name)
-    while True:
-        near = edges.join(labels.select(F.col("sig").alias("b"), "label"), "b").groupBy(F.col("a").alias("sig")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "sig").select("sig", F.col("label").alias("old"), F.least("label", "near").alias("mid"))
-        jump = labels.select(F.col("sig").alias("mid"), F.col("label").alias("far"))
-        new = written(step.join(jump, "mid").select("sig", "old", F.least("mid", "far").alias("label")), name)
-        labels = new.select("sig", "label")
-        if new.where("old <> label").isEmpty():
-            return labels
+    """(sig, label) of each class with a link: the least class that is reachable.
+
+    Rounds of large and small stars: edges never outnumber the links, and the number of rounds grows with the logarithm
+    of the number of classes, not with the length of chains.  Before each table is written, tasks turn what edges they
+    hold into forests.
+    """
+    edges = written(_forests(links.where("a <> b")), name)
+    while not _unfinished(edges).isEmpty():
+        edges = written(_forests(_small_star(_large_star(edges))), name)
+    labels = edges.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("label"))
+    return labels.union(edges.select("b", F.col("b").alias("label")).distinct())
 
 
 def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:

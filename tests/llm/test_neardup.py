@@ -64,3 +64,22 @@ def test_equals_brute_force(spark, monkeypatch, seed, block):
 
 def test_empty(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_components_of_chains_stars_and_repeats(spark, monkeypatch):
+    import random
+
+    from lakeloom.llm import neardup
+
+    monkeypatch.setattr(neardup, "CHUNK", 3)
+    rng = random.Random(5)
+    names = [f"{k:04d}".encode() for k in rng.sample(range(10_000), 400)]
+    links = [(names[k], names[k + 1]) for k in range(199)] + [(names[200], names[k]) for k in range(201, 300)] + [(names[k], names[rng.randrange(300, 400)]) for k in range(300, 400)]
+    links += links[:20] + [(names[0], names[0])]
+    rng.shuffle(links)
+    rows = neardup.components(spark.createDataFrame(links, "a binary, b binary").repartition(7)).collect()
+    nodes, roots = neardup.forest(*map(list, zip(*links, strict=True)))
+    least = dict(zip(nodes, roots, strict=True)) | {r: r for r in roots}
+    assert {bytes(r.sig): bytes(r.label) for r in rows} == least and len(rows) == len(least)
+    assert least[names[150]] == min(names[:200]) and least[names[250]] == min(names[200:300])
+    assert neardup.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
