@@ -41,6 +41,8 @@ BITMAP_BITS = 1 << 24
 BLOCK = 2000
 #: Edges that a task turns into a forest at a time.
 CHUNK = 1 << 18
+#: Edges for each task that writes them.
+EDGES = 1 << 12
 
 
 def shingle_sets(texts: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -290,11 +292,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
     Rounds of large and small stars: edges never outnumber the links, and the number of rounds grows with the logarithm
     of the number of classes, not with the length of chains.  Before each table is written, tasks turn what edges they
-    hold into forests.
+    hold into forests; there are as many tasks as the edges need, so small partitions share one.
     """
     edges = written(_forests(links.where("a <> b")), name)
     while not _unfinished(edges).isEmpty():
-        edges = written(_forests(_small_star(_large_star(edges))), name)
+        stars = _small_star(_large_star(edges))
+        edges = written(_forests(stars.coalesce(edges.count() // EDGES + 1)), name)
     labels = edges.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("label"))
     return labels.union(edges.select("b", F.col("b").alias("label")).distinct())
 
