@@ -14,6 +14,9 @@ from lakeloom.llm import common, mixing, neardup, pieces, pii, toxicity
 #: No SQL: stages learn models from the data.
 ORACLE_SQL = None
 
+#: Similarity from which the stage links documents; 0.85 is the contract of the query op10 alone.
+NEAR = 0.8
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier doesn't reject; it learns from all documents with a label that it may see."""
@@ -22,7 +25,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,10 @@
 2. Inverted lists.  A sketch retains the DEPTH least hashes of each residue class of the hash.  The list that two sets
    meet in is headed by all retained values of one residue class: single values would make long lists of the passages
    that many documents share.  The number of classes follows the size of the set, so that it exceeds the number of
-   values in which two linked sets can differ: they meet for certain.  From GROUPS classes on (sets of some 260
-   values) classes hold more than DEPTH values and sets of 0.85 similarity agree in one with probability 0.85**DEPTH =
-   0.38 or more, so they miss each other in all with less than 1e-9; sets of 0.2 hardly ever meet.
+   values in which two linked sets can differ: they meet for certain.  From most_groups(limit) classes on
+   (sets of some 260 values) classes hold more than DEPTH values and sets at the limit agree in one with probability
+   limit**DEPTH or more (0.38 at 0.85, 0.26 at 0.8), so they miss each other in all with less than MISS; sets of 0.2
+   hardly ever meet.
 3. A class is compared with one leader, the class that is least in most of its lists: an estimate from the bottom-k of
    the union of the two sketches drops pairs more than five standard deviations below the limit, the exact similarity
    of the full sets decides the others.  That is one pair a class, however large a group is.
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from .common import buffer, mix, rolling, slices, word_bounds, word_hashes, written
 
 SHINGLE, LIMIT = 5, 0.85
-GROUPS, DEPTH, SKETCH = 44, 6, 128
-#: Of a sketch's estimate: five standard deviations at the limit.
-SLACK = 5 * (LIMIT * (1 - LIMIT) / SKETCH) ** 0.5
+DEPTH, SKETCH = 6, 128
+#: Probability that two large sets at the limit share no list.
+MISS = 1e-9
 BITMAP_BITS = 1 << 24
 #: Classes of a cluster that one side of a comparison holds.
 BLOCK = 2000
@@ -65,24 +66,31 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [x.tobytes() for x in both]
 
 
-def _groups(level: np.ndarray) -> np.ndarray:
-    """Number of residue classes at a level of size: one more than the values that can differ, GROUPS at most.
+def most_groups(limit: float) -> int:
+    """Number of residue classes of large sets: 44 at 0.85, 69 at 0.8."""
+    return int(np.ceil(np.log(MISS) / np.log(1 - limit**DEPTH)))
 
-    Sets of similarity LIMIT or more in a level or the next have a union of at most LIMIT**-(level + 2) values, of which
-    a share of 1 - LIMIT at most is not common; so one class at least is untouched, unless GROUPS is the smaller number.
+
+def _groups(level: np.ndarray, limit: float) -> np.ndarray:
+    """Number of residue classes at a level of size: two more than the values that can differ, most_groups at most.
+
+    Sets of similarity limit or more in a level or the next have a union of at most limit**-(level + 2) values, of which
+    a share of 1 - limit at most is not common; so two classes are untouched, unless most_groups is the smaller number.
     """
-    return np.minimum(GROUPS, np.floor((1 - LIMIT) * LIMIT ** -(level + 2.0)) + 2).astype(np.int64)
+    return np.minimum(most_groups(limit), np.floor((1 - limit) * limit ** -(level + 2.0)) + 2).astype(np.int64)
 
 
-def list_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def list_keys(sets: np.ndarray, at: np.ndarray, limit: float = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the inverted lists of all sets, flat, and where each set's begin.
 
-    A set of n values is at level floor(log n to base 1 / LIMIT); sets that can be linked are at one level or at
+    A set of n values is at level floor(log n to base 1 / limit); sets that can be linked are at one level or at
     neighbours, so each set joins the lists of its level and of the next, where these have other numbers of classes.
     """
+    limit = min(limit, 0.95)  # lists for a limit serve all higher ones
+    most = most_groups(limit)
     n = np.diff(at)
-    level = np.floor(np.log(np.maximum(n, 1)) / -np.log(LIMIT) + 1e-9)
-    low, high = _groups(level), _groups(level + 1)
+    level = np.floor(np.log(np.maximum(n, 1)) / -np.log(limit) + 1e-9)
+    low, high = _groups(level, limit), _groups(level + 1, limit)
     keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for groups, used in ((low, n > 0), (high, (n > 0) & (high != low))):
         owner = np.repeat(np.arange(len(n)), n)
@@ -90,7 +98,7 @@ def list_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         owner, value = owner[mine], sets[mine]
         if not len(owner):
             continue
-        cell = owner * GROUPS + (value.view(np.uint64) % groups[owner].astype(np.uint64)).astype(np.int64)
+        cell = owner * most + (value.view(np.uint64) % groups[owner].astype(np.uint64)).astype(np.int64)
         order = np.lexsort((value, cell))
         cell, value = cell[order], value[order].view(np.uint64)
         begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
@@ -98,20 +106,20 @@ def list_keys(sets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         held = place < DEPTH
         cell, value, place = cell[held], value[held], place[held]
         begin = np.flatnonzero(place == 0)
-        own = cell[begin] // GROUPS
-        keys.append(mix(np.add.reduceat(mix(value + place.astype(np.uint64)), begin) + (cell[begin] % GROUPS + GROUPS * groups[own]).astype(np.uint64)).view(np.int64))
+        own = cell[begin] // most
+        keys.append(mix(np.add.reduceat(mix(value + place.astype(np.uint64)), begin) + (cell[begin] % most + most * groups[own]).astype(np.uint64)).view(np.int64))
         owners.append(own)
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return keys[order], np.searchsorted(owners[order], np.arange(len(at)))
 
 
-def _classes(docs: DataFrame) -> DataFrame:
+def _classes(docs: DataFrame, limit: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, at = shingle_sets(part.column("text"))
-                keys, begin = list_keys(sets, at)
+                keys, begin = list_keys(sets, at, limit)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(np.diff(at)), pa.array(signatures(sets, at), pa.binary()), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(keys))],
                     names=["doc_id", "n", "sig", "keys"],
@@ -176,7 +184,8 @@ def _leader_links(sets: DataFrame, limit: float) -> DataFrame:
     union = F.slice(F.array_sort(F.array_union(ka, kb)), 1, SKETCH)
     shared = F.size(F.array_intersect(F.array_intersect(union, ka), kb))
     exact = F.size(F.array_intersect("sa", "sb"))
-    near = shared >= (limit - SLACK) * F.size(union)
+    slack = 5 * (limit * (1 - limit) / SKETCH) ** 0.5  # five standard deviations of the estimate at the limit
+    near = shared >= (limit - slack) * F.size(union)
     return both.where(F.when(near, exact * 100 >= (F.col("na") + F.col("nb") - exact) * round(100 * limit)).otherwise(False)).select("a", "b")
 
 
@@ -311,7 +320,7 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     gives an empty one.  Only doc_id and text are read.
     """
     docs = docs.select("doc_id", "text")
-    classes = written(_classes(docs), "neardup-classes")
+    classes = written(_classes(docs, limit), "neardup-classes")
     lists = classes.where("n > 0").select("sig", F.explode("keys").alias("key")).repartition(F.col("key"))
     ends = lists.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key", "low")
     members = written(lists.join(ends, "key").distinct(), "neardup-lists")

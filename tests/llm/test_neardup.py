@@ -83,3 +83,27 @@ def test_components_of_chains_stars_and_repeats(spark, monkeypatch):
     assert {bytes(r.sig): bytes(r.label) for r in rows} == least and len(rows) == len(least)
     assert least[names[150]] == min(names[:200]) and least[names[250]] == min(names[200:300])
     assert neardup.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_lower_limit_and_very_different_sizes(spark):
+    from lakeloom.llm import neardup
+
+    names = iter(range(10**6))
+    words = lambda k: [f"w{next(names)}" for _ in range(k)]
+    rows, linked = [], {}
+    for size in (10, 20, 40, 100, 300, 600):
+        for _ in range(8):
+            long = words(size + 4)  # so many shingles; the first four fifths of them are 0.8 of the whole
+            rows += [(len(rows), " ".join(long)), (len(rows) + 1, " ".join(long[: size * 4 // 5 + 4])), (len(rows) + 2, " ".join(long[: size * 4 // 5 + 3]))]
+            linked |= {len(rows) - 3 + k: len(rows) - 3 for k in range(3)}  # the third only by way of the second
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, 0.8).collect()}
+    assert {k: found[k] for k in linked} == linked
+
+
+def test_stage_takes_similarity_of_four_fifths(spark):
+    import corpus_pipeline
+
+    text = [f"w{k}" for k in range(104)]
+    docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:30], "x", *text[31:70], "y", *text[71:]]))], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]  # 90 of 110
