@@ -5,7 +5,9 @@
 2. Inverted lists.  A sketch retains the DEPTH least hashes of each residue class of the hash.  The list that two sets
    meet in is headed by all retained values of one residue class: single values would make long lists of the passages
    that many documents share.  The number of classes follows the size of the set, so that it exceeds the number of
-   values in which two linked sets can differ: they meet for certain.  From most_groups(limit) classes on
+   values in which two linked sets can differ by two.  Two classes at least are the same in both sets, then; should
+   these hold nothing, both sets have two empty classes or more.  Such sets, which are few, also join the lists of
+   their prefix, the single least values of which linked sets share one.  So linked sets meet for certain.  From most_groups(limit) classes on
    (sets of some 260 values) classes hold more than DEPTH values and sets at the limit agree in one with probability
    limit**DEPTH or more (0.38 at 0.85, 0.26 at 0.8), so they miss each other in all with less than MISS; sets of 0.2
    hardly ever meet.
@@ -37,6 +39,8 @@ SHINGLE, LIMIT = 5, 0.85
 DEPTH, SKETCH = 6, 128
 #: Probability that two large sets at the limit share no list.
 MISS = 1e-9
+#: Tells lists of single values from those of residue classes.
+PREFIX = np.uint64(0xA0761D6478BD642F)
 BITMAP_BITS = 1 << 24
 #: Classes of a cluster that one side of a comparison holds.
 BLOCK = 2000
@@ -85,13 +89,16 @@ def list_keys(sets: np.ndarray, at: np.ndarray, limit: float = LIMIT) -> tuple[n
 
     A set of n values is at level floor(log n to base 1 / limit); sets that can be linked are at one level or at
     neighbours, so each set joins the lists of its level and of the next, where these have other numbers of classes.
+    Sets with two empty classes join the lists of their n - ceil(limit n) + 1 least values too: as linked sets have
+    limit n values or more of each in common, one of these is among the least of both.
     """
-    limit = min(limit, 0.95)  # lists for a limit serve all higher ones
+    limit = min(round(100 * limit) / 100, 0.95)  # lists for a limit serve all higher ones
     most = most_groups(limit)
     n = np.diff(at)
     level = np.floor(np.log(np.maximum(n, 1)) / -np.log(limit) + 1e-9)
     low, high = _groups(level, limit), _groups(level + 1, limit)
     keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sparse = np.zeros(len(n), bool)
     for groups, used in ((low, n > 0), (high, (n > 0) & (high != low))):
         owner = np.repeat(np.arange(len(n)), n)
         mine = used[owner]
@@ -109,6 +116,12 @@ def list_keys(sets: np.ndarray, at: np.ndarray, limit: float = LIMIT) -> tuple[n
         own = cell[begin] // most
         keys.append(mix(np.add.reduceat(mix(value + place.astype(np.uint64)), begin) + (cell[begin] % most + most * groups[own]).astype(np.uint64)).view(np.int64))
         owners.append(own)
+        sparse |= used & (groups - np.bincount(own, minlength=len(n)) >= 2)
+    least = np.where(sparse, n + (-n * round(100 * limit)) // 100 + 1, 0)
+    owner = np.repeat(np.arange(len(n)), least)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(least) - least, least)
+    keys.append(mix(sets[at[owner] + place].view(np.uint64) ^ PREFIX).view(np.int64))
+    owners.append(owner)
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return keys[order], np.searchsorted(owners[order], np.arange(len(at)))

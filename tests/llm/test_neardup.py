@@ -107,3 +107,27 @@ def test_stage_takes_similarity_of_four_fifths(spark):
     text = [f"w{k}" for k in range(104)]
     docs = spark.createDataFrame([(1, " ".join(text)), (2, " ".join([*text[:30], "x", *text[31:70], "y", *text[71:]]))], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()] == [1]  # 90 of 110
+
+
+@pytest.mark.parametrize("percent", [85, 80])
+def test_linked_small_sets_share_a_list(percent):
+    import numpy as np
+
+    rng = np.random.default_rng(percent)
+    pairs = []
+    for small in range(1, 121):
+        for large in range(small, small * 100 // percent + 1):
+            least = -(-percent * (small + large) // (100 + percent))  # as little in common as the limit lets
+            for common in {least, small}:
+                pairs += [(small, large, common)] * (1000 if large <= 20 else 5)
+    sizes = np.array(pairs)
+    sets = []
+    for small, large, common in pairs:
+        values = rng.integers(-(2**63), 2**63 - 1, small + large - common)
+        sets += [np.sort(values[:small]), np.sort(values[small - common :])]
+    at = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    keys, begin = neardup.list_keys(np.concatenate(sets), at, percent / 100)
+    assert (np.diff(at) == sizes[:, :2].ravel()).all()
+    for k in range(len(pairs)):
+        a, b, c = begin[2 * k : 2 * k + 3].tolist()
+        assert set(keys[a:b].tolist()) & set(keys[b:c].tolist()), pairs[k]
