@@ -10,8 +10,9 @@ Confidence: on documents that the models did not learn from, the gap to the seco
 itself are fitted to being right by a small logistic regression; its value is the score.  A text whose score is
 below `REJECT`, or without any letter, is rejected.
 
-Scale: models learn from a bounded sample, at most `PER_LANGUAGE` documents of each language of at most `MOST_CHARS`
-characters.  Their arrays have at most as many entries as the sample has characters, for each order; that is what is
+Scale: models learn from a bounded sample, at most `PER_LANGUAGE` documents of each language, of at most
+`MOST_CHARS` characters; languages without so many fill it with pieces of that length of their longer documents.  All
+languages are learned: with more than `MOST_LANGUAGES` each has a smaller sample, so the whole keeps its bound.  Their arrays have at most as many entries as the sample has characters, for each order; that is what is
 broadcast.  Scoring is one pass without shuffle.  Within a batch equal n-grams are looked up once.
 """
 
@@ -31,7 +32,9 @@ from .common import crc_mod, slices, written
 ORDER = 4
 PER_LANGUAGE = 400
 MOST_CHARS = 8000
+#: With more languages than these, the sample of each is smaller in proportion, but of LEAST documents at least.
 MOST_LANGUAGES = 64
+LEAST = 12
 REJECT = 0.5
 SYMBOL_BITS = 15
 MASK = np.uint64((1 << SYMBOL_BITS) - 1)
@@ -172,14 +175,19 @@ class LanguageModel:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> LanguageModel:
     """Learns from text and lang of docs (rows with null in either, or without letters, are left out).
 
-    A sixth of the sample is kept from the counts and calibrates the score.
+    Documents of more than most_chars characters are taken after the others, as a piece of that length at a place that
+    their hash gives.  A sixth of the sample is kept from the counts and calibrates the score.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.length("text").between(1, most_chars)).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "lang"), F.xxhash64("text"))
-    chosen = known.select("doc_id", "lang", "text").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language)
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 1))
+    size = F.length("text")
+    start = F.when(size > most_chars, F.pmod(F.xxhash64("doc_id", "text"), size - most_chars + 1)).otherwise(0)
+    known = known.select("doc_id", "lang", F.substring("text", start.cast("int") + 1, F.lit(most_chars)).alias("text"), (size > most_chars).alias("_long"))
+    order = Window.partitionBy("lang").orderBy("_long", F.xxhash64("doc_id", "lang"), F.xxhash64("text"))
+    chosen = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).drop("_long")
     sample = written(chosen, "language-sample")
-    names = [r.lang for r in sample.select("lang").distinct().orderBy("lang").limit(MOST_LANGUAGES).collect()]
-    sample = sample.where(F.col("lang").isin(names)) if names else sample
+    names = [r.lang for r in sample.select("lang").distinct().orderBy("lang").collect()]
+    if len(names) > MOST_LANGUAGES:
+        sample = sample.where(F.col("_rank") <= max(LEAST, per_language * MOST_LANGUAGES // len(names)))
     found = count_grams(sample.where("_rank % 6 != 0")).toArrow()  # bounded by the sample's characters
     counts = {}
     for lang in names:

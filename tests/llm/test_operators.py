@@ -156,3 +156,18 @@ def test_pieces_on_tables(spark):
     assert [r.token_ids for r in got] == [sp.encode(t or "", add_bos=True, add_eos=True) for t in texts]
     back = pieces.decode_documents(pieces.encode_documents(docs, pieces.default_path()), pieces.default_path(), to="again").orderBy("doc_id").collect()
     assert [r.again for r in back] == [t or "" for t in texts]
+
+
+def test_language_learns_all_languages_and_long_documents(spark):
+    import random
+
+    from lakeloom.llm import language
+
+    rng = random.Random(3)
+    words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(70)}
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [(len(words) * k + i, text(x, 40), x) for k in range(13) for i, x in enumerate(words) if x != "l33"]
+    rows += [(10_000 + k, text("l33", 1500), "l33") for k in range(13)]  # all longer than MOST_CHARS
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.names == sorted(words)
+    assert model.predict([text(x, 20) for x in sorted(words)])[0] == sorted(words)
