@@ -9,8 +9,9 @@ The order is by size first, so the words taken come near the target as well as t
 documents each get their share.
 
 Scale: the running sum is e times a document's rank in its source.  Ranks come in two levels, for a source may hold
-a third of all rows: rows are dealt to cells (source, class of size, `CELLS` parts by hash of doc_id), only counts of
-cells are summed along a source, and ranks are taken inside a cell.  Cells are counted with partial aggregation.
+a third of all rows: rows are dealt to cells (source, class of size, parts by hash of doc_id), only counts of cells are
+summed along a source, and ranks are taken inside a cell.  The number of parts follows the number of rows, so a cell
+doesn't grow with the table.  Cells are counted with partial aggregation.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ SHARE = 1.5
 MOST = 2.0
 #: A run of characters that are neither blank nor one of the control characters that count as white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Parts of each class of size; a part is sorted by one task.
-CELLS = 64
+#: Parts of each class of size, and more of them where parts of a table would pass ROWS rows; a part is sorted by one task.
+CELLS, ROWS = 64, 1 << 20
 
 
 def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
@@ -35,7 +36,8 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple[float,
 
     Targets rise together in proportion to the weights until they meet `most` times the source's words; what a full
     source leaves goes to the others by weight.  Sorted by the level at which a source is full, the common level is
-    that of the first source at which what is left over the remaining weights doesn't exceed its own.
+    that of the first source at which what is left over the remaining weights doesn't exceed its own.  These levels
+    rise up to that source and fall after it, so it has the greatest level of those that fit.
     One row a source: this is the only step that sees all of them at once.
     """
     n = len(weights)
@@ -51,7 +53,7 @@ def source_targets(sizes: DataFrame, share: float = SHARE, weights: tuple[float,
         .withColumn("left", F.lit(share) * F.col("total") - F.coalesce(F.sum(F.lit(most) * F.col("source_size")).over(past), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(past), F.lit(0.0)))
         .withColumn("level", F.greatest(F.col("left"), F.lit(0.0)) / F.col("open"))
-        .withColumn("common", F.min(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
+        .withColumn("common", F.max(F.when(F.col("level") <= F.col("full_at"), F.col("level"))).over(every))
     )
     cap = F.lit(most) * F.col("source_size")
     # No level fits only if the share is above `most`: then every source is full.
@@ -63,8 +65,8 @@ def sample_copies(docs: DataFrame, share: float = SHARE, weights: tuple[float, .
 
     docs needs doc_id, text and source; other columns stay as they are.  Null or empty text has size 0 and takes
     part with it; null source is a source of its own, the last.  Null doc_ids rank last in their cell.  Repeated rows
-    are rows of their own, told apart by size and text only.  An empty table gives an empty one.  Columns of docs that bear one of the added names
-    are replaced.
+    are rows of their own, told apart by size and text only.  An empty table gives an empty one.  Columns of docs that
+    bear one of the added names are replaced.
     """
     mine = ("size", "source_size", "target", "copies", "taken")
     rows = docs.drop(*mine).withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
@@ -72,7 +74,9 @@ def sample_copies(docs: DataFrame, share: float = SHARE, weights: tuple[float, .
     key = F.coalesce(F.col("source"), F.lit(""))
     bits = F.length(F.bin("size"))  # class: number of bits, then the first three bits
     klass = (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("int")
-    part = F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(CELLS)).cast("int")
+    parts = max(CELLS, docs.count() // ROWS)
+    digest = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8)
+    part = F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(parts)).cast("int")
     cell = ["_has", "_source", "_class", "_part"]
     rows = rows.withColumns({"_has": has, "_source": key, "_class": klass, "_part": part})
     counts = written(rows.groupBy(cell).agg(F.count("*").alias("_n"), F.sum("size").alias("_words")), "mix-cells")
@@ -96,10 +100,16 @@ def sample_copies(docs: DataFrame, share: float = SHARE, weights: tuple[float, .
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    taken = sample_copies(docs, **how)
-    names = [F.col(f"`{c}`") for c in docs.columns if c in taken.columns]
-    return taken.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
+    """The mix itself: each document as often as it is taken, with the columns of docs.
+
+    Null, empty and repeated rows are treated as by sample_copies; an empty table gives an empty one.  Columns of docs
+    that bear a name that sample_copies adds keep their own values.
+    """
+    own = {"size", "source_size", "target", "copies", "taken"} & set(docs.columns)
+    hidden = docs.withColumnsRenamed({c: f"_own_{c}" for c in own})
+    taken = sample_copies(hidden, **how).where("copies > 0")
+    names = [F.col(f"`_own_{c}`").alias(c) if c in own else F.col(f"`{c}`") for c in docs.columns]
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*names)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
@@ -107,23 +117,32 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return sample_copies(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+#: Targets by rounds: all open sources share what the full ones leave; sources that this would fill are full in the next.
 SQL = r"""
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, coalesce(source, '') AS s, source IS NOT NULL AS has,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 c AS (SELECT *, (length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)::BIGINT))::INT AS class,
-             (((coalesce(doc_id, 0) % 64) + 64) % 64)::INT AS part FROM d),
+             (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % greatest(64, (SELECT count(*) FROM documents) // 1048576))::INT AS part FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY has, s ORDER BY class, part, doc_id NULLS LAST, size) AS rank FROM c),
 z AS (SELECT has, s, sum(size)::BIGINT AS source_size FROM d GROUP BY has, s),
-w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY NOT has, s) - 1) % 3 + 1)::INT]::DOUBLE AS weight,
-             row_number() OVER (ORDER BY NOT has, s) AS ordinal FROM z),
-f AS (SELECT *, 2.0::DOUBLE * source_size / weight AS full_at FROM w),
-l AS (SELECT *, greatest(1.5::DOUBLE * (sum(source_size) OVER ()) - coalesce(sum(2.0::DOUBLE * source_size) OVER p, 0), 0)
-                / ((sum(weight) OVER ()) - coalesce(sum(weight) OVER p, 0)) AS level
-      FROM f WINDOW p AS (ORDER BY full_at, ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-m AS (SELECT *, min(CASE WHEN level <= full_at THEN level END) OVER () AS common FROM l),
-t AS (SELECT has, s, source_size, least(2.0::DOUBLE * source_size, coalesce(weight * common, 2.0::DOUBLE * source_size)) AS target,
-             ('0x' || substr(md5('mix:' || CASE WHEN has THEN 's' ELSE 'n' END || ':' || s), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS shift FROM m),
+w AS (SELECT has, s, source_size, 2.0::DOUBLE * source_size AS cap,
+             CASE (row_number() OVER (ORDER BY has DESC, s)) % 3 WHEN 1 THEN 3.0::DOUBLE WHEN 2 THEN 1.0 ELSE 2.0 END AS weight FROM z),
+rounds AS (
+  SELECT 0 AS round, has, s, false AS full_ FROM w
+  UNION ALL
+  SELECT round + 1, has, s, full_ OR share >= cap FROM (
+    SELECT q.round, q.has, q.s, q.full_, w.cap,
+           w.weight * (1.5::DOUBLE * sum(w.source_size) OVER () - coalesce(sum(w.cap) FILTER (q.full_) OVER (), 0))
+             / (sum(w.weight) FILTER (NOT q.full_) OVER ()) AS share
+    FROM rounds q JOIN w USING (has, s))
+  WHERE round < (SELECT count(*) FROM w)),
+f AS (SELECT has, s, bool_or(full_) AS full_ FROM rounds GROUP BY has, s),
+t AS (SELECT has, s, source_size,
+             CASE WHEN full_ THEN cap ELSE weight * ((1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) FILTER (full_) OVER (), 0))
+               / (sum(weight) FILTER (NOT full_) OVER ())) END AS target,
+             ('0x' || substr(md5('mix:' || CASE WHEN has THEN 's' ELSE 'n' END || ':' || s), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS shift
+      FROM w JOIN f USING (has, s)),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each FROM t),
 x AS (SELECT r.doc_id, r.size, e.source_size, e.target,
              (floor(each * rank::DOUBLE + shift) - floor(each * (rank - 1)::DOUBLE + shift))::BIGINT AS copies FROM r JOIN e USING (has, s))

@@ -21,24 +21,34 @@ def test_mixing(spark):
         assert abs(sum(r.taken for r in own) - own[0].target) <= 2 * max(r.size for r in own) + 40
     assert all(r.taken <= 2 * r.size for r in got)
     assert sorted(map(str, got)) == sorted(map(str, mixing.sample_copies(docs.repartition(3)).collect()))
-    assert mixing.mixed(docs).columns == ["doc_id", "text", "source"] or mixing.mixed(docs).count() == sum(r.copies for r in got)
-    assert mixing.sample_copies(docs.limit(0)).count() == 0
-
-
-def test_targets_reshare_until_none_is_above():
-    sizes, weights, most = np.array([10.0, 500.0, 300.0, 5.0]), np.array([3.0, 1.0, 2.0, 3.0]), 2.0
-    left, target = 1.5 * sizes.sum(), np.zeros(4)
-    while left > 1e-9:
-        free = target < most * sizes - 1e-9
-        target[free] += left * weights[free] / weights[free].sum()
-        left = np.maximum(target - most * sizes, 0).sum()
-        target = np.minimum(target, most * sizes)
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    df = spark.createDataFrame([(f"s{k}", int(x)) for k, x in enumerate(sizes)], "source string, source_size long")
-    got = {r.source: r.target for r in mixing.source_targets(df).collect()}
-    assert np.allclose([got[f"s{k}"] for k in range(4)], target)
+    mix = mixing.mixed(docs)
+    assert mix.columns == docs.columns and mix.count() == sum(r.copies for r in got) and {r.size for r in mix.collect()} == {5}
+    assert mixing.sample_copies(docs.limit(0)).count() == 0 and mixing.mixed(docs.limit(0)).count() == 0
+
+
+def reshared(sizes):
+    """The contract's targets word by word: shares by weight, the excess over twice the size reshared till none is above."""
+    weight, cap = np.array([(3.0, 1.0, 2.0)[k % 3] for k in range(len(sizes))]), 2 * np.asarray(sizes, float)
+    full = np.zeros(len(sizes), bool)
+    while True:
+        target = cap.copy()
+        if not full.all():
+            target[~full] = weight[~full] * ((1.5 * sum(sizes) - cap[full].sum()) / weight[~full].sum())
+        above = ~full & (target > cap)
+        if not above.any():
+            return target
+        full |= above
+
+
+def test_targets_reshare_until_none_is_above(spark):
+    rng = np.random.default_rng(7)
+    sets = [[10, 500, 300, 5], [100, 100, 100], [100, 100, 100, 100], [0, 0], [7], [0, 5], [1, 10**9, 1]]
+    sets += [rng.integers(0, 10 ** rng.integers(1, 8), n).tolist() for n in rng.integers(1, 31, 40)]
+    for sizes in sets:
+        df = spark.createDataFrame([(f"s{k:02d}", int(x)) for k, x in enumerate(sizes)], "source string, source_size long").coalesce(1)
+        got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+        found = np.array([got[f"s{k:02d}"] for k in range(len(sizes))])
+        assert np.allclose(found, reshared(sizes), rtol=1e-12) and abs(found.sum() - 1.5 * sum(sizes)) <= 1e-9 * sum(sizes), sizes
 
 
 def plain_secrets(text):

@@ -17,6 +17,7 @@ def test_stages(spark, tmp_path):
         sizes[name] = docs.count()
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
+        assert sizes[name] > 0, name
         if name in ("toxicity", "near_duplicates", "pii"):
             assert docs.select("doc_id").join(before.select("doc_id"), "doc_id", "left_anti").count() == 0
     assert sizes["near_duplicates"] < sizes["toxicity"] <= 200 and sizes["pii"] == sizes["near_duplicates"] and sizes["tokens"] == sizes["mixing"]
