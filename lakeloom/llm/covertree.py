@@ -4,7 +4,9 @@ Each pair of blocks (see vectors.py) builds a cover tree of its queries and one
 node lie within its radius of a member of it, and the radii shrink by a fixed factor from level to level.  Search
 walks pairs of nodes.  For centres p, r and radii a, b no product of a pair of points exceeds
 <p, r> + a|r| + b|p| + ab, so a pair of nodes is dropped if that is below the worst of the k-th scores that the
-queries of the group have so far.  Candidate nodes are taken with the largest bound first, so scores rise early.
+queries of the group have so far.  Each leaf of queries first meets the leaves of candidates of the largest products of
+centres; the worst k-th scores that come of it are carried up the tree of queries, so pairs of nodes meet finite bars
+from the first.  Candidate nodes are taken with the largest bound first, so scores rise early.
 
 All products are taken in float64 where it is exact for integers of the block's size, else in int64.
 """
@@ -12,10 +14,12 @@ All products are taken in float64 where it is exact for integers of the block's
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import clean, search_blocks
+from .common import written
+from .vectors import QUERY_BLOCK, ROW_BLOCK, blocks_of, candidates, clean, expand, matrix, meet, query_classes
 
 TOP, EVERY, SCALE = 20, 20, 64
 LEAF, SHRINK = 64, 0.6
@@ -57,18 +61,21 @@ def cover_tree(x: np.ndarray, leaf: int = LEAF) -> Node:
     return build(np.arange(len(x)), root, float(np.linalg.norm(x - x[root], axis=1).max()))
 
 
+def leaves(node: Node) -> list[Node]:
+    return [x for c in node.children for x in leaves(c)] if node.children else [node]
+
+
 class DualTree:
-    """Top-k state of a block of queries against one block of candidates."""
+    """Top-k state of a block of queries (rows of q) against one block of candidates."""
 
-    def __init__(self, q_ids, q, c_ids, c, top):
-        self.q_ids, self.q, self.c_ids, self.c, self.top = q_ids, q, c_ids, c, top
+    def __init__(self, q, c_ids, c, top):
+        self.q, self.c_ids, self.c, self.top = q, c_ids, c, top
         self.exact_float = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**53
         self.fq, self.fc = q.astype(np.float64), c.astype(np.float64)
-        self.repeats = len(np.unique(c_ids)) < len(c_ids)
         none = np.zeros(0, np.int64)
         self.lists = [(none, none) for _ in range(len(q))]  # scores and ids, best first
         self.bars = np.full(len(q), -np.inf)
-        self.products = 0
+        self.products = self.pruned = 0
 
     def alive(self, a: Node, nodes: list[Node]) -> tuple[list[Node], np.ndarray]:
         """The candidate nodes that can matter to the queries of a, the largest bound first, and the bounds."""
@@ -79,8 +86,24 @@ class DualTree:
         bound = bound + 1e-9 * np.abs(bound) + 1e-6  # rounding must not prune
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] >= a.bar]
+        self.pruned += len(nodes) - len(order)
         return [nodes[k] for k in order], bound[order]
 
+    def seed(self, tree: Node, candidates: Node) -> None:
+        """Gives each leaf of queries its first bar, from the leaves of candidates around the nearest centres."""
+        ends = leaves(candidates)
+        centres, sizes = np.array([n.centre for n in ends]), np.array([len(n.rows) for n in ends])
+        for a in leaves(tree):
+            order = np.argsort(-(centres @ a.centre), kind="stable")
+            enough = int(np.searchsorted(np.cumsum(sizes[order]), self.top)) + 1
+            self.base(a, np.concatenate([ends[k].rows for k in order[:enough]]))
+        self.raise_bars(tree)
+
+    def raise_bars(self, a: Node) -> float:
+        if a.children:
+            a.bar = min(self.raise_bars(c) for c in a.children)
+        return a.bar
+
     def walk(self, a: Node, nodes: list[Node]) -> None:
         """Both trees level by level; at a leaf of queries the candidates go down to their leaves."""
         nodes, bound = self.alive(a, nodes)
@@ -110,7 +133,7 @@ class DualTree:
         s = self.fq[a.rows] @ self.fc[rows].T if self.exact_float else self.q[a.rows] @ self.c[rows].T
         ids = self.c_ids[rows]
         self.products += s.size
-        at, cols = np.nonzero((s >= self.bars[a.rows][:, None]) & (self.q_ids[a.rows][:, None] != ids[None, :]))
+        at, cols = np.nonzero(s >= self.bars[a.rows][:, None])
         bounds = np.searchsorted(at, np.arange(len(a.rows) + 1))
         for k, r in enumerate(a.rows):
             c = cols[bounds[k] : bounds[k + 1]]
@@ -118,34 +141,44 @@ class DualTree:
                 continue
             scores, found = np.concatenate([self.lists[r][0], s[k, c].astype(np.int64)]), np.concatenate([self.lists[r][1], ids[c]])
             order = np.lexsort((found, -scores))
-            if self.repeats:  # an id on several rows counts once, with its best
-                order = order[np.sort(np.unique(found[order], return_index=True)[1])]
-            order = order[: self.top]
+            # an id counts once, with its best: it may stand on several rows, or come again after the first bars
+            order = order[np.sort(np.unique(found[order], return_index=True)[1])][: self.top]
             self.lists[r] = (scores[order], found[order])
             if len(order) == self.top:
                 self.bars[r] = scores[order[-1]]
         a.bar = float(self.bars[a.rows].min())
 
     def run(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        self.walk(cover_tree(self.fq), [cover_tree(self.fc)])
+        """Place of the query, vec_id and score of each entry of the lists."""
+        queries, rows = cover_tree(self.fq), cover_tree(self.fc)
+        self.seed(queries, rows)
+        self.walk(queries, [rows])
         sizes = [len(x) for x, _ in self.lists]
-        return np.repeat(self.q_ids, sizes), np.concatenate([x for _, x in self.lists]), np.concatenate([x for x, _ in self.lists])
+        return np.repeat(np.arange(len(self.q)), sizes), np.concatenate([x for _, x in self.lists]), np.concatenate([x for x, _ in self.lists])
 
 
-def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, scale: float = SCALE, vec: str = "embedding") -> DataFrame:
+def top_products(vectors: DataFrame, top: int = TOP, every: int = EVERY, scale: float = SCALE, vec: str = "embedding", query_block: int = QUERY_BLOCK, row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each vec_id divisible by `every` the largest products of floor(scale * x).
 
     Rows with null ids, or vectors that are null or hold null or non-finite components, take no part; zero vectors do.
-    Repeated rows count once; an id with several vectors ranks by its best.  Ties go to the smaller vec_id.  Products
-    beyond 64 bits aren't defined.  An empty table gives an empty one.  Only vec_id and the vector's column are read.
+    Vectors of different lengths never meet.  Repeated rows count once; an id with several vectors ranks by its best.
+    Ties go to the smaller vec_id.  Products beyond 64 bits aren't defined.  An empty table gives an empty one.  Only
+    vec_id and the vector's column are read.
     """
     whole = F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double"))
     rows = clean(vectors, vec).select("vec_id", whole.alias("v"))
-
-    def find(q_ids, q, c_ids, c):
-        return DualTree(q_ids, q.astype(np.int64), c_ids, c.astype(np.int64), top).run()
-
-    return search_blocks(rows, find, "long", top, every)
+    index = written(candidates(rows, top).withColumn("_n", F.size("v")), "covertree-rows")
+    classes, members = query_classes(rows, every)
+    queries = classes.withColumn("_n", F.size("v"))
+    lists = pa.schema([("qid", pa.string()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+    def find(a: pa.Table, b: pa.Table) -> pa.Table:
+        q, c = (matrix(x.column("v")).astype(np.int64) for x in (a, b))
+        at, ids, score = DualTree(q, b.column("vec_id").to_numpy(), c, top + 1).run()  # a query may find itself
+        return pa.table([a.column("qid").take(pa.array(at)), pa.array(ids), pa.array(score)], schema=lists)
+
+    found = meet(queries, index, blocks_of(queries.count(), query_block), blocks_of(index.count(), row_block), find, lists)
+    return expand(found, members, top)
 
 
 def op4_covertree(spark, sf_dir: str) -> DataFrame:

@@ -110,9 +110,46 @@ def test_searches(spark, vectors, exact):
             assert all(abs(r.score - best[r.vec_id]) < 1e-9 for r in got)
             hit, total = hit + len(set(want) & {r.vec_id for r in got}), total + 20
     assert hit / total >= 0.9
+    small = (covertree.top_products if exact else onebit.nearest)(df, query_block=7, row_block=50).collect()
+    assert sorted(small) == sorted(found) if exact else len(small) == len(found)
     assert (covertree.top_products if exact else onebit.nearest)(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_searches_with_one_vector_on_many_rows(spark, exact):
+    rng = np.random.default_rng(4)
+    common = [float(x) for x in np.float32(rng.normal(size=8))]
+    rows = [(i, common if i % 3 == 0 else [float(x) for x in np.float32(rng.normal(size=8))]) for i in range(300)]
+    rows += [(40, [9.0] * 8), (40, [8.0] * 8), (41, [1.0] * 4), (60, [2.0] * 4)] + [(45, [float(k)] * 8) for k in range(10, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = (covertree.top_products if exact else onebit.nearest)(df).collect()
+    held = [(i, np.floor(64 * np.array(v)) if exact else np.array(v)) for i, v in rows]
+    hit = total = 0
+    for q in range(0, 300, 20):
+        best = {}
+        for i, v in held:
+            for j, w in held:
+                if i == q != j and len(v) == len(w):
+                    best[j] = max(best.get(j, -np.inf), float(v @ w))
+        want = sorted(best, key=lambda j: (-best[j], j))[:20]
+        got = [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+        assert len(got) == 20 and (not exact or got == want)
+        hit, total = hit + len(set(got) & set(want)), total + 20
+    assert hit / total >= 0.9
+
+
+def test_dual_tree_prunes_clustered_vectors():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 8)) * 500
+    c = np.rint(centres[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 8)) * 5).astype(np.int64)
+    q = np.rint(centres[rng.integers(0, 40, 400)] + rng.normal(size=(400, 8)) * 5).astype(np.int64)
+    tree = covertree.DualTree(q, np.arange(8000), c, 20)
+    at, ids, score = tree.run()
+    s = q @ c.T
+    assert all(sorted(score[at == k], reverse=True) == sorted(s[k], reverse=True)[:20] for k in range(400))
+    assert tree.products < 0.5 * s.size and tree.pruned > 0
+
+
 def test_language(spark):
     words = {"aa": "the of and ing tion".split(), "bb": "der die und keit schön".split(), "cc": "los que ción ñ el".split()}
     rng = np.random.default_rng(1)
