@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a vectorised function looks at.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -42,7 +42,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_path = path
+    return table
+
+
+def forget(table: DataFrame) -> None:
+    """Removes a table of written() that nothing reads any more; other DataFrames are left alone."""
+    path = getattr(table, "_written_path", None)
+    if path:
+        sc = table.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def crc_mod(column: str, m: int):
@@ -50,6 +61,25 @@ def crc_mod(column: str, m: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))
 
 
+def below(hashed, share):
+    """Whether a 64-bit hash is among the least `share` of all hashes."""
+    return F.shiftrightunsigned(hashed, 11).cast("double") / F.lit(2.0**53) < share
+
+
+def margin(n: int) -> float:
+    """How many rows to expect below a hash, so that n rows or more are there but once in a thousand million times."""
+    return n + 6 * n**0.5 + 36
+
+
+def least_hashed(rows: DataFrame, hashed, n: int, *ties: str) -> DataFrame:
+    """The n rows of least hash.  A first count gives the hash below which they lie, so no more rows are sorted."""
+    total = rows.count()
+    near = rows.withColumn("_hash", hashed)
+    if total > margin(n):
+        near = near.where(below(F.col("_hash"), margin(n) / total))
+    return near.orderBy("_hash", *ties).limit(n).drop("_hash")
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts have about `limit` bytes at most (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

@@ -10,10 +10,11 @@ Confidence: on documents that the models did not learn from, the gap to the seco
 itself are fitted to being right by a small logistic regression; its value is the score.  A text whose score is
 below `REJECT`, or without any letter, is rejected.
 
-Scale: models learn from a bounded sample, at most `PER_LANGUAGE` documents of each language, of at most
-`MOST_CHARS` characters; languages without so many fill it with pieces of that length of their longer documents.  All
-languages are learned: with more than `MOST_LANGUAGES` each has a smaller sample, so the whole keeps its bound.  Their arrays have at most as many entries as the sample has characters, for each order; that is what is
-broadcast.  Scoring is one pass without shuffle.  Within a batch equal n-grams are looked up once.
+Scale: models learn from a bounded sample: of each language the `PER_LANGUAGE` documents of least hash, of each a piece
+of at most `PIECE` characters at a place that the hash gives, so long documents teach as short ones do.  All languages
+are learned: from `FULL_SAMPLES` languages on each has a smaller sample, so the whole keeps its bound.  The arrays have
+at most as many entries as the sample has characters, for each order; that is what is broadcast.  Scoring is one pass
+without shuffle.  Within a batch equal n-grams are looked up once.
 """
 
 from __future__ import annotations
@@ -27,14 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, slices, written
+from .common import below, crc_mod, margin, slices, written
 
 ORDER = 4
 PER_LANGUAGE = 400
-MOST_CHARS = 8000
+PIECE = 8000
 #: With more languages than these, the sample of each is smaller in proportion, but of LEAST documents at least.
-MOST_LANGUAGES = 64
-LEAST = 12
+FULL_SAMPLES, LEAST = 64, 12
 REJECT = 0.5
 SYMBOL_BITS = 15
 MASK = np.uint64((1 << SYMBOL_BITS) - 1)
@@ -172,22 +172,24 @@ class LanguageModel:
         return [self.names[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], p, bits.min(axis=1)
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = MOST_CHARS) -> LanguageModel:
-    """Learns from text and lang of docs (rows with null in either, or without letters, are left out).
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, piece: int = PIECE) -> LanguageModel:
+    """Learns from text and lang of docs (rows with null in either, or empty texts, are left out).
 
-    Documents of more than most_chars characters are taken after the others, as a piece of that length at a place that
-    their hash gives.  A sixth of the sample is kept from the counts and calibrates the score.
+    A sixth of the sample is kept from the counts and calibrates the score.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 1))
-    size = F.length("text")
-    start = F.when(size > most_chars, F.pmod(F.xxhash64("doc_id", "text"), size - most_chars + 1)).otherwise(0)
-    known = known.select("doc_id", "lang", F.substring("text", start.cast("int") + 1, F.lit(most_chars)).alias("text"), (size > most_chars).alias("_long"))
-    order = Window.partitionBy("lang").orderBy("_long", F.xxhash64("doc_id", "lang"), F.xxhash64("text"))
-    chosen = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_language).drop("_long")
-    sample = written(chosen, "language-sample")
-    names = [r.lang for r in sample.select("lang").distinct().orderBy("lang").collect()]
-    if len(names) > MOST_LANGUAGES:
-        sample = sample.where(F.col("_rank") <= max(LEAST, per_language * MOST_LANGUAGES // len(names)))
+    known = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (F.length("text") >= 1))
+    counts = known.groupBy("lang").count()
+    sizes = {r["lang"]: r["count"] for r in counts.collect()}
+    names = sorted(sizes)
+    each = max(LEAST, min(per_language, per_language * FULL_SAMPLES // max(len(names), 1)))
+    spark = docs.sparkSession
+    shares = spark.createDataFrame([(x, margin(each) / sizes[x]) for x in names], "lang string, _share double")
+    size, hashed = F.length("text"), F.xxhash64("doc_id", "lang")
+    start = F.when(size > piece, F.pmod(F.xxhash64("doc_id", "text"), size - piece + 1)).otherwise(0)
+    near = known.withColumn("_hash", hashed).join(F.broadcast(shares), "lang").where(below(F.col("_hash"), F.col("_share")))
+    near = near.select("lang", "_hash", F.substring("text", start.cast("int") + 1, F.lit(piece)).alias("text"))
+    order = Window.partitionBy("lang").orderBy("_hash", F.xxhash64("text"))
+    sample = written(near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each), "language-sample")
     found = count_grams(sample.where("_rank % 6 != 0")).toArrow()  # bounded by the sample's characters
     counts = {}
     for lang in names:
@@ -201,7 +203,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_chars: int = M
 def identify(docs: DataFrame, model: LanguageModel, reject: float = REJECT) -> DataFrame:
     """docs with lang_pred, lang_score, lang_bits and lang_rejected added, each replacing a column of that name.
 
-    Null texts and texts without a letter: `und`, score 0, rejected.  Only text is read.  Repeated rows score alike.
+    Null texts and texts without a letter: `und`, score 0, rejected.  Of languages with equal bits the first by name
+    wins.  Only text is read.  Repeated rows score alike; an empty table gives an empty one.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     mine = ["lang_pred", "lang_score", "lang_bits", "lang_rejected"]

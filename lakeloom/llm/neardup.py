@@ -15,8 +15,10 @@
    the union of the two sketches drops pairs more than five standard deviations below the limit, the exact similarity
    of the full sets decides the others.  That is one pair a class, however large a group is.
 4. Lists whose members are now all connected are done.  What the other lists hold together is a cluster: its classes
-   meet in tasks of at most two blocks of BLOCK classes, which compare full sets exactly and give one link for each
-   two components that they join.  So no link is lost, and no task writes all pairs of a group.
+   meet in tasks of at most two blocks of BLOCK classes and SHINGLES values, which compare full sets exactly and give
+   one link for each two components that they join.  So no link is lost, and no task writes all pairs of a group.
+   Blocks of a cluster's largest component don't meet each other, only the rest: a large group of near copies costs its
+   own size for each block of others.
 5. Components by rounds of large and small stars, whose number doesn't depend on how long chains are.
 
 Scale: texts are never shuffled.  Lists are shuffled once as (key, class) pairs.  Full sets are built, in a second pass
@@ -28,12 +30,12 @@ others build on are written to the shared folder.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer, mix, rolling, slices, word_bounds, word_hashes, written
+from .common import buffer, forget, mix, rolling, slices, word_bounds, word_hashes, written
 
 SHINGLE, LIMIT = 5, 0.85
 DEPTH, SKETCH = 6, 128
@@ -42,10 +44,10 @@ MISS = 1e-9
 #: Tells lists of single values from those of residue classes.
 PREFIX = np.uint64(0xA0761D6478BD642F)
 BITMAP_BITS = 1 << 24
-#: Classes of a cluster that one side of a comparison holds.
-BLOCK = 2000
+#: Classes and values of a cluster that one side of a comparison holds.
+BLOCK, SHINGLES = 1000, 1 << 19
 #: Edges that a task turns into a forest at a time.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 #: Edges for each task that writes them.
 EDGES = 1 << 12
 
@@ -212,13 +214,13 @@ def joining_links(sets: list[np.ndarray], labels: list, limit: float) -> list[tu
     order = np.argsort(word, kind="stable")
     owner, word = owner[order], word[order]
     both = np.zeros((len(sets), len(sets)), np.float32)
-    width = 4096
+    width = 2048
     for lo in range(0, int(word[-1]) + 1 if len(word) else 0, width):
         a, b = np.searchsorted(word, [lo, lo + width])
         x = np.zeros((len(sets), width), np.float32)
         x[owner[a:b], word[a:b] - lo] = 1
         both += x @ x.T
-    near = both * 100 >= (sizes[:, None] + sizes[None, :] - both) * round(100 * limit)
+    percent = round(100 * limit)
     names = {x: k for k, x in enumerate(dict.fromkeys(labels))}
     root = list(range(len(names)))
     mine = [names[x] for x in labels]
@@ -230,29 +232,40 @@ def joining_links(sets: list[np.ndarray], labels: list, limit: float) -> list[tu
         return i
 
     out = []
-    for i, j in zip(*np.nonzero(np.triu(near, 1)), strict=True):
-        x, y = find(mine[i]), find(mine[j])
-        if x != y:
-            root[x] = y
-            out.append((int(i), int(j)))
+    for i in range(len(sets) - 1):
+        common = both[i, i + 1 :]
+        for j in (np.flatnonzero(common * 100 >= (sizes[i] + sizes[i + 1 :] - common) * percent) + i + 1).tolist():
+            x, y = find(mine[i]), find(mine[j])
+            if x != y:
+                root[x] = y
+                out.append((i, j))
     return out
 
 
 def _cluster_links(sets: DataFrame, clusters: DataFrame, limit: float) -> DataFrame:
     """(a, b) that join components inside clusters (sig, cluster, label)."""
-    parts = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    block = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
-    split = clusters.join(parts, "cluster").withColumn("block", block)
-    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
-    rows = sets.select("sig", "shingles").join(split.select("sig", "cluster", "label", F.explode(meets).alias("m")), "sig")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sigs = group["sig"].tolist()
-        pairs = joining_links(group["shingles"].tolist(), group["label"].tolist(), limit) if len(group) > 1 else []
-        return pd.DataFrame({"a": [sigs[i] for i, _ in pairs], "b": [sigs[j] for _, j in pairs]})
+    sized = clusters.join(sets.select("sig", "n"), "sig")
+    by_label = sized.groupBy("cluster", "label").agg(F.count("*").alias("classes"), F.sum("n").alias("values"))
+    blocks = lambda which: F.ceil(F.greatest(F.sum(F.when(which, F.col("classes"))) / BLOCK, F.sum(F.when(which, F.col("values"))) / SHINGLES)).cast("int")
+    largest = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("classes", "label")).alias("largest"))
+    own = F.col("label") == F.col("largest")
+    parts = by_label.join(largest, "cluster").groupBy("cluster", "largest").agg(blocks(own).alias("major"), blocks(~own).alias("minor"))
+    split = clusters.join(parts, "cluster")
+    block = F.when(own, F.col("minor") + F.pmod(F.xxhash64("sig"), F.col("major"))).otherwise(F.pmod(F.xxhash64("sig"), F.col("minor"))).cast("int")
+    others = F.when(own, F.col("minor")).otherwise(F.col("minor") + F.col("major"))
+    meets = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
+    met = split.withColumn("block", block).select("sig", "cluster", "label", F.explode(meets).alias("m"))
+    rows = sets.select("sig", "shingles").join(met, "sig")
+
+    def compare(group: pa.Table) -> pa.Table:
+        sigs, values = group.column("sig"), group.column("shingles").combine_chunks()
+        at, flat = np.append(0, np.cumsum(pa.compute.list_value_length(values))), values.flatten().to_numpy()
+        held = [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        pairs = np.array(joining_links(held, group.column("label").to_pylist(), limit), np.int64).reshape(-1, 2)
+        return pa.table([sigs.take(pa.array(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
     keyed = rows.select("cluster", "m.x", "m.y", "sig", "label", "shingles")
-    return keyed.groupBy("cluster", "x", "y").applyInPandas(compare, "a binary, b binary")
+    return keyed.groupBy("cluster", "x", "y").applyInArrow(compare, "a binary, b binary")
 
 
 def forest(a: list, b: list) -> tuple[list, list]:
@@ -291,7 +304,8 @@ def _forests(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links every larger neighbour of a node to the least of the node and its neighbours."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+    # written, so that both sides of the join are plain exchanges and adaptive execution can split a star's centre
+    low = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "neardup-least")
     return both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
 
 
@@ -319,7 +333,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     edges = written(_forests(links.where("a <> b")), name)
     while not _unfinished(edges).isEmpty():
         stars = _small_star(_large_star(edges))
-        edges = written(_forests(stars.coalesce(edges.count() // EDGES + 1)), name)
+        before, edges = edges, written(_forests(stars.coalesce(edges.count() // EDGES + 1)), name)
+        forget(before)
     labels = edges.groupBy(F.col("a").alias("sig")).agg(F.min("b").alias("label"))
     return labels.union(edges.select("b", F.col("b").alias("label")).distinct())
 
@@ -358,7 +373,11 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """docs without the near-duplicates: of each component the rows of its least doc_id, exact repeats of these once."""
+    """docs without the near-duplicates: of each component the rows of its least doc_id, exact repeats of these once.
+
+    Rows of null and empty texts stay, once for each doc_id and text.  Columns of any other name pass through; of rows
+    that agree in doc_id and text one is kept.  An empty table gives an empty one.
+    """
     found = near_duplicates(docs, limit).where("kept").select(F.col("doc_id").alias("_id")).distinct()
     one = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
     return one.dropDuplicates(["doc_id", "text"])

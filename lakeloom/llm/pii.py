@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, written
+from .common import least_hashed, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -48,7 +48,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_TOKEN = re.compile(r"[^\s]*[0-9@][^\s]*")
+_TOKEN = re.compile(r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+")
+_RUN = re.compile(r"[^\s]++")
 
 
 def _luhn(digits: str) -> bool:
@@ -76,7 +77,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         at = text.find("@", max(last, at + 1))
     if _DIGIT.search(text):
         if "." in text:
-            out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+            out += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(p) <= 3 and int(p or "0") <= 255 for p in (p.lstrip("0") for p in m[0].split(".")))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -103,10 +104,7 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
     names = {n for n in names if len(n) >= 5 and not n.isdigit()}
     spots = [m.span() for m in _TOKEN.finditer(text)]
     if names:
-        low = text.lower()
-        if len(low) == len(text):
-            for n in names:
-                spots += [m.span() for m in re.finditer(rf"(?<![^\s]){re.escape(n)}(?![^\s])", low)]
+        spots += [m.span() for m in _RUN.finditer(text) if m[0].lower() in names]
     # neighbouring number groups belong together, as in "(974) 555-3436"
     joined: list[list[int]] = []
     for s, e in sorted(set(spots)):
@@ -222,8 +220,6 @@ class SkipChain:
         toks, x, left, hub_of, hub, owner, labels = [], [], [], [], [], [], []
         at = hubs = 0
         for d, (text, base) in enumerate(zip(texts, bases, strict=True)):
-            if not base:  # without any base span there is nothing that tokens could agree with
-                continue
             t, f, c, h = graph(text, base)
             toks += t
             x += f
@@ -250,7 +246,8 @@ class SkipChain:
 
 def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 200) -> SkipChain:
     """Fits on the `sample` documents of least hash that hold a digit or an @; without any, tokens stay unlabelled."""
-    chosen = docs.select("text").where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    rows = docs.select("doc_id", "text").where(F.col("text").rlike("[0-9@]"))
+    chosen = least_hashed(rows, F.xxhash64("doc_id", "text"), sample, "text").select("text")
 
     def run(batches):
         for batch in batches:
@@ -324,7 +321,11 @@ def find_pii(docs: DataFrame, model: SkipChain) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: SkipChain) -> DataFrame:
-    """docs with every span of text replaced by its kind in brackets; overlapping spans become one, by the first kind."""
+    """docs with every span of text replaced by its kind in brackets; overlapping spans become one, by the first kind.
+
+    Null and empty texts stay as they are, repeated rows give equal rows, an empty table gives an empty one.  Columns of
+    any name but text pass through unchanged.
+    """
 
     def run(batches):
         for batch in batches:
@@ -348,7 +349,6 @@ def redact(docs: DataFrame, model: SkipChain) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
-
 def op1_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs, train(docs)).select("doc_id", "pii_spans")

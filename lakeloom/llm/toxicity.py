@@ -13,11 +13,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NOT_ALNUM, buffer, crc_mod, mix, slices, word_bounds, word_hashes, written
+from .common import NOT_ALNUM, buffer, crc_mod, least_hashed, mix, slices, word_bounds, word_hashes, written
 
 BITS = 20
 PER_CLASS = 4000
@@ -73,8 +73,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
     labels: doc_id, toxic; rows with null in either are left out, of contradicting rows the higher label counts.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= per_class).select("doc_id", "y")
+    parts = [least_hashed(known.where(F.col("y") == y), F.xxhash64("doc_id"), per_class, "doc_id") for y in (0, 1)]
+    chosen = written(parts[0].unionByName(parts[1]), "toxicity-ids")
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
 
     def listed(batches):
@@ -106,7 +106,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
 def score(docs: DataFrame, weights: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs with toxicity (double, 0 to 1) and toxic_predicted (int) added, each replacing a column of that name.
 
-    Null and empty texts score as a text without features.  Repeated rows score alike.
+    Null and empty texts score as a text without features.  Repeated rows score alike.  An empty table gives an empty
+    one; without weights all scores are 0.5.
     """
     found = weights.orderBy("feature").toArrow()  # at most 2**BITS + 1 rows
     table = np.zeros((1 << BITS) + 1)

@@ -164,6 +164,61 @@ def test_language(spark):
     assert language.train(docs.limit(0)).predict(["x"])[0] == ["und"]
 
 
+def plain_kneser_ney(texts, order, unit):
+    """Log probabilities by dictionaries: interpolated, one absolute discount an order, lower orders by left neighbours."""
+    counts = [None] * (order + 1)
+    counts[order] = {}
+    for t in texts:
+        for i in range(1, len(t)):
+            g = tuple([0] * max(0, order - 1 - i) + t[max(0, i - order + 1) : i + 1])
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+
+    def p(g):
+        if not g:
+            return unit
+        c = counts[len(g)]
+        ones, twos = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        own = [v for h, v in c.items() if h[:-1] == g[:-1]]
+        if not own:
+            return p(g[1:])
+        return (max(c.get(g, 0) - d, 0) if g in c else 0) / sum(own) + d * len(own) / sum(own) * p(g[1:])
+
+    return lambda g: np.log2(p(g))
+
+
+def test_kneser_ney_equals_dictionaries():
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abcd "), p=[0.4, 0.2, 0.1, 0.1, 0.2]) for _ in range(60)) for _ in range(5)]
+    flat, doc = language.symbols(texts)
+    code, _ = language.grams(flat, doc, language.ORDER)
+    model = language.KneserNey(*np.unique(code, return_counts=True))
+    plain = plain_kneser_ney([flat[doc == d].tolist() for d in range(5)], language.ORDER, 1.0 / (1 << language.SYMBOL_BITS))
+    flat, doc = language.symbols(["abca dd ac", "xyz abc"])
+    code, _ = language.grams(flat, doc, language.ORDER)
+    cut = lambda c: tuple(int(c) >> language.SYMBOL_BITS * k & int(language.MASK) for k in range(language.ORDER - 1, -1, -1))
+    assert np.allclose(model.log2(code), [plain(cut(c)) for c in code], atol=1e-5)
+
+
+def test_ftrl_equals_plain_loops():
+    rng = np.random.default_rng(9)
+    model, z, n = toxicity.Ftrl(0.5, 1.0, 0.3, 1.0), {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0)) <= (0.3 if i < 1 << toxicity.BITS else 0) else (np.sign(z[i]) * (0.3 if i < 1 << toxicity.BITS else 0) - z[i]) / ((1 + n[i] ** 0.5) / 0.5 + 1.0)
+    for _ in range(300):
+        x, y = [*sorted(set(rng.integers(0, 20, 6).tolist())), 1 << toxicity.BITS], int(rng.random() < 0.3)
+        p = 1 / (1 + np.exp(-sum(map(weight, x))))
+        g = (2.0 if y else 1.0) * (p - y)
+        for i, w in [(i, weight(i)) for i in x]:
+            z[i] = z.get(i, 0) + g - ((n.get(i, 0) + g * g) ** 0.5 - n.get(i, 0) ** 0.5) / 0.5 * w
+            n[i] = n.get(i, 0) + g * g
+        model.learn(np.array(x), y, 2.0 if y else 1.0)
+    assert np.allclose(model.z[list(z)], list(z.values())) and np.allclose(model.weights(np.array(list(z))), [weight(i) for i in z])
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(2)
     flat, doc = language.symbols(["".join(rng.choice(list("abc ")) for _ in range(400))])
@@ -214,7 +269,7 @@ def test_language_learns_all_languages_and_long_documents(spark):
     words = {f"l{k:02d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(70)}
     text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
     rows = [(len(words) * k + i, text(x, 40), x) for k in range(13) for i, x in enumerate(words) if x != "l33"]
-    rows += [(10_000 + k, text("l33", 1500), "l33") for k in range(13)]  # all longer than MOST_CHARS
+    rows += [(10_000 + k, text("l33", 1500), "l33") for k in range(13)]  # all longer than a piece
     model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert model.names == sorted(words)
     assert model.predict([text(x, 20) for x in sorted(words)])[0] == sorted(words)
