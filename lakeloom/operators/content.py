@@ -1,14 +1,7 @@
-"""Text, URL and page operators, and those that need Arrow functions: NFKC, hashed embeddings, greedy chunks."""
+"""Text, URL and page operators."""
 
 from __future__ import annotations
 
-import hashlib
-import re
-import unicodedata
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import canonical_url, fold_dashes
@@ -38,15 +31,26 @@ def SC17_html_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("html", noise, " "), "<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("body"))
 
 
-@query(r"SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href=\x22?([^\x22 >]+)', 1))) AS link FROM pages")
+_HREF = "CASE WHEN regexp_matches(h, '^[a-z]+://') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || h ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' || h END"
+
+
+def _canonical_sql(url: str) -> str:
+    items = f"list_sort(list_filter(list_transform(list_filter(string_split(regexp_extract({url}, '\\?([^#]*)', 1), '&'), lambda p: p <> ''), lambda p: {{'k': url_decode(regexp_extract(p, '^([^=]*)', 1)), 'v': url_decode(regexp_extract(p, '^[^=]*=(.*)$', 1))}}), lambda p: lower(p.k) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'spm')))"
+    path = f"coalesce(nullif(regexp_extract({url}, '^[A-Za-z]+://[^/?#]*(/[^?#]*)', 1), ''), '/')"
+    query = f"array_to_string(list_transform({items}, lambda p: replace(url_encode(p.k), '%20', '+') || '=' || replace(url_encode(p.v), '%20', '+')), '&')"
+    return f"lower(regexp_extract({url}, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract({url}, '^[A-Za-z]+://([^/:?#]*)', 1)) || {path} || CASE WHEN {query} <> '' THEN '?' || {query} ELSE '' END"
+
+
+@query(f"SELECT DISTINCT page_id, {_canonical_sql('u')} AS link FROM (SELECT page_id, {_HREF} AS u FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href=\x22([^\x22]+)\x22', 1)) AS h FROM pages))")
 def SC5_links(spark, d):
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="?([^" >]+)'), F.lit(1)))
-    return table(spark, d, "pages").select("page_id", F.explode(links).alias("link"))
+    """The links of each page, made absolute and canonical, each once."""
+    site = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
+    anchors = table(spark, d, "pages").select("page_id", site.alias("site"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("h"))
+    absolute = F.when(F.col("h").rlike("^[a-z]+://"), F.col("h")).when(F.col("h").startswith("/"), F.concat("site", "h")).otherwise(F.concat_ws("/", "site", "h"))
+    return anchors.select("page_id", canonical_url(absolute).alias("link")).distinct()
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^([^?#]*)', 1) AS base, regexp_extract(url, '\?([^#]*)', 1) AS q FROM pages),
-h AS (SELECT page_id, lower(regexp_extract(base, '^([A-Za-z]+://[^/]*)', 1)) AS host, base, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND NOT starts_with(x, 'spm'))) AS kept FROM p)
-SELECT page_id, host || substr(base, length(host) + 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url FROM h""")
+@query(f"SELECT page_id, {_canonical_sql('url')} AS url FROM pages")
 def SF29_canonical_url(spark, d):
     return table(spark, d, "pages").select("page_id", canonical_url(F.col("url")).alias("url"))
 
@@ -56,15 +60,16 @@ def SF30_external_id(spark, d):
     return table(spark, d, "pages").select("page_id", F.coalesce(F.nullif(F.regexp_extract("url", "[?&]id=([^&#]*)", 1), F.lit("")), F.regexp_extract("url", "([0-9]+)[^0-9]*$", 1)).alias("external_id"))
 
 
-@query("SELECT doc_id, sha256('{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}') AS content_hash, '\"safe-' || sha256(source) || '\"' AS etag FROM documents")
+@query("SELECT doc_id, sha256(to_json({'lang': lang, 'source': source, 'text': text, 'title': substr(text, 1, 80)})) AS content_hash, '\"safe-' || sha256(to_json({'lang': lang, 'source': source})) || '\"' AS etag FROM documents")
 def SF20_canonical_hash(spark, d):
-    text = F.concat(F.lit('{"lang":"'), "lang", F.lit('","source":"'), "source", F.lit('"}'))
-    return table(spark, d, "documents").select("doc_id", F.sha2(text, 256).alias("content_hash"), F.concat(F.lit('"safe-'), F.sha2("source", 256), F.lit('"')).alias("etag"))
+    """The hash of a document's canonical JSON (keys in order, nulls written out), and the etag of its allowed fields."""
+    made = lambda *cols: F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    return table(spark, d, "documents").select("doc_id", made("lang", "source", "text", F.substring("text", 1, 80).alias("title")).alias("content_hash"), F.concat(F.lit('"safe-'), made("lang", "source"), F.lit('"')).alias("etag"))
 
 
-@query("SELECT doc_id, replace(replace(replace(substr(text, 1, 300), '–', '-'), '—', '-'), '−', '-') AS folded FROM documents")
+@query("SELECT doc_id, replace(replace(replace(text, '–', '-'), '—', '-'), '－', '-') AS folded FROM documents")
 def SF4_fold_dashes(spark, d):
-    return table(spark, d, "documents").select("doc_id", fold_dashes(F.substring("text", 1, 300)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", fold_dashes(F.col("text")).alias("folded"))
 
 
 @query("SELECT conv_id, turn, length(text) AS n, upper(role) AS role_, instr(text, 'the')::INT AS at FROM conversations")
@@ -117,77 +122,3 @@ def SF44_field_diff(spark, d):
     b = a.select((F.col("s_suppkey") - 1).alias("s_suppkey"), F.col("s_nationkey").alias("n2"), F.col("s_acctbal").alias("b2"))
     changed = F.concat_ws(",", F.when(~F.col("s_nationkey").eqNullSafe(F.col("n2")), "nation"), F.when(~F.col("s_acctbal").eqNullSafe(F.col("b2")), "balance"))
     return a.join(b, "s_suppkey").select("s_suppkey", changed.alias("changed"))
-
-
-_CJK = re.compile(r"(?<=[一-鿿]) +(?=[一-鿿])")
-
-
-def normalize(text: str | None) -> str | None:
-    """NFKC, no zero-width blanks, single blanks, no indents, at most two line ends in a row, trimmed."""
-    if text is None:
-        return None
-    t = unicodedata.normalize("NFKC", text).replace("​", "")
-    t = re.sub(r"[ \t\xa0]+", " ", t)
-    t = re.sub(r" *\n *", "\n", t)
-    return _CJK.sub("", re.sub(r"\n{3,}", "\n\n", t)).strip()
-
-
-@query()
-def SF1_normalize_text(spark, d) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([normalize(t) for t in b.column("text").to_pylist()], pa.string())], names=["doc_id", "text"])
-
-    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
-
-
-def hashed_embedding(text: str, size: int = 384) -> np.ndarray:
-    """Signed hashed words, of length 1 (zero for a text without words)."""
-    v = np.zeros(size)
-    for w in re.findall(r"[0-9A-Za-z_]{2,}", text.lower()):
-        h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-        v[h % size] += 1.2 if h >> 63 else -1.2
-    n = np.linalg.norm(v)
-    return np.round(v / n, 8) if n else v
-
-
-@query()
-def SF18_hashed_embedding(spark, d) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([hashed_embedding(t or "").tolist() for t in b.column("text").to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "embedding"])
-
-    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, embedding array<double>")
-
-
-def greedy_chunks(text: str, most: int = 1450, enough: int = 900) -> list[str]:
-    """Sentences in order; a chunk ends when the next would pass `most`, or at a sentence's end past `enough`."""
-    out, now = [], ""
-    for unit in re.findall(r"[^.!?\n]+[.!?\n]?", text):
-        unit = unit.strip()
-        if not unit:
-            continue
-        if now and len(now) + 1 + len(unit) > most:
-            out.append(now)
-            now = unit
-        else:
-            now = f"{now} {unit}".strip()
-        if len(now) >= enough and now[-1] in ".!?":
-            out.append(now)
-            now = ""
-    return [*out, now] if now else out
-
-
-@query()
-def RT7_chunks(spark, d) -> DataFrame:
-    def run(batches):
-        for b in batches:
-            ids, ordinals, chunks = [], [], []
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for k, c in enumerate(greedy_chunks(t or "")):
-                    ids.append(i)
-                    ordinals.append(k)
-                    chunks.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ordinals, pa.int32()), pa.array(chunks, pa.string())], names=["doc_id", "ordinal", "content"])
-
-    return table(spark, d, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, ordinal int, content string")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.sources.tables import table
@@ -18,33 +19,48 @@ def query(sql: str):
     return keep
 
 
-@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
-def AG7_nearest_rank(spark, d):
-    p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+def at_ranks(rows: DataFrame, by: str, value: str, ranks: dict[str, Column], cuts: int = 64) -> DataFrame:
+    """by, n and, for each name, the value at a rank (from 0) of the group; a rank is a column of the group's size n.
+
+    Exact, and no task holds or sorts a group: a sketch gives each group `cuts` bounds, rows are counted between them, and
+    only values of the ranges that hold a rank are counted one by one.  The bounds decide the work, not the result.
+    """
+    share = F.array(*[F.lit((k + 1) / (cuts + 1)) for k in range(cuts)])
+    groups = rows.groupBy(by).agg(F.percentile_approx(value, share, 1000).alias("cuts"), F.count(value).alias("n"))
+    placed = rows.where(F.col(value).isNotNull()).join(groups, by).select(by, value, F.size(F.filter("cuts", lambda c: c < F.col(value))).alias("range"))
+    order = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy(by, "range").agg(F.count("*").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0)))  # cuts + 1 rows a group
+    asked = groups.select(by, "n", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), c.cast("long").alias("rank")) for k, c in ranks.items()])).alias("x")).select(by, "n", "x.*")
+    wanted = asked.join(ranges, by).where("rank >= before AND rank < before + held").select(by, "n", "range", "name", (F.col("rank") - F.col("before")).alias("rank"))
+    inside = Window.partitionBy(by, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.join(wanted.select(by, "range").distinct(), [by, "range"], "left_semi").groupBy(by, "range", value).agg(F.count("*").alias("held")).withColumn("past", F.coalesce(F.sum("held").over(inside), F.lit(0)))
+    found = counts.join(wanted, [by, "range"]).where("rank >= past AND rank < past + held")
+    return found.groupBy(by, "n").agg(*[F.max(F.when(F.col("name") == k, F.col(value))).alias(k) for k in ranks])
+
+
+def nearest_rank(p: float) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n"))) - 1
 
 
-def _at(column: str, index, by: str):
-    place = F.row_number().over(Window.partitionBy(by).orderBy(column)) - 1
-    n = F.count("*").over(Window.partitionBy(by))
-    return place == index(n)
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
+def AG7_nearest_rank(spark, d):
+    return at_ranks(table(spark, d, "events"), "event_type", "value", {f"p{round(100 * p)}": nearest_rank(p) for p in (0.5, 0.95, 0.99)}).drop("n")
 
 
 @query("SELECT event_type, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = least(n - 1, floor(n * 0.95::DOUBLE))")
 def AG8_index_percentile(spark, d):
-    e = table(spark, d, "events").select("event_type", "value", _at("value", lambda n: F.least(n - 1, F.floor(n * F.lit(0.95))), "event_type").alias("hit"))
-    return e.where("hit").select("event_type", F.col("value").alias("p95"))
+    return at_ranks(table(spark, d, "events"), "event_type", "value", {"p95": F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.95)))}).drop("n")
 
 
 @query("SELECT event_type, value AS p95 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) WHERE i = floor((n - 1) * 0.95::DOUBLE)")
 def AG9_floor_percentile(spark, d):
-    e = table(spark, d, "events").select("event_type", "value", _at("value", lambda n: F.floor((n - 1) * F.lit(0.95)), "event_type").alias("hit"))
-    return e.where("hit").select("event_type", F.col("value").alias("p95"))
+    return at_ranks(table(spark, d, "events"), "event_type", "value", {"p95": F.floor((F.col("n") - 1) * F.lit(0.95))}).drop("n")
 
 
 @query("SELECT event_type, median(value) AS mid FROM events GROUP BY event_type")
 def AG10_median(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.median("value").alias("mid"))
+    both = at_ranks(table(spark, d, "events"), "event_type", "value", {"low": F.floor((F.col("n") - 1) / 2), "high": F.floor(F.col("n") / 2)})
+    return both.select("event_type", (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias("mid"))
 
 
 @query("SELECT event_type, round(avg(value), 8) AS mean FROM events GROUP BY event_type")
@@ -58,14 +74,17 @@ def AG12_success_rate(spark, d):
 
 
 @query("""WITH s(scenario, bound) AS (VALUES ('view', 480.0::DOUBLE), ('click', 100.0::DOUBLE), ('purchase', 490.0::DOUBLE), ('none', 1.0::DOUBLE)),
-m AS (SELECT event_type, count(*) AS n, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type)
-SELECT scenario, coalesce(n, 0) AS samples, coalesce(p95, -1) AS p95, CASE WHEN coalesce(n, 0) < 3 THEN 'insufficient_samples' WHEN p95 <= bound THEN 'passed' ELSE 'failed' END AS gate FROM s LEFT JOIN m ON scenario = event_type""")
+m AS (SELECT event_type, count(*) AS n, count(*) FILTER (value >= 5) AS measurable, quantile_disc(value, 0.5) FILTER (value >= 5) AS p50, quantile_disc(value, 0.95) FILTER (value >= 5) AS p95, quantile_disc(value, 0.99) FILTER (value >= 5) AS p99 FROM events GROUP BY event_type)
+SELECT scenario, coalesce(n, 0) AS samples, coalesce(measurable, 0) AS measurable, coalesce(n - measurable, 0) AS excluded, coalesce(p50, -1) AS p50, coalesce(p95, -1) AS p95, coalesce(p99, -1) AS p99, CASE WHEN coalesce(measurable, 0) < 3 THEN 'insufficient_samples' WHEN p95 <= bound THEN 'passed' ELSE 'failed' END AS gate FROM s LEFT JOIN m ON scenario = event_type""")
 def AG13_scenario_gate(spark, d):
+    """Each scenario, those without rows too: samples, how many can be measured, percentiles of these, and the gate."""
     dim = spark.createDataFrame([("view", 480.0), ("click", 100.0), ("purchase", 490.0), ("none", 1.0)], "scenario string, bound double")
-    m = table(spark, d, "events").groupBy(F.col("event_type").alias("scenario")).agg(F.count("*").alias("n"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"))
-    n = F.coalesce("n", F.lit(0))
-    gate = F.when(n < 3, "insufficient_samples").when(F.col("p95") <= F.col("bound"), "passed").otherwise("failed")
-    return dim.join(m, "scenario", "left").select("scenario", n.alias("samples"), F.coalesce("p95", F.lit(-1.0)).alias("p95"), gate.alias("gate"))
+    e = table(spark, d, "events").withColumnRenamed("event_type", "scenario")
+    m = at_ranks(e.where("value >= 5"), "scenario", "value", {f"p{round(100 * p)}": nearest_rank(p) for p in (0.5, 0.95, 0.99)}).withColumnRenamed("n", "measurable")
+    n = e.groupBy("scenario").agg(F.count("*").alias("n"))
+    rows = dim.join(n, "scenario", "left").join(m, "scenario", "left").withColumns({"n": F.coalesce("n", F.lit(0)), "measurable": F.coalesce("measurable", F.lit(0))})
+    gate = F.when(F.col("measurable") < 3, "insufficient_samples").when(F.col("p95") <= F.col("bound"), "passed").otherwise("failed")
+    return rows.select("scenario", F.col("n").alias("samples"), "measurable", (F.col("n") - F.col("measurable")).alias("excluded"), *[F.coalesce(p, F.lit(-1.0)).alias(p) for p in ("p50", "p95", "p99")], gate.alias("gate"))
 
 
 @query("SELECT coalesce((props->>'k')::VARCHAR, 'unknown') AS code, count(*) AS n FROM events GROUP BY 1")
@@ -173,22 +192,150 @@ def RT13_source_health(spark, d):
     return a.select("*", health.alias("health"))
 
 
-@query("SELECT event_type, count(*) AS samples, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type")
+@query("""WITH m AS (SELECT event_type, count(*) AS samples, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type)
+SELECT *, CASE WHEN samples < 3 THEN 'insufficient_samples' WHEN p95 <= 480 THEN 'passed' ELSE 'failed' END AS gate, CASE WHEN bool_or(samples >= 3 AND p95 > 480) OVER () THEN 'failed' WHEN bool_or(samples < 3) OVER () THEN 'incomplete' ELSE 'passed' END AS stage FROM m""")
 def RT16_latency_report(spark, d):
-    p = lambda x: F.expr(f"percentile_disc({x}) WITHIN GROUP (ORDER BY value)")
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("samples"), F.round(F.avg("value"), 6).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.max("value").alias("most"))
-
-
-@query("SELECT event_id, user_id FROM (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'signup') WHERE r <= 2 ORDER BY ts, event_id LIMIT 30")
+    """The latency block of each scenario with its gate, and the gate of the stage."""
+    e = table(spark, d, "events")
+    sums = e.groupBy("event_type").agg(F.count("*").alias("samples"), F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("most"))
+    p = at_ranks(e, "event_type", "value", {"p50": nearest_rank(0.5), "p95": nearest_rank(0.95)}).drop("n")
+    gate = F.when(F.col("samples") < 3, "insufficient_samples").when(F.col("p95") <= 480, "passed").otherwise("failed")
+    every = Window.partitionBy()  # one row a scenario
+    m = sums.join(p, "event_type").withColumn("gate", gate)
+    stage = F.when(F.bool_or(F.col("gate") == "failed").over(every), "failed").when(F.bool_or(F.col("gate") == "insufficient_samples").over(every), "incomplete").otherwise("passed")
+    return m.withColumn("stage", stage).select("event_type", "samples", "mean", "p50", "p95", "most", "gate", "stage")
+
+
+@query("""WITH r AS (SELECT user_id, count(*) AS running FROM events WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1),
+q AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type = 'signup')
+SELECT event_id, user_id FROM q LEFT JOIN r USING (user_id) WHERE n <= 2 - coalesce(running, 0) ORDER BY ts, event_id LIMIT greatest(0, 60 - (SELECT sum(running) FROM r))""")
 def ST2_fair_scheduler(spark, d):
-    """First in, first out, at most two of a subject, thirty in all."""
-    r = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").where("event_type = 'signup'").withColumn("r", r).where("r <= 2").orderBy("ts", "event_id").limit(30).select("event_id", "user_id")
+    """First in, first out: a subject has two places, less what it runs; all have sixty, less what runs.
+
+    A subject's first two are enough to choose from, so its queue isn't sorted as a whole.
+    """
+    e = table(spark, d, "events")
+    running = e.where("event_type = 'view' AND ts >= '2024-01-30 12:00:00'").groupBy("user_id").agg(F.count("*").alias("running"))
+    free = 60 - (running.agg(F.sum("running")).first()[0] or 0)
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    queue = e.where("event_type = 'signup'").withColumn("n", n).where("n <= 2").join(running, "user_id", "left")
+    return queue.where(F.col("n") <= 2 - F.coalesce("running", F.lit(0))).orderBy("ts", "event_id").limit(max(0, free)).select("event_id", "user_id")
 
 
-@query("SELECT event_id, event_type FROM events WHERE user_id = 7 AND event_id > 500 ORDER BY event_id")
+@query("""WITH l AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+t AS (SELECT user_id, min(sequence) AS stop FROM l WHERE sequence > n - 200 AND sequence > 10 AND event_type = 'error' GROUP BY 1)
+SELECT user_id, sequence::INT AS sequence, event_type FROM l LEFT JOIN t USING (user_id) WHERE sequence > n - 200 AND sequence > 10 AND sequence <= coalesce(stop, n)""")
 def ST1_event_replay(spark, d):
-    return table(spark, d, "events").where("user_id = 7 AND event_id > 500").orderBy("event_id").select("event_id", "event_type")
+    """Each task's log in dense order, its last 200 events, replayed after the tenth up to the first terminal event."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    log = table(spark, d, "events").select("user_id", "event_type", F.row_number().over(w).alias("sequence"), F.count("*").over(Window.partitionBy("user_id")).alias("n")).where("sequence > n - 200 AND sequence > 10")
+    stop = log.where("event_type = 'error'").groupBy("user_id").agg(F.min("sequence").alias("stop"))
+    return log.join(stop, "user_id", "left").where(F.col("sequence") <= F.coalesce("stop", "n")).select("user_id", "sequence", "event_type")
+
+
+def admit(rows: DataFrame, subject: str, window_s: int = 86_400, limit: int = 3, per_day: int = 2, offset_h: int = 8, enforce: bool = True) -> DataFrame:
+    """event_id, reason of each request in order of (ts, event_id): null if admitted, else the first rule that it breaks.
+
+    Only admitted requests use up the rolling quota and the quota of the local day (all do if not enforced), so a decision
+    depends on those before.  Rows are dealt by subject and sorted within partitions; the fold goes along each partition
+    with the state of one subject, `limit` times and a count, so a subject of any size needs no more memory.
+    """
+    sorted_rows = rows.select(F.col(subject).cast("long").alias("s"), "event_id", F.unix_micros("ts").alias("t")).repartition("s").sortWithinPartitions("s", "t", "event_id")
+
+    def run(batches):
+        last, times, day, n = object(), [], None, 0
+        for batch in batches:
+            reasons = []
+            for s, t in zip(batch.column("s").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                today = (t + offset_h * 3_600_000_000) // 86_400_000_000
+                if s != last:
+                    last, times, day, n = s, [], today, 0
+                if today != day:
+                    day, n = today, 0
+                full = len(times) == limit and times[0] > t - window_s * 1_000_000
+                reason = "SUBJECT_RATE_LIMITED" if full else "SUBJECT_DAILY_LIMITED" if n >= per_day else None
+                if reason is None or not enforce:
+                    times, n = [*times, t][-limit:], n + 1
+                reasons.append(reason)
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), pa.array(reasons, pa.string())], names=["event_id", "reason"])
+
+    return sorted_rows.mapInArrow(run, "event_id long, reason string")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, (epoch_us(ts) + 28800000000) // 86400000000 AS day, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, 0::BIGINT AS rn, 0::BIGINT AS event_id, []::BIGINT[] AS times, 0::BIGINT AS day, 0::BIGINT AS n, '' AS reason FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT user_id, rn, event_id, CASE WHEN why = '' THEN list_append(times, t)[-3:] ELSE times END, day, CASE WHEN why = '' THEN n + 1 ELSE n END, why
+  FROM (SELECT *, CASE WHEN len(times) = 3 AND times[1] > t - 86400000000 THEN 'SUBJECT_RATE_LIMITED' WHEN n >= 2 THEN 'SUBJECT_DAILY_LIMITED' ELSE '' END AS why
+    FROM (SELECT e.user_id, e.rn, e.event_id, e.t, e.day, r.times, CASE WHEN r.day = e.day THEN r.n ELSE 0 END AS n FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)))
+SELECT event_id, coalesce(nullif(reason, ''), 'ADMITTED') AS reason FROM r WHERE rn > 0""")
+def ST4_admission(spark, d):
+    return admit(table(spark, d, "events"), "user_id").select("event_id", F.coalesce("reason", F.lit("ADMITTED")).alias("reason"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW) > 1 AS limited FROM events")
+def ST8_request_limiter(spark, d):
+    """Requests of a source within sixty seconds of another: the analytic form of a sliding limiter."""
+    minute = Window.partitionBy("user_id").orderBy(F.unix_micros("ts")).rangeBetween(-59_999_999, 0)
+    return table(spark, d, "events").select("event_id", (F.count("*").over(minute) > 1).alias("limited"))
+
+
+@query("""WITH s AS (SELECT *, coalesce(max(CASE WHEN event_type = 'signup' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cleared FROM events),
+f AS (SELECT a.event_id, count(b.event_id) AS n FROM s a LEFT JOIN events b ON b.user_id = a.user_id AND b.event_type = 'error' AND b.ts < a.ts AND epoch_us(b.ts) > epoch_us(a.ts) - 259200000000 AND epoch_us(b.ts) > a.cleared WHERE a.event_type IN ('error', 'signup') GROUP BY 1)
+SELECT event_id, n >= 2 AS rejected FROM f""")
+def ST13_attempt_limiter(spark, d):
+    """Attempts that come after two failures in three days; a success clears what was before it."""
+    order = Window.partitionBy("user_id").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    span = Window.partitionBy("user_id").orderBy("t").rangeBetween(-259_199_999_999, -1)
+    failed = F.when(F.col("event_type") == "error", 1).otherwise(0)
+    e = table(spark, d, "events").where("event_type IN ('error', 'signup')").select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("t"))
+    e = e.withColumn("all", F.coalesce(F.sum(failed).over(order), F.lit(0)))
+    cleared = F.coalesce(F.max(F.when(F.col("event_type") == "signup", F.col("all"))).over(order), F.lit(0))
+    # both are the newest failures: those of the span and those since the last success
+    lately = F.least(F.coalesce(F.sum(failed).over(span), F.lit(0)), F.col("all") - cleared)
+    return e.select("event_id", (lately >= 2).alias("rejected"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'failed' ELSE event_type END AS status, CASE WHEN event_type = 'view' THEN 'INTERRUPTED' END AS code FROM events WHERE ts >= TIMESTAMP '2024-01-29'")
+def ST10_restart_recovery(spark, d):
+    """After a restart what was running has failed."""
+    running = F.col("event_type") == "view"
+    return table(spark, d, "events").where("ts >= '2024-01-29'").select("event_id", F.when(running, "failed").otherwise(F.col("event_type")).alias("status"), F.when(running, "INTERRUPTED").alias("code"))
+
+
+@query("""WITH q AS (SELECT event_id, event_type, ts, CASE WHEN value > 250 THEN ts + INTERVAL 2 HOUR END AS deadline FROM events WHERE event_type IN ('signup', 'click'))
+SELECT event_id, CASE WHEN event_type = 'signup' AND coalesce(deadline, ts + INTERVAL 6 HOUR) <= TIMESTAMP '2024-01-29' THEN 'canceled' ELSE event_type END AS status, event_type = 'signup' AND coalesce(deadline, ts + INTERVAL 6 HOUR) <= TIMESTAMP '2024-01-29' AS changed FROM q""")
+def ST3_queue_expiry(spark, d):
+    """Queued tasks past their deadline (or past six hours without one) are cancelled; others are left as they are."""
+    deadline = F.when(F.col("value") > 250, F.col("ts") + F.expr("INTERVAL 2 HOURS"))
+    late = (F.col("event_type") == "signup") & (F.coalesce(deadline, F.col("ts") + F.expr("INTERVAL 6 HOURS")) <= F.lit("2024-01-29").cast("timestamp"))
+    return table(spark, d, "events").where("event_type IN ('signup', 'click')").select("event_id", F.when(late, "canceled").otherwise(F.col("event_type")).alias("status"), late.alias("changed"))
+
+
+@query("SELECT user_id, arg_max(event_id, (CASE WHEN event_type = 'view' THEN 0 ELSE 1 END, ts, event_id)) AS current_id FROM events GROUP BY user_id")
+def ST11_partial_back_fill(spark, d):
+    """The newest version, but a partial one (a view) never replaces a full one."""
+    full = F.when(F.col("event_type") == "view", 0).otherwise(1)
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct(full, "ts", "event_id")).alias("current_id"))
+
+
+@query("""SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS total_us, count(*) FILTER (event_type = 'view') AS model_calls, count(*) FILTER (event_type = 'click') AS tool_calls,
+CASE WHEN bool_or(event_type = 'error') THEN 'multi_source' WHEN bool_or(event_type = 'purchase') THEN 'authenticated' WHEN bool_or(event_type = 'click') THEN 'public_live' ELSE 'no_live_read' END AS scenario FROM events GROUP BY user_id""")
+def RT22_trace_snapshot(spark, d):
+    """Duration and calls of a trace, and its scenario by the first rule that fits; what is excluded is AG23."""
+    any_ = lambda t: F.bool_or(F.col("event_type") == t)
+    scenario = F.when(any_("error"), "multi_source").when(any_("purchase"), "authenticated").when(any_("click"), "public_live").otherwise("no_live_read")
+    n = lambda t: F.count_if(F.col("event_type") == t)
+    return table(spark, d, "events").groupBy("user_id").agg((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("total_us"), n("view").alias("model_calls"), n("click").alias("tool_calls"), scenario.alias("scenario"))
+
+
+@query("""WITH t AS (SELECT *, sha256('t' || event_id) AS id FROM events)
+SELECT prefix, CASE WHEN count(id) = 0 THEN 'not_found' WHEN count(id) = 1 THEN min(id) ELSE 'ambiguous' END AS resolved FROM (SELECT DISTINCT substr(sha256('t' || c_custkey), 1, 4) AS prefix FROM customer) p LEFT JOIN t ON substr(id, 1, 4) = prefix GROUP BY prefix""")
+def RT15_trace_by_prefix(spark, d):
+    """Traces named by the first characters of their id: found, unknown or ambiguous."""
+    t = table(spark, d, "events").select(F.sha2(F.concat(F.lit("t"), "event_id"), 256).alias("id")).withColumn("prefix", F.substring("id", 1, 4))
+    asked = table(spark, d, "customer").select(F.substring(F.sha2(F.concat(F.lit("t"), "c_custkey"), 256), 1, 4).alias("prefix")).distinct()
+    found = F.when(F.count("id") == 0, "not_found").when(F.count("id") == 1, F.min("id")).otherwise("ambiguous")
+    return asked.join(t, "prefix", "left").groupBy("prefix").agg(found.alias("resolved"))
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-29' - INTERVAL 48 HOUR")

@@ -89,12 +89,16 @@ def JO7_owned_semi(spark, d):
     return table(spark, d, "customer").join(owned, F.expr("c_custkey = o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("SELECT source, count(doc_id) AS n, coalesce(string_agg(title, ' ' ORDER BY doc_id), '') AS titles FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT source, doc_id, substr(text, 1, 20) AS title FROM documents JOIN labels USING (doc_id) WHERE quality = 1) v USING (source) GROUP BY source")
+@query("SELECT source, coalesce(part, 0) AS part, count(doc_id) AS n, coalesce(string_agg(title, ' ' ORDER BY doc_id), '') AS titles FROM (SELECT DISTINCT source FROM documents) s LEFT JOIN (SELECT source, doc_id, doc_id // 4096 AS part, substr(text, 1, 80) AS title FROM documents JOIN labels USING (doc_id) WHERE quality = 1) v USING (source) GROUP BY source, coalesce(part, 0)")
 def JO9_source_profile(spark, d):
-    docs = table(spark, d, "documents")
-    good = docs.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").select("source", "doc_id", F.substring("text", 1, 20).alias("title"))
+    """The titles of a source's good documents, joined, in parts of at most 4096 ids; sources without any stay.
+
+    The condition on quality stands before the left join, so it drops no source.
+    """
+    docs = table(spark, d, "documents").select("source", "doc_id", F.substring("text", 1, 80).alias("title"))
+    good = docs.join(table(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id").withColumn("part", F.floor(F.col("doc_id") / 4096))
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "title")))), lambda x: x["title"]), " ")
-    return docs.select("source").distinct().join(good, "source", "left").groupBy("source").agg(F.count("doc_id").alias("n"), listed.alias("titles"))
+    return docs.select("source").distinct().join(good, "source", "left").groupBy("source", F.coalesce("part", F.lit(0)).alias("part")).agg(F.count("doc_id").alias("n"), listed.alias("titles"))
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
@@ -102,10 +106,12 @@ def JO10_unread_anti(spark, d):
     return table(spark, d, "customer").join(table(spark, d, "orders").where("o_orderstatus = 'P'"), F.expr("c_custkey = o_custkey"), "left_anti").select("c_custkey")
 
 
-@query("SELECT d.doc_id, coalesce(l.doc_id, -1) AS labelled_id FROM documents d LEFT JOIN labels l USING (doc_id)")
+@query("SELECT o_orderkey, CASE WHEN EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey) THEN o_custkey ELSE 0 END AS supplier_id, NOT EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o_custkey) AS repaired FROM orders")
 def JO11_repair_references(spark, d):
-    known = table(spark, d, "labels").select("doc_id", F.col("doc_id").alias("labelled_id"))
-    return table(spark, d, "documents").select("doc_id").join(known, "doc_id", "left").select("doc_id", F.coalesce("labelled_id", F.lit(-1)).alias("labelled_id"))
+    """References to rows that don't exist are emptied (0) and counted as repaired."""
+    there = table(spark, d, "supplier").select(F.col("s_suppkey").alias("o_custkey"), F.lit(True).alias("there"))
+    gone = F.col("there").isNull()
+    return table(spark, d, "orders").select("o_orderkey", "o_custkey").join(there, "o_custkey", "left").select("o_orderkey", F.when(gone, 0).otherwise(F.col("o_custkey")).alias("supplier_id"), gone.alias("repaired"))
 
 
 @query("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n FROM customer")
@@ -128,19 +134,24 @@ def JO16_grouped_children(spark, d):
     return joined.select("o_orderkey", F.coalesce(F.array_join(F.transform("x", lambda s: s["l_partkey"].cast("string")), ","), F.lit("")).alias("parts"))
 
 
-@query("SELECT page_id, source, path FROM (SELECT page_id, source, path, row_number() OVER (PARTITION BY page_id ORDER BY length(path) DESC, source) AS rn FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) p JOIN (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, 'site' || (page_id % 7) AS source, regexp_extract(url, '^[a-z]+://[^/]+/[^/?]*', 0) AS path FROM pages WHERE page_id < 50) s USING (host) WHERE starts_with(url, path)) WHERE rn = 1")
+@query("WITH s AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/[^/?#]*', 0) AS path FROM pages) SELECT page_id, path FROM (SELECT page_id, path, row_number() OVER (PARTITION BY page_id ORDER BY length(path) DESC, path) AS rn FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) p JOIN s USING (host) WHERE starts_with(url, path)) WHERE rn = 1")
 def JO19_best_prefix(spark, d):
+    """Each page's site: of the sites of its host (all there are) the one of the longest base path that begins its url."""
     host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
+    sites = table(spark, d, "pages").select(host.alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+/[^/?#]*", 0).alias("path")).distinct()
     pages = table(spark, d, "pages").select("page_id", "url", host.alias("host"))
-    sites = table(spark, d, "pages").where("page_id < 50").select(host.alias("host"), F.concat(F.lit("site"), F.col("page_id") % 7).alias("source"), F.regexp_extract("url", "^[a-z]+://[^/]+/[^/?]*", 0).alias("path"))
-    best = F.max_by(F.struct("source", "path"), F.struct(F.length("path"), (-F.substring("source", 5, 1).cast("int"))))
-    return pages.join(F.broadcast(sites), "host").where(F.col("url").startswith(F.col("path"))).groupBy("page_id").agg(best.alias("b")).select("page_id", "b.source", "b.path")
+    held = pages.join(sites, "host").where(F.col("url").startswith(F.col("path")))
+    return held.groupBy("page_id").agg(F.max_by("path", F.length("path")).alias("path"))
 
 
 @query("SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS position FROM events WHERE event_type = 'error'")
 def JO20_queue_position(spark, d):
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    return table(spark, d, "events").where("event_type = 'error'").select("event_id", place.cast("long").alias("position"), "event_type").drop("event_type")
+    """Place in the queue: the rank within the hour and the number of those of earlier hours, so no task sorts the queue."""
+    e = table(spark, d, "events").where("event_type = 'error'").select("event_id", "ts", F.date_trunc("hour", "ts").alias("cell"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row an hour
+    cells = e.groupBy("cell").agg(F.count("*").alias("n")).select("cell", earlier.alias("before"))
+    place = F.row_number().over(Window.partitionBy("cell").orderBy("ts", "event_id")) - 1
+    return e.withColumn("place", place).join(cells, "cell").select("event_id", (F.col("before") + F.col("place")).alias("position"))
 
 
 @query("SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, max(value) AS most, min(ts) AS first_ts FROM events GROUP BY user_id")
@@ -184,7 +195,7 @@ def SO4_ranked_sort(spark, d):
 @query("SELECT doc_id, rn::INT AS rn FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) ORDER BY rn, source LIMIT 40")
 def SO12_round_robin(spark, d):
     rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", "source", rn.alias("rn")).orderBy("rn", "source").limit(40).select("doc_id", "rn")
+    return table(spark, d, "documents").select("doc_id", "source", rn.alias("rn")).where("rn <= 40").orderBy("rn", "source").limit(40).select("doc_id", "rn")
 
 
 @query("SELECT p_partkey, regexp_replace(p_name, '[0-9]+', '') || lpad(coalesce(nullif(regexp_extract(p_name, '[0-9]+', 0), ''), '0'), 12, '0') AS natural_key FROM part")

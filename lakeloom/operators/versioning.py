@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -25,26 +27,74 @@ def DM4_version_dedup(spark, d):
 
 @query("SELECT source, max(doc_id) AS current_version, arg_max(sha256(text), doc_id) AS content_hash FROM documents GROUP BY source")
 def SK1_pointer_table(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.max("doc_id").alias("current_version"), F.sha2(F.max_by("text", "doc_id"), 256).alias("content_hash"))
+    """The newest version of each source; texts are hashed for those versions only."""
+    docs = table(spark, d, "documents")
+    newest = docs.groupBy("source").agg(F.max("doc_id").alias("doc_id"))
+    return docs.select("source", "doc_id", "text").join(newest, ["source", "doc_id"]).select("source", F.col("doc_id").alias("current_version"), F.sha2("text", 256).alias("content_hash"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'created' WHEN b.k IS NULL THEN 'disabled' WHEN a.v = b.v THEN 'unchanged' ELSE 'updated' END AS action FROM (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0) a FULL JOIN (SELECT c_custkey AS k, c_nationkey - (c_custkey % 5 = 0)::INT AS v FROM customer WHERE c_custkey % 7 <> 0) b ON a.k = b.k")
+@query("SELECT coalesce(c_custkey, s_suppkey) AS k, CASE WHEN c_custkey IS NULL THEN 'created' WHEN s_suppkey IS NULL THEN 'disabled' WHEN c_nationkey = s_nationkey THEN 'unchanged' ELSE 'updated' END AS action FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
 def DM1_registry_upsert(spark, d):
-    c = table(spark, d, "customer")
-    old = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
-    new = c.where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("k2"), (F.col("c_nationkey") - (F.col("c_custkey") % 5 == 0).cast("int")).alias("v2"))
-    action = F.when(F.col("k").isNull(), "created").when(F.col("k2").isNull(), "disabled").when(F.col("v") == F.col("v2"), "unchanged").otherwise("updated")
-    return old.join(new, F.expr("k = k2"), "full").select(F.coalesce("k", "k2").alias("k"), action.alias("action"))
+    """A registry (customers) against a new list (suppliers): created, disabled, updated or unchanged entries."""
+    old = table(spark, d, "customer").select("c_custkey", "c_nationkey")
+    new = table(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    action = F.when(F.col("c_custkey").isNull(), "created").when(F.col("s_suppkey").isNull(), "disabled").when(F.col("c_nationkey") == F.col("s_nationkey"), "unchanged").otherwise("updated")
+    return old.join(new, F.expr("c_custkey = s_suppkey"), "full").select(F.coalesce("c_custkey", "s_suppkey").alias("k"), action.alias("action"))
+
 
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(b.kind, a.kind) AS kind, a.doc_id IS NULL AS created FROM (SELECT doc_id, 'labelled' AS kind FROM labels) a FULL JOIN (SELECT doc_id, lang AS kind FROM documents) b USING (doc_id)")
+def DM2_resource_upsert(spark, d):
+    """Known resources (labels) and what was seen now (documents): what was seen updates its row or makes one."""
+    known = table(spark, d, "labels").select("doc_id", F.lit("labelled").alias("old"))
+    seen = table(spark, d, "documents").select("doc_id", F.col("lang").alias("new"), F.lit(True).alias("seen"))
+    j = known.join(seen, "doc_id", "full")
+    return j.select("doc_id", F.coalesce("new", "old").alias("kind"), F.col("old").isNull().alias("created"))
 
-@query("SELECT doc_id, CASE WHEN n_chars % 2 = 0 THEN sha256(source) END AS etag FROM documents")
+
+@query("SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN '\"safe-' || sha256(text) || '\"' ELSE '' END AS etag FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def DM3_force_refetch(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("n_chars") % 2 == 0, F.sha2("source", 256)).alias("etag"))
+    """Where the parser that made a version isn't the expected one, its etag is emptied, so it is fetched anew.
+
+    Stand-in: labelled documents were made by the expected parser.
+    """
+    made = table(spark, d, "labels").select("doc_id").distinct().withColumn("parser", F.lit("2"))
+    etag = F.concat(F.lit('"safe-'), F.sha2("text", 256), F.lit('"'))
+    return table(spark, d, "documents").select("doc_id", "text").join(made, "doc_id", "left").select("doc_id", F.when(F.col("parser") == "2", etag).otherwise("").alias("etag"))
+
+
+@query("WITH w AS (SELECT l_orderkey AS o_orderkey, max(l_linestatus) AS expected FROM lineitem GROUP BY 1) SELECT o_orderkey, CASE WHEN o_orderstatus = expected THEN 'C' ELSE o_orderstatus END AS status, coalesce(o_orderstatus = expected, false) AS swapped FROM orders LEFT JOIN w USING (o_orderkey)")
+def DM5_compare_and_set(spark, d):
+    """A status changes only where it is still what the writer saw."""
+    seen = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_linestatus").alias("expected"))
+    same = F.coalesce(F.col("o_orderstatus") == F.col("expected"), F.lit(False))
+    return table(spark, d, "orders").select("o_orderkey", "o_orderstatus").join(seen, "o_orderkey", "left").select("o_orderkey", F.when(same, "C").otherwise(F.col("o_orderstatus")).alias("status"), same.alias("swapped"))
+
 
+@query("SELECT doc_id, 'r' || row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS release, sha256(text) AS facts FROM documents")
+def DM6_publish_release(spark, d):
+    """Each publication is a version of its own, though its facts are the same as before."""
+    n = F.row_number().over(Window.partitionBy("facts").orderBy("doc_id"))
+    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("facts")).select("doc_id", F.concat(F.lit("r"), n).alias("release"), "facts")
 
-@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' AND o_totalprice > 100000 THEN 'C' ELSE o_orderstatus END AS status FROM orders")
-def DM5_conditional_update(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", F.when((F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 100000), "C").otherwise(F.col("o_orderstatus")).alias("status"))
+
+@query("SELECT doc_id, 'accepted' AS status, NOT toxic AS is_current FROM (SELECT doc_id, max(toxic) = 1 AS toxic FROM labels GROUP BY 1) UNION ALL SELECT doc_id, 'retracted', true FROM labels GROUP BY doc_id HAVING max(toxic) = 1")
+def DM7_retire(spark, d):
+    """What is retired gets a tombstone as a new version, and the pointer moves to it."""
+    rows = table(spark, d, "labels").groupBy("doc_id").agg((F.max("toxic") == 1).alias("gone")).where("gone IS NOT NULL")
+    old = rows.select("doc_id", F.lit("accepted").alias("status"), (~F.col("gone")).alias("is_current"))
+    return old.unionByName(rows.where("gone").select("doc_id", F.lit("retracted").alias("status"), F.lit(True).alias("is_current")))
+
+
+SQL["DM7_retire"] = "SELECT doc_id, 'accepted' AS status, NOT toxic AS is_current FROM (SELECT doc_id, max(toxic) = 1 AS toxic FROM labels GROUP BY 1) WHERE toxic IS NOT NULL UNION ALL SELECT doc_id, 'retracted', true FROM labels GROUP BY doc_id HAVING max(toxic) = 1"
+
+
+@query("SELECT o_orderkey, bool_or(p_size IS NULL OR p_size > 45) AS source_changed, NOT bool_or(p_size IS NULL OR p_size > 45) AND count(*) >= 2 AS eligible FROM orders JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey")
+def DM8_origins(spark, d):
+    """Entries whose origins changed or are gone are marked; the others may be published if they have two origins."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_size")
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").join(p, "l_partkey", "left")
+    changed = F.bool_or(F.col("p_size").isNull() | (F.col("p_size") > 45))
+    return lines.join(table(spark, d, "orders").select("o_orderkey"), "o_orderkey").groupBy("o_orderkey").agg(changed.alias("source_changed"), (~changed & (F.count("*") >= 2)).alias("eligible"))
 
 
 @query("SELECT CASE WHEN user_id % 2 = 0 THEN user_id + 1 ELSE user_id END AS owner, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -61,9 +111,12 @@ def DM9_identity_merge(spark, d):
     return e.groupBy("owner", "event_type").agg(best.alias("event_id"))
 
 
-@query("SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
+@query("SELECT o_orderkey, CASE WHEN c_acctbal < 0 THEN 0 ELSE o_custkey END AS owner, o_orderpriority AS public FROM orders LEFT JOIN customer ON c_custkey = o_custkey WHERE NOT coalesce(c_acctbal < 0 AND o_orderstatus = 'P', false)")
 def DM10_cascade(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "customer").where("c_acctbal < 0"), F.expr("c_custkey = o_custkey"), "left_anti").select("o_orderkey")
+    """Of deleted subjects (a balance below 0) private rows go; public ones stay without their owner."""
+    gone = table(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("gone"))
+    rows = table(spark, d, "orders").join(gone, "o_custkey", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    return rows.where("NOT (gone AND o_orderstatus = 'P')").select("o_orderkey", F.when(F.col("gone"), 0).otherwise(F.col("o_custkey")).alias("owner"), F.col("o_orderpriority").alias("public"))
 
 
 @query("SELECT c_custkey, CASE WHEN coalesce(n, 0) = 0 THEN 'open' WHEN n < 10 THEN 'answered' ELSE 'resolved' END AS status FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
@@ -84,13 +137,84 @@ def DM15_first_confirmed(spark, d):
     return table(spark, d, "events").select("event_id", F.when(rn == 1, "confirmed").otherwise("rejected").alias("status"))
 
 
-@query("SELECT a.doc_id, b.doc_id AS other_id, a.n_chars - b.n_chars AS grown FROM (SELECT doc_id, n_chars, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS p FROM documents) a JOIN documents b ON b.doc_id = a.p")
-def RT14_version_compare(spark, d):
-    w = Window.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars")
-    return docs.select("doc_id", F.lag("doc_id").over(w).alias("other_id"), (F.col("n_chars") - F.lag("n_chars").over(w)).alias("grown")).where("other_id IS NOT NULL")
+FIELDS = ("lang", "n_chars", "quality", "toxic", "title")
 
 
-@query("SELECT count(*) FILTER (seen = 1) AS created, count(*) FILTER (seen > 1) AS repeated, sum(seen)::BIGINT AS fetched FROM (SELECT source, sha256(text), count(*) AS seen FROM documents GROUP BY ALL)")
-def RT18_sync_counts(spark, d):
-    return DM4_version_dedup(spark, d).agg(F.count_if(F.col("seen") == 1).alias("created"), F.count_if(F.col("seen") > 1).alias("repeated"), F.sum("seen").alias("fetched"))
+@query("""WITH v AS (SELECT d.doc_id, source, lang, n_chars, substr(text, 1, 80) AS title, quality, toxic FROM documents d LEFT JOIN (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)),
+p AS (SELECT *, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS other_id FROM v)
+SELECT a.doc_id, a.other_id, a.n_chars - b.n_chars AS grown, array_to_string(list_filter([CASE WHEN a.lang IS DISTINCT FROM b.lang THEN 'lang' END, CASE WHEN a.n_chars IS DISTINCT FROM b.n_chars THEN 'n_chars' END, CASE WHEN a.quality IS DISTINCT FROM b.quality THEN 'quality' END, CASE WHEN a.toxic IS DISTINCT FROM b.toxic THEN 'toxic' END, CASE WHEN a.title IS DISTINCT FROM b.title THEN 'title' END], lambda x: x IS NOT NULL), ',') AS changed
+FROM p a JOIN v b ON b.doc_id = a.other_id""")
+def RT14_version_compare(spark, d):
+    """Each version against the one before it of its source, and which fields differ.
+
+    Versions lie in cells of 4096 ids; only the last id of each cell is carried on along a source, so no task sorts one.
+    """
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars", F.substring("text", 1, 80).alias("title"), F.floor(F.col("doc_id") / 4096).alias("cell"))
+    cells = docs.groupBy("source", "cell").agg(F.max("doc_id").alias("last"))
+    earlier = cells.select("source", "cell", F.lag("last").over(Window.partitionBy("source").orderBy("cell")).alias("carried"))
+    near = F.lag("doc_id").over(Window.partitionBy("source", "cell").orderBy("doc_id"))
+    v = docs.join(labels, "doc_id", "left")
+    p = docs.select("doc_id", "source", "cell", near.alias("near")).join(earlier, ["source", "cell"]).select("doc_id", F.coalesce("near", "carried").alias("other_id")).where("other_id IS NOT NULL")
+    a, b = v.select("doc_id", F.struct(*FIELDS).alias("a")), v.select(F.col("doc_id").alias("other_id"), F.struct(*FIELDS).alias("b"))
+    changed = F.concat_ws(",", *[F.when(~F.col(f"a.{f}").eqNullSafe(F.col(f"b.{f}")), f) for f in FIELDS])
+    return p.join(a, "doc_id").join(b, "other_id").select("doc_id", "other_id", (F.col("a.n_chars") - F.col("b.n_chars")).alias("grown"), changed.alias("changed"))
+
+
+@query("""WITH f AS (SELECT doc_id, source, sha256(text) AS h FROM documents), k AS (SELECT DISTINCT source, h FROM f WHERE doc_id IN (SELECT doc_id FROM labels)),
+r AS (SELECT f.source, CASE WHEN f.h IS NULL THEN 'failed' WHEN k.h IS NOT NULL THEN 'unchanged' WHEN row_number() OVER (PARTITION BY f.source, f.h ORDER BY f.doc_id) > 1 THEN 'unchanged' ELSE 'created' END AS result FROM f LEFT JOIN k ON k.source = f.source AND k.h = f.h)
+SELECT source, count(*) AS discovered, count(*) FILTER (result <> 'failed') AS fetched, count(*) FILTER (result = 'created') AS created, count(*) FILTER (result = 'unchanged') AS unchanged, count(*) FILTER (result = 'failed') AS failed, CASE WHEN bool_or(result = 'failed') THEN 'completed_with_errors' ELSE 'completed' END AS status FROM r GROUP BY source""")
+def RT18_sync_run(spark, d):
+    """A sync of all sources: what is fetched makes a version unless its hash is known (labelled documents stand in for the
+    versions of earlier runs) or came earlier in this run; counts and status of each source's run."""
+    f = table(spark, d, "documents").select("doc_id", "source", F.sha2("text", 256).alias("h"))
+    known = f.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("source", "h").where("h IS NOT NULL").distinct().withColumn("known", F.lit(True))
+    # of equal hashes one is new; a count per hash does instead of an order within it
+    per = f.groupBy("source", "h").agg(F.count("*").alias("n")).join(known, ["source", "h"], "left")
+    new = F.when(F.col("h").isNotNull() & F.col("known").isNull(), 1).otherwise(0)
+    bad = F.when(F.col("h").isNull(), F.col("n")).otherwise(0)
+    sums = per.groupBy("source").agg(F.sum("n").alias("discovered"), F.sum(new).alias("created"), F.sum(bad).alias("failed"))
+    return sums.select("source", "discovered", (F.col("discovered") - F.col("failed")).alias("fetched"), "created", (F.col("discovered") - F.col("failed") - F.col("created")).alias("unchanged"), "failed", F.when(F.col("failed") > 0, "completed_with_errors").otherwise("completed").alias("status"))
+
+
+@query("SELECT substr(sha256(text), 1, 2) AS prefix, count(DISTINCT sha256(text)) AS objects FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def SK2_snapshots(spark, d):
+    """Content-addressed snapshots: each different text once, compressed, in a folder by the first two digits of its hash."""
+    from lakeloom.sources.store import shared_folder
+
+    texts = table(spark, d, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("sha"), "text").dropDuplicates(["sha"])
+    path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    texts.withColumn("prefix", F.substring("sha", 1, 2)).repartition("prefix").write.partitionBy("prefix").option("compression", "gzip").parquet(path)
+    kept = spark.read.schema("sha string, text string, prefix string").parquet(path)
+    return kept.where(F.sha2("text", 256) == F.col("sha")).groupBy("prefix").agg(F.count("*").alias("objects"))
+
+
+@query("SELECT 'documents' AS name, count(*) AS n, true AS ok FROM documents UNION ALL SELECT 'labels', count(*), true FROM labels")
+def SK8_backup_check(spark, d):
+    """Copies two tables and compares counts and an order-free hash of the copies with the originals."""
+    from lakeloom.sources.store import kept
+
+    def check(name):
+        a = table(spark, d, name)
+        b = kept(a, f"backup-{name}")
+        total = lambda x: x.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*x.columns).cast("decimal(38,0)")).alias("h"))
+        return total(a).crossJoin(total(b).toDF("n2", "h2")).select(F.lit(name).alias("name"), "n", ((F.col("n") == F.col("n2")) & F.col("h").eqNullSafe(F.col("h2"))).alias("ok"))
+
+    return check("documents").unionByName(check("labels"))
+
+
+@query("""SELECT *, bool_or(required AND NOT ok) OVER () AS fatal FROM (SELECT 'documents_present' AS name, true AS required, count(*) > 0 AS ok FROM documents UNION ALL SELECT 'ids_unique', true, count(*) = count(DISTINCT doc_id) FROM documents
+UNION ALL SELECT 'labels_complete', false, count(*) FILTER (l.doc_id IS NULL) = 0 FROM documents d LEFT JOIN labels l USING (doc_id))""")
+def SK9_preflight(spark, d):
+    """Named checks, whether each is needed, and whether any that is needed fails."""
+    docs = table(spark, d, "documents").select("doc_id")
+    row = lambda df, name, required, ok: df.agg(ok.alias("ok")).select(F.lit(name).alias("name"), F.lit(required).alias("required"), "ok")
+    known = table(spark, d, "labels").select("doc_id", F.lit(1).alias("has"))
+    checks = row(docs, "documents_present", True, F.count("*") > 0).unionByName(row(docs, "ids_unique", True, F.count("*") == F.count_distinct("doc_id"))).unionByName(row(docs.join(known, "doc_id", "left"), "labels_complete", False, F.count_if(F.col("has").isNull()) == 0))
+    return checks.withColumn("fatal", F.bool_or(F.col("required") & ~F.col("ok")).over(Window.partitionBy()))
+
+
+@query(r"""SELECT event_id, '{"event":"' || event_type || '"' || CASE WHEN value > 400 THEN ',"slow":' || value::VARCHAR ELSE '' END || ',"user":' || user_id || '}' AS line FROM events""")
+def SK7_structured_log(spark, d):
+    """A log line of allowed fields only; fields without a value are left out."""
+    return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("event"), F.when(F.col("value") > 400, F.col("value")).alias("slow"), F.col("user_id").alias("user"))).alias("line"))

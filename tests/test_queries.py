@@ -29,27 +29,3 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_equals_oracle(spark, duck, name):
     assert rows(registry.QUERIES[name](spark, FOLDER).toPandas()) == rows(duck.sql(registry.SQL[name]).df())
-
-
-def test_greedy_chunks():
-    from lakeloom.operators.content import greedy_chunks
-
-    text = "A sentence of some words. " * 200
-    chunks = greedy_chunks(text)
-    assert " ".join(chunks) == text.strip() and all(900 <= len(c) <= 1450 for c in chunks[:-1])
-    assert greedy_chunks("") == []
-
-
-def test_normalize_and_embedding():
-    import numpy as np
-
-    from lakeloom.operators.content import hashed_embedding, normalize
-
-    assert normalize(" ａ​b  c \n\n\n\n d ") == "ab c\n\nd" and normalize(None) is None
-    assert abs(np.linalg.norm(hashed_embedding("two words")) - 1) < 1e-6 and not hashed_embedding("").any()
-
-
-def test_back_off_windows():
-    from lakeloom.functions.text import back_off_windows
-
-    assert back_off_windows("abcdefghi") == ["abcde", "cdefg", "efghi"]
