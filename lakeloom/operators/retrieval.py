@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import back_off_windows, distinct_in_order, eligible, normal_query, occurrences, preview, query_terms, trigrams
+from lakeloom.sources import index
 from lakeloom.sources.store import kept
 from lakeloom.sources.tables import AS_OF, SQL_CURRENT, SQL_VERSIONS, current, current_documents, table, versions
 
@@ -112,6 +113,44 @@ def RT1_and_search(spark, d):
     return search(spark, d, ("the", "ing"), and_)
 
 
+_BUILT: dict[tuple[str, str], index.Index] = {}
+INDEXED = ("the", "ing", "license")
+
+
+def built(spark, d) -> index.Index:
+    """The index of a folder's tables, built once in an application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        _BUILT[key] = index.build(spark, d)
+    return _BUILT[key]
+
+
+@query(_search_sql(INDEXED, "OR"))
+def RT1_index_search(spark, d):
+    """The search from the index: postings of two trigrams, and of a longer phrase verified candidates."""
+    return index.search(built(spark, d), INDEXED)
+
+
+@query("SELECT doc_id, len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS grams, greatest(length(t) - 2, 0) AS places FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) BETWEEN 3 AND 1000)")
+def SK3_index_postings(spark, d):
+    """Of each short document how many different trigrams the index holds, and in how many places of its body."""
+    short = table(spark, d, "documents").where("length(text) BETWEEN 3 AND 1000").select("doc_id")
+    held = built(spark, d).grams.where("b > 0").join(short, "doc_id", "left_semi")
+    return held.groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum("b").alias("places"))
+
+
+@query(_search_sql(("the", "ing"), "OR").replace("FROM documents)", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 'the ' || text ELSE text END AS text) FROM documents))"))
+def DM14_reindexed_search(spark, d):
+    """A search after the texts of some documents changed and their postings were replaced."""
+    changed = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("the "), "text").alias("text"))
+    changed = changed.select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"))
+    fresh = index.refresh(built(spark, d), changed)
+    sizes = changed.select("doc_id", (trigrams(F.lower("title")) + trigrams(F.lower("body"))).alias("new"))
+    docs = kept(fresh.docs.join(sizes, "doc_id", "left").withColumn("dl", F.coalesce("new", "dl")).drop("new"), "index-documents")
+    average = docs.agg(F.avg("dl")).first()[0]
+    return index.search(index.Index(d, fresh.grams, docs, fresh.n, average), ("the", "ing"))
+
+
 # --- the ladder -----------------------------------------------------------------------------------------------------
 
 
