@@ -87,10 +87,13 @@ def AG13_scenario_gate(spark, d):
     return rows.select("scenario", F.col("n").alias("samples"), "measurable", (F.col("n") - F.col("measurable")).alias("excluded"), *[F.coalesce(p, F.lit(-1.0)).alias(p) for p in ("p50", "p95", "p99")], gate.alias("gate"))
 
 
-@query("SELECT coalesce((props->>'k')::VARCHAR, 'unknown') AS code, count(*) AS n FROM events GROUP BY 1")
+@query("SELECT event_type, coalesce((props->>'k')::VARCHAR, 'unknown') AS code, count(*) AS n, sum((event_type = 'error')::INT)::BIGINT AS errors FROM events GROUP BY 1, 2")
 def AG14_findings_histogram(spark, d):
-    code = F.coalesce(F.get_json_object("props", "$.k"), F.lit("unknown"))
-    return table(spark, d, "events").groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+    """Findings are a list in each row: exploded, then counted by severity and code; those without a code are unknown."""
+    finding = F.struct(F.col("event_type").alias("severity"), F.get_json_object("props", "$.k").alias("code"))
+    rows = table(spark, d, "events").select("user_id", F.explode(F.array(finding)).alias("f"))
+    code = F.coalesce("f.code", F.lit("unknown"))
+    return rows.groupBy(F.col("f.severity").alias("event_type"), code.alias("code")).agg(F.count("*").alias("n"), F.sum((F.col("f.severity") == "error").cast("int")).alias("errors"))
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'signup') AS created, count(*) FILTER (event_type = 'view') AS unchanged, count(*) FILTER (event_type = 'error') AS failed, CASE WHEN bool_or(event_type = 'error') THEN 'completed_with_errors' ELSE 'completed' END AS status FROM events GROUP BY user_id")

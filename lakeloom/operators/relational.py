@@ -53,21 +53,36 @@ def FI11_length(spark, d):
     return table(spark, d, "part").where(F.length("p_name").between(2, 16)).select("p_partkey")
 
 
-@query(r"SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) AS host FROM pages WHERE regexp_matches(url, '^https?://[^@/]+(/|$)')")
+@query(r"WITH p AS (SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS authority FROM pages), a AS (SELECT *, lower(regexp_replace(authority, ':[0-9]*$', '')) AS host, regexp_extract(authority, ':([0-9]*)$', 1) AS port FROM p) SELECT page_id, NOT contains(authority, '@') AND host IN (SELECT lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) FROM pages GROUP BY 1 HAVING count(*) >= 3) AND ((scheme = 'https' AND port IN ('', '443')) OR (scheme = 'http' AND port IN ('', '80'))) AS allowed FROM a")
 def FI12_url_allowed(spark, d):
-    return table(spark, d, "pages").where(F.col("url").rlike("^https?://[^@/]+(/|$)")).select("page_id", F.regexp_extract("url", "^[a-zA-Z]+://([^/:?#]+)", 1).alias("host"))
-
-
-@query(r"SELECT page_id, CASE WHEN regexp_matches(lower(p), '\.(pdf|docx?|xlsx?|pptx?|zip)$') THEN 'attachment' WHEN regexp_matches(lower(p), '\.(png|jpe?g|gif)$') THEN 'image' ELSE 'html' END AS kind FROM (SELECT page_id, regexp_extract(url, '^[^?#]*', 0) AS p FROM pages)")
+    """No user in the address, a registered host (stand-in: hosts of three pages or more), and the scheme's own port."""
+    pages = table(spark, d, "pages").select("page_id", "url")
+    host = F.lower(F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1))
+    hosts = pages.groupBy(host.alias("host")).count().where("count >= 3").select("host", F.lit(True).alias("registered"))
+    part = F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)
+    rows = pages.select("page_id", F.regexp_extract("url", "^([a-z]+)://", 1).alias("scheme"), part.alias("authority"), F.lower(F.regexp_replace(part, ":[0-9]*$", "")).alias("host"), F.regexp_extract(part, ":([0-9]*)$", 1).alias("port"))
+    own_port = ((F.col("scheme") == "https") & F.col("port").isin("", "443")) | ((F.col("scheme") == "http") & F.col("port").isin("", "80"))
+    allowed = ~F.contains("authority", F.lit("@")) & F.coalesce("registered", F.lit(False)) & own_port
+    return rows.join(hosts, "host", "left").select("page_id", allowed.alias("allowed"))
+
+
+@query(r"SELECT page_id, CASE WHEN regexp_matches(lower(p), '\.pdf$') THEN 'pdf' WHEN regexp_matches(lower(p), '\.(docx?|xlsx?|pptx?|zip|rar|csv|txt)$') OR regexp_matches(lower(q), '(^|&)(file|download|attach)[^=&]*=') THEN 'attachment' WHEN regexp_matches(lower(p), '\.(png|jpe?g|gif|webp)$') THEN 'image' WHEN regexp_matches(lower(title), 'attachment|download') THEN 'attachment' ELSE 'html' END AS kind FROM (SELECT page_id, regexp_extract(url, '^[^?#]*', 0) AS p, regexp_extract(url, '\?([^#]*)', 1) AS q, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages)")
 def FI14_resource_kind(spark, d):
-    p = F.lower(F.regexp_extract("url", "^[^?#]*", 0))
-    kind = F.when(p.rlike(r"\.(pdf|docx?|xlsx?|pptx?|zip)$"), "attachment").when(p.rlike(r"\.(png|jpe?g|gif)$"), "image").otherwise("html")
+    """By the path's suffix, then the query, then the title."""
+    p, q = F.lower(F.regexp_extract("url", "^[^?#]*", 0)), F.lower(F.regexp_extract("url", r"\?([^#]*)", 1))
+    title = F.lower(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1))
+    file = p.rlike(r"\.(docx?|xlsx?|pptx?|zip|rar|csv|txt)$") | q.rlike("(^|&)(file|download|attach)[^=&]*=")
+    kind = F.when(p.rlike(r"\.pdf$"), "pdf").when(file, "attachment").when(p.rlike(r"\.(png|jpe?g|gif|webp)$"), "image").when(title.rlike("attachment|download"), "attachment").otherwise("html")
     return table(spark, d, "pages").select("page_id", kind.alias("kind"))
 
 
-@query("SELECT count(*) AS n, max(o_orderkey) AS m FROM orders WHERE o_orderdate IS NULL OR year(o_orderdate) >= 1995")
+@query("SELECT 'year' AS rule, count(*) AS n FROM orders WHERE o_orderdate IS NULL OR year(o_orderdate) >= 1995 UNION ALL SELECT 'ended', count(*) FROM (SELECT coalesce(CASE WHEN event_type <> 'view' THEN ts + INTERVAL 1 DAY END, CASE WHEN event_type <> 'click' THEN ts END) AS fin FROM events) WHERE fin IS NULL OR fin >= TIMESTAMP '2024-01-20'")
 def FI17_cut_off(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderdate").isNull() | (F.year("o_orderdate") >= 1995)).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("m"))
+    """What was published before a year goes, and what has ended; rows without a date stay."""
+    year = table(spark, d, "orders").where(F.col("o_orderdate").isNull() | (F.year("o_orderdate") >= 1995)).agg(F.count("*").alias("n")).select(F.lit("year").alias("rule"), "n")
+    end = F.coalesce(F.when(F.col("event_type") != "view", F.col("ts") + F.expr("INTERVAL 1 DAY")), F.when(F.col("event_type") != "click", F.col("ts")))
+    ended = table(spark, d, "events").select(end.alias("fin")).where("fin IS NULL OR fin >= '2024-01-20'").agg(F.count("*").alias("n")).select(F.lit("ended").alias("rule"), "n")
+    return year.unionByName(ended)
 
 
 @query("SELECT r_name, n_name, count(*) AS orders_, max(o_orderdate) AS last_order, round(sum(l_quantity), 2) AS quantity FROM region JOIN nation ON r_regionkey = n_regionkey JOIN customer ON n_nationkey = c_nationkey JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey GROUP BY r_name, n_name")
@@ -198,10 +213,12 @@ def SO12_round_robin(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", rn.alias("rn")).where("rn <= 40").orderBy("rn", "source").limit(40).select("doc_id", "rn")
 
 
-@query("SELECT p_partkey, regexp_replace(p_name, '[0-9]+', '') || lpad(coalesce(nullif(regexp_extract(p_name, '[0-9]+', 0), ''), '0'), 12, '0') AS natural_key FROM part")
-def SO13_natural_key(spark, d):
-    digits = F.coalesce(F.nullif(F.regexp_extract("p_name", "[0-9]+", 0), F.lit("")), F.lit("0"))
-    return table(spark, d, "part").select("p_partkey", F.concat(F.regexp_replace("p_name", "^([^0-9]*)[0-9]+", "$1"), F.lpad(digits, 12, "0")).alias("natural_key"))
+@query("WITH k AS (SELECT p_partkey, string_agg(lpad(x, 12, '0'), '' ORDER BY i) AS key FROM (SELECT p_partkey, unnest(regexp_extract_all(p_name || '-' || p_size, '[0-9]+|[^0-9]+')) AS x, generate_subscripts(regexp_extract_all(p_name || '-' || p_size, '[0-9]+|[^0-9]+'), 1) AS i FROM part) GROUP BY 1) SELECT p_partkey FROM k ORDER BY key, p_partkey LIMIT 100")
+def SO13_natural_sort(spark, d):
+    """The first hundred in natural order: every run of digits counts as a number."""
+    runs = F.regexp_extract_all(F.concat_ws("-", "p_name", "p_size"), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    key = F.array_join(F.transform(runs, lambda x: F.lpad(x, 12, "0")), "")
+    return table(spark, d, "part").orderBy(key, "p_partkey").limit(100).select("p_partkey")
 
 
 @query("SELECT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier UNION SELECT n_nationkey FROM nation ORDER BY 1 LIMIT 20000")
@@ -215,11 +232,19 @@ def SE3_set_difference(spark, d):
     return table(spark, d, "nation").join(table(spark, d, "supplier").where("s_acctbal > 5000"), F.expr("n_nationkey = s_nationkey"), "left_anti").select("n_nationkey")
 
 
-@query("SELECT source, min(pos)::INT AS first_in FROM (SELECT source, 0 AS pos FROM documents WHERE lang = 'de' UNION ALL SELECT source, 1 FROM documents) GROUP BY source")
+@query("""WITH a AS (SELECT doc_id, source, 0 AS input FROM documents WHERE lang = 'de' UNION ALL SELECT doc_id, source, 1 FROM documents WHERE n_chars > 2000 UNION ALL SELECT doc_id, source, 2 FROM documents),
+f AS (SELECT source, min(input * 1000000000000 + doc_id) AS k FROM a GROUP BY source), o AS (SELECT source, k // 1000000000000 AS input, k % 1000000000000 AS doc_id FROM f ORDER BY k LIMIT 15)
+SELECT source, input::INT AS first_in, doc_id, count(*) OVER (PARTITION BY input) AS of_input FROM o""")
 def SE2_first_wins(spark, d):
-    docs = table(spark, d, "documents")
-    every = docs.where("lang = 'de'").select("source", F.lit(0).alias("pos")).unionAll(docs.select("source", F.lit(1).alias("pos")))
-    return every.groupBy("source").agg(F.min("pos").alias("first_in"))
+    """Three lists one after the other: of each source the first row stays, fifteen in all, with counts of each list."""
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars")
+    lists = [docs.where("lang = 'de'"), docs.where("n_chars > 2000"), docs]
+    every = lists[0].select("doc_id", "source", F.lit(0).alias("input"))
+    for k, x in enumerate(lists[1:], 1):
+        every = every.unionAll(x.select("doc_id", "source", F.lit(k).alias("input")))
+    first = every.groupBy("source").agg(F.min(F.struct("input", "doc_id")).alias("x")).select("source", F.col("x.input").alias("first_in"), "x.doc_id")
+    few = first.orderBy("first_in", "doc_id").limit(15)
+    return few.withColumn("of_input", F.count("*").over(Window.partitionBy("first_in")))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < 0)")
