@@ -147,3 +147,16 @@ def test_ranks_are_exact(spark):
         own = sorted(v for h, v in rows if h == g)
         assert (got[g].low, got[g].mid, got[g].high, got[g].n) == (own[0], own[len(own) // 2], own[-1], len(own))
     assert 8 not in got
+
+
+def test_readers_by_kind(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x": 1}, {"x": 2}]')
+    assert parsing.read(spark, "json", str(tmp_path / "a.json")).count() == 2
+    with pytest.raises(ValueError, match="no reader"):
+        parsing.read(spark, "fax", "x")
+
+
+def test_registry_problems(spark):
+    rows = [("a", "https://A.org/x", [" a.org "]), ("a", "https://a.org", ["a.org"]), ("b", "nonsense", ["b.org"]), ("c", "http://c.org", ["d.org"])]
+    got = {tuple(r) for r in parsing.validated(spark.createDataFrame(rows, "id string, base_url string, allowed_hosts array<string>")).collect()}
+    assert got == {("a", "duplicate_id"), ("b", "malformed_url"), ("c", "host_not_allowed")}
