@@ -6,15 +6,20 @@ an earlier start) is repeated, and every word that a repeated window covers is r
 1. Anchors.  Of a window's runs of `GRAM` words the one of least hash (the leftmost on ties) is its anchor, so equal
    windows have equal anchors.  Neighbouring windows share anchors; those of one anchor make a region.  Only a row of
    four numbers for each region is shuffled, by anchor.
-2. Regions that are equal as a whole to an earlier one are repeated.  Where an anchor has several different regions,
+2. Common anchors.  A count of anchors, of those that a task sees twice, gives the anchors of more than `COMMON` regions,
+   which come of passages that very many documents share.  Their windows are regions of their own, dealt by their own
+   hash, and of equal ones each task sends on the first only: the others are repeated for certain.  Which anchors are
+   taken for common decides the way, not the result.
+3. Regions that are equal as a whole to an earlier one are repeated.  Where an anchor has several different regions,
    the first of each goes on as reference text.
-3. Reference shards.  A shard holds all reference regions of some anchors, in order of their place; its suffix
+4. Reference shards.  A shard holds all reference regions of some anchors, in order of their place; its suffix
    automaton keeps for each state where it first ended.  The regions stream through it for matching statistics: a
    match of WINDOW words that first ended earlier marks a repeated window.
 
 The named method broadcasts the automata of all shards to all documents.  The reference text grows with the corpus, so
-there is no bound for that; here text meets the one shard that can hold its matches.  An anchor with more than `HOT`
-different regions is split: its windows go one by one to shards by their own hash, where equal ones still meet.
+there is no bound for that (figures in the README); here text meets the one shard that can hold its matches.  An anchor
+with more than `HOT` different regions is split: its windows go one by one to shards by their own hash, where equal
+ones still meet.
 
 Scale: shards have about `SHARD` regions, so an automaton's memory is bounded.  Sorting by anchor spills; no group is
 held in memory.  The texts are shuffled by doc_id once (one exchange serves both uses).
@@ -31,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffer, mix, rolling, slices, word_bounds, word_hashes, written
+from .common import buffer, map_arrow, mix, rolling, slices, word_bounds, word_hashes, written
 
 WINDOW, GRAM = 20, 8
-SHARD, HOT = 4000, 2000
+SHARD, HOT = 2000, 2000
+#: Regions from which an anchor is common, and how many of the commonest anchors are told to all tasks.
+COMMON, MOST_COMMON = 4096, 1 << 16
 #: Null doc_ids come after all others.
 LAST = (1 << 63) - 1
 
@@ -142,30 +149,101 @@ def repeated_in_shard(texts: list[list[int]], places: list[tuple[int, int]], win
     return out
 
 
-def _anchor_rows(docs: DataFrame) -> DataFrame:
+def _texts_of(batch: pa.RecordBatch):
+    """Of each document of WINDOW words or more in a batch: its row and the hashes of its words."""
+    data, off = buffer(batch.column("text"))
+    starts, ends, at = word_bounds(data, off)
+    h = word_hashes(data, starts, ends)
+    for d in np.flatnonzero(np.diff(at) >= WINDOW):
+        yield d, h[at[d] : at[d + 1]]
+
+
+def common_anchors(docs: DataFrame) -> np.ndarray:
+    """The anchors of most regions, sorted: at most MOST_COMMON, each of more than COMMON regions."""
+
     def run(batches):
+        known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def told():
+            several = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(known[several]), pa.array(counts[several])], names=["anchor", "n"])
+
         for batch in batches:
             for part in slices(batch, "text"):
-                data, off = buffer(part.column("text"))
-                starts, ends, at = word_bounds(data, off)
-                h = word_hashes(data, starts, ends)
-                ids = part.column("_doc").to_numpy()
-                found = [(ids[d], *regions(h[at[d] : at[d + 1]])) for d in np.flatnonzero(np.diff(at) >= WINDOW)]
-                if found:
-                    cols = [np.concatenate([f[k] for f in found]) for k in range(1, 6)]
-                    doc = np.repeat([f[0] for f in found], [len(f[1]) for f in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[3]), pa.array(doc), pa.array(cols[1] << 16 | cols[4] << 8 | cols[2])], names=["anchor", "content", "doc", "place"])
+                new = np.concatenate([known, *[regions(words)[0] for _, words in _texts_of(part)]])
+                weights = np.concatenate([counts, np.ones(len(new) - len(known), np.int64)])
+                known, at = np.unique(new, return_inverse=True)
+                counts = np.bincount(at, weights=weights, minlength=len(known)).astype(np.int64)
+                if len(known) > 1 << 20:
+                    yield told()
+                    known, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        yield told()
+
+    counted = map_arrow(docs.select("text"), run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON)
+    return np.sort(counted.orderBy(F.desc("n"), "anchor").limit(MOST_COMMON).select("anchor").toArrow().column(0).to_numpy())
+
+
+class Firsts:
+    """The least place of each window that a task has met."""
+
+    def __init__(self, most: int = 200_000):
+        self.held: dict[int, tuple[int, int]] = {}
+        self.most = most
+
+    def later(self, windows: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Which windows have been met at an earlier place, among these or before."""
+        again = np.zeros(len(windows), bool)
+        order = np.lexsort((start, doc, windows))
+        w, d, s = windows[order], doc[order], start[order]
+        begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+        ends = np.append(begin[1:], len(w))
+        for a, b in zip(begin.tolist(), ends.tolist(), strict=True):
+            place = (int(d[a]), int(s[a]))
+            least = min(self.held.get(int(w[a]), place), place)
+            self.held[int(w[a])] = least
+            again[order[a:b]] = (d[a:b] > least[0]) | ((d[a:b] == least[0]) & (s[a:b] > least[1]))
+        if len(self.held) > self.most:
+            self.held.clear()
+        return again
+
+
+def _anchor_rows(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """part, anchor, content, doc, place, again: the regions; windows of common anchors are regions of their own.
+
+    part deals the rows: by anchor, but by document those that are known to be repeated.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(common)
+    names = ["part", "anchor", "content", "doc", "place", "again"]
 
-    return docs.mapInArrow(run, "anchor long, content long, doc long, place long")
+    def run(batches):
+        firsts = Firsts()
+        for batch in batches:
+            for part in slices(batch, "text"):
+                ids = part.column("_doc").to_numpy()
+                plain, single = [], []
+                for d, words in _texts_of(part):
+                    anchor, first, size, same, off = regions(words)
+                    usual = ~np.isin(anchor, shared.value) if len(shared.value) else np.ones(len(anchor), bool)
+                    plain.append((anchor[usual], same[usual], np.full(usual.sum(), ids[d]), (first << 16 | off << 8 | size)[usual]))
+                    if not usual.all():
+                        windows = rolling(words, WINDOW)
+                        at = np.concatenate([np.arange(a, a + n) for a, n in zip(first[~usual].tolist(), size[~usual].tolist(), strict=True)])
+                        single.append((windows[at].view(np.int64), content(windows, at, np.ones(len(at), np.int64)), np.full(len(at), ids[d]), at << 16 | 1))
+                for found, known in ((plain, False), (single, True)):
+                    if found:
+                        anchor, same, doc, place = (np.concatenate([f[k] for f in found]) for k in range(4))
+                        again = firsts.later(anchor, doc, place >> 16) if known else np.zeros(len(anchor), bool)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.where(again, doc, anchor)), pa.array(anchor), pa.array(same), pa.array(doc), pa.array(place), pa.array(again)], names=names)
+
+    return map_arrow(docs, run, "part long, anchor long, content long, doc long, place long, again boolean")
 
 
 def repeated_windows(docs: DataFrame, shuffled: DataFrame) -> DataFrame:
     """(_doc, start, size, content): runs of repeated windows.  docs and shuffled (by _doc) have _doc and text."""
-    parts = F.col("anchor")
-    rows = _anchor_rows(docs).repartition(parts)
-    same = Window.partitionBy("anchor", "content").orderBy("doc", F.shiftright("place", 16))
-    ranked = rows.withColumn("_rank", F.rank().over(same))
-    ranked = ranked.withColumn("_kinds", F.sum(F.when(F.col("_rank") == 1, 1).otherwise(0)).over(Window.partitionBy("anchor")))
+    rows = _anchor_rows(docs, common_anchors(docs)).repartition(F.col("part"))
+    same = Window.partitionBy("part", "again", "anchor", "content").orderBy("doc", F.shiftright("place", 16))
+    ranked = rows.withColumn("_rank", F.when(F.col("again"), 2).otherwise(F.rank().over(same)))
+    ranked = ranked.withColumn("_kinds", F.sum(F.when(F.col("_rank") == 1, 1).otherwise(0)).over(Window.partitionBy("part", "again", "anchor")))
     ranked = ranked.where((F.col("_rank") > 1) | (F.col("_kinds") > 1))
     found = written(ranked.select(F.col("doc").alias("_doc"), F.shiftright("place", 16).alias("start"), F.col("place").bitwiseAND(255).alias("size"), F.shiftright("place", 8).bitwiseAND(255).alias("off"), "content", "anchor", (F.col("_rank") > 1).alias("again"), (F.col("_kinds") > HOT).alias("hot")), "substring-regions")
     whole = found.where("again").select("_doc", "start", "size", "content")
@@ -205,7 +283,7 @@ def repeated_windows(docs: DataFrame, shuffled: DataFrame) -> DataFrame:
                         names=["shard", "_doc", "start", "words", "order"],
                     )
 
-    reference = texts.select("_doc", "text", "want").mapInArrow(cut, "shard long, _doc long, start long, words array<long>, order long")
+    reference = map_arrow(texts.select("_doc", "text", "want"), cut, "shard long, _doc long, start long, words array<long>, order long")
 
     def match(shard: pd.DataFrame) -> pd.DataFrame:
         # equal places are rows that were given twice: not earlier than each other; equal windows have their anchors at
@@ -265,7 +343,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return shuffled.join(runs, "_doc", "left").select("doc_id", "text", "runs").mapInArrow(cut, f"doc_id {kind}, text string, n_words long, n_removed long")
+    return map_arrow(shuffled.join(runs, "_doc", "left").select("doc_id", "text", "runs"), cut, f"doc_id {kind}, text string, n_words long, n_removed long")
 
 
 def op7_substrings(spark, sf_dir: str) -> DataFrame:

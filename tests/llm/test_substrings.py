@@ -33,9 +33,10 @@ def corpus(seed):
     return rows + rows[:5] + [(7, passages[3] + " other text")]
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_equals_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "common"), [(2000, 4096), (1, 4096), (2000, 3), (1, 1)])
+def test_equals_brute_force(spark, monkeypatch, hot, common):
     monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "COMMON", common)
     monkeypatch.setattr(substrings, "SHARD", 20)
     rows = corpus(1)
     docs = spark.createDataFrame([(*r, 0, "z") for r in rows], "doc_id long, text string, start int, content string").repartition(5)
@@ -44,6 +45,18 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     assert sum(g[2] for g in got) > 500
 
 
+def test_one_passage_in_many_documents(spark, monkeypatch):
+    """A passage of 30 words in 10,000 documents, each with words of its own around it."""
+    monkeypatch.setattr(substrings, "COMMON", 500)
+    passage = " ".join(f"p{k}" for k in range(30))
+    rows = [(d, " ".join([*(f"a{d}x{k}" for k in range(d % 25)), passage, *(f"b{d}x{k}" for k in range(d % 9))])) for d in range(10_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    common = substrings.common_anchors(docs)
+    assert len(common) and substrings._anchor_rows(docs.withColumn("_doc", docs.doc_id), common).where("NOT again").groupBy("anchor").count().agg({"count": "max"}).first()[0] < 500
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substrings.remove_repeats(docs).collect()}
+    assert got[0] == (30, 0) and all(got[d] == (30 + d % 25 + d % 9, 30) for d in range(1, 10_000))
+
+
 def test_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
