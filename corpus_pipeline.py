@@ -19,25 +19,46 @@ NEAR = 0.8
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier doesn't reject; it learns from all documents with a label that it may see."""
+    """Documents that the classifier doesn't reject; it learns from labels whose crc32(doc_id) mod 3 isn't 1.
+
+    Null and empty texts score by the intercept alone and stay with clean ones.  Repeated rows share their score.  Without
+    labels all scores are 0.5 and all documents stay.  Columns of any name pass through.  An empty table gives one.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     return toxicity.fit_and_score(docs, labels).where("toxic_predicted = 0").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: of each component the rows of its least doc_id, exact repeats of these once.
+
+    Null and empty texts are no one's copy and stay, once for each doc_id and text.  Columns of any name pass through; of
+    rows that agree in doc_id and text one is kept.  An empty table gives one.
+    """
     return neardup.keep_one(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its personal data replaced by its kind in brackets.
+
+    Null and empty texts, repeated rows and columns of any other name pass through unchanged.  An empty table gives one.
+    """
     return pii.redact(docs, pii.train(docs))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of its source takes it: not at all, once or twice.
+
+    Null source is a source of its own, the last; documents without words take part with size 0.  Repeated rows are rows
+    of their own.  Columns of any name keep their values.  An empty table gives one.
+    """
     return mixing.mixed(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, lang, the ids of the text, their number, and digests of the ids and of the decoded text."""
+    """doc_id, source, lang, the ids of the text, their number, and digests of the ids and of the decoded text.
+
+    Null and empty texts encode as begin and end; repeated rows give equal rows; an empty table gives one.
+    """
     encoded = pieces.encode_documents(docs, pieces.default_path())
     return encoded.select("doc_id", "source", "lang", "token_ids", "n_tokens", "ids_sha256", "decoded_sha256")
 

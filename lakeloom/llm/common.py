@@ -6,9 +6,10 @@ character, so words can be found in the raw buffer of an Arrow column, a whole b
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+#: What one Arrow batch of a Python task holds at most.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def map_arrow(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow in batches of bounded bytes; a task's worker gives back at its end what it has freed.
+
+    Workers stay for later tasks and stages, so what they keep would add up.  The bounds are settings of the session.
+    """
+    for name, value in BATCH.items():
+        rows.sparkSession.conf.set(name, value)
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return rows.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Returns freed memory of this process to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def forget(table: DataFrame) -> None:
     """Removes a table of written() that nothing reads any more; other DataFrames are left alone."""
     path = getattr(table, "_written_path", None)

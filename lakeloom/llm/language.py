@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import below, crc_mod, margin, slices, written
+from .common import below, crc_mod, map_arrow, margin, slices, written
 
 ORDER = 4
 PER_LANGUAGE = 400
@@ -88,7 +88,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                     found, n = np.unique(code[which == k], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)], names=["lang", "code", "n"])
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select("lang", "text"), run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
 class KneserNey:
@@ -218,7 +218,7 @@ def identify(docs: DataFrame, model: LanguageModel, reject: float = REJECT) -> D
                 lang, p, bits = shared.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(p), pa.array(bits), pa.array(p < reject)], names=[*part.schema.names, *mine])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def op5_language(spark, sf_dir: str) -> DataFrame:

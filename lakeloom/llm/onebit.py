@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import map_arrow, written
 from .vectors import QUERY_BLOCK, ROW_BLOCK, best_pairs, blocks_of, candidates, clean, expand, matrix, meet, merge, query_classes
 
 TOP, EVERY, QUERY_BITS = 20, 20, 6
@@ -108,7 +108,7 @@ def encode(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
                 codes = Codes.of(matrix(part.column("v")), centres.get(n, np.zeros(n)))
                 yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("_n"), pa.array([x.tobytes() for x in codes.bits], pa.binary()), pa.array(codes.length), pa.array(codes.fit), pa.array(codes.shift)], names=names)
 
-    return rows.mapInArrow(run, "vec_id long, _n int, bits binary, length double, fit double, shift double")
+    return map_arrow(rows, run, "vec_id long, _n int, bits binary, length double, fit double, shift double")
 
 
 def _sides(a: pa.Table, b: pa.Table) -> tuple[np.ndarray, np.ndarray, Codes]:

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import map_arrow, slices
 
 BLANK = "▁"
-MEMORY = 300_000
+MEMORY = 150_000
 NONE = np.int64(1) << 40
 #: Symbols of characters without a piece of their own are their code point above this.
 CHAR = 1 << 21
@@ -279,7 +279,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
                     names=[*part.schema.names, *mine],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", to: str = "text") -> DataFrame:
@@ -293,7 +293,7 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids", to:
             texts = [None if x is None else model.decode(np.array(x, np.int32)) for x in lists]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, to])
 
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())]))
+    return map_arrow(rows, run, T.StructType([*rows.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def op6_pieces(spark, sf_dir: str) -> DataFrame:

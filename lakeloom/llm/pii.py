@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import least_hashed, slices, written
+from .common import least_hashed, map_arrow, slices, written
 
 KINDS = ("email", "ip", "card", "phone")
 NONE = len(KINDS)
@@ -266,7 +266,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, steps: int = 200) -> SkipChain:
             yield pa.RecordBatch.from_arrays([pa.array([[-100, i] for i in range(len(pairs))], pa.list_(pa.int32())), pa.array(pairs)], names=["f", "n"])
 
     # at most a few rows a token of the sample; most are equal
-    rows = written(chosen, "pii-sample").mapInArrow(run, "f array<int>, n double").groupBy("f").agg(F.sum("n").alias("n")).orderBy("f").toPandas()
+    rows = map_arrow(written(chosen, "pii-sample"), run, "f array<int>, n double").groupBy("f").agg(F.sum("n").alias("n")).orderBy("f").toPandas()
     pairs, x, y, n = np.ones((NONE + 1) ** 2), [], [], []
     for f, count in zip(rows["f"], rows["n"], strict=True):
         if f[0] == -100:
@@ -317,7 +317,7 @@ def find_pii(docs: DataFrame, model: SkipChain) -> DataFrame:
                 listed = [[{"kind": KINDS[k], "start": s, "end": e, "base": base} for k, s, e, base in x] for x in spans]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(listed, arrow)], names=[*part.schema.names, "pii_spans"])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def redact(docs: DataFrame, model: SkipChain) -> DataFrame:
@@ -346,7 +346,7 @@ def redact(docs: DataFrame, model: SkipChain) -> DataFrame:
                 yield part.set_column(i, "text", pa.array(out, part.schema.field("text").type))
 
     model_of = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:
