@@ -6,19 +6,22 @@
    meet in is headed by all retained values of one residue class: single values would make long lists of the passages
    that many documents share.  The number of classes follows the size of the set, so that it exceeds the number of
    values in which two linked sets can differ by two.  Two classes at least are the same in both sets, then; should
-   these hold nothing, both sets have two empty classes or more.  Such sets, which are few, also join the lists of
-   their prefix, the single least values of which linked sets share one.  So linked sets meet for certain.  From most_groups(limit) classes on
-   (sets of some 260 values) classes hold more than DEPTH values and sets at the limit agree in one with probability
-   limit**DEPTH or more (0.38 at 0.85, 0.26 at 0.8), so they miss each other in all with less than MISS; sets of 0.2
-   hardly ever meet.
+   these hold nothing, both sets have two empty classes or more.  Such sets of at most SMALL values also join the lists
+   of their prefix, the single least values of which linked sets share one, apart for each level of size.  So sets of
+   at most SMALL values that are linked meet for certain; larger ones, whose classes hold three values or more on
+   average, miss each other with less than MISS.  From most_groups(limit) classes on (sets of some 260 values) classes
+   hold more than DEPTH values and sets at the limit agree in one with probability limit**DEPTH or more (0.38 at 0.85,
+   0.26 at 0.8), so they miss each other in all with less than MISS, too; sets of 0.2 hardly ever meet.
 3. A class is compared with one leader, the class that is least in most of its lists: an estimate from the bottom-k of
    the union of the two sketches drops pairs more than five standard deviations below the limit, the exact similarity
    of the full sets decides the others.  That is one pair a class, however large a group is.
 4. Lists whose members are now all connected are done.  What the other lists hold together is a cluster: its classes
    meet in tasks of at most two blocks of BLOCK classes and SHINGLES values, which compare full sets exactly and give
    one link for each two components that they join.  So no link is lost, and no task writes all pairs of a group.
-   Blocks of a cluster's largest component don't meet each other, only the rest: a large group of near copies costs its
-   own size for each block of others.
+   Blocks hold classes of one level of size and meet those of their own and the neighbouring levels only.  Blocks of a
+   cluster's largest component don't meet each other, only the rest: a large group of near copies costs its own size
+   for each block of others.  Each block is compared within itself first; with the components that come of it, lists
+   are closed again, and pairs of blocks then have few components to join, so links stay in proportion to classes.
 5. Components by rounds of large and small stars, whose number doesn't depend on how long chains are.
 
 Scale: texts are never shuffled.  Lists are shuffled once as (key, class) pairs.  Full sets are built, in a second pass
@@ -35,12 +38,14 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer, forget, mix, rolling, slices, word_bounds, word_hashes, written
+from .common import buffer, forget, map_arrow, mix, rolling, slices, word_bounds, word_hashes, written
 
 SHINGLE, LIMIT = 5, 0.85
 DEPTH, SKETCH = 6, 128
 #: Probability that two large sets at the limit share no list.
 MISS = 1e-9
+#: Sets of more values are found by residue classes alone (see tests for the probability of a miss).
+SMALL = 64
 #: Tells lists of single values from those of residue classes.
 PREFIX = np.uint64(0xA0761D6478BD642F)
 BITMAP_BITS = 1 << 24
@@ -86,18 +91,22 @@ def _groups(level: np.ndarray, limit: float) -> np.ndarray:
     return np.minimum(most_groups(limit), np.floor((1 - limit) * limit ** -(level + 2.0)) + 2).astype(np.int64)
 
 
+def levels(n: np.ndarray, limit: float) -> np.ndarray:
+    """Level of size: floor(log n to base 1 / limit).  Sets that can be linked are at one level or at neighbours."""
+    return np.floor(np.log(np.maximum(n, 1)) / -np.log(limit) + 1e-9)
+
+
 def list_keys(sets: np.ndarray, at: np.ndarray, limit: float = LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the inverted lists of all sets, flat, and where each set's begin.
 
-    A set of n values is at level floor(log n to base 1 / limit); sets that can be linked are at one level or at
-    neighbours, so each set joins the lists of its level and of the next, where these have other numbers of classes.
-    Sets with two empty classes join the lists of their n - ceil(limit n) + 1 least values too: as linked sets have
-    limit n values or more of each in common, one of these is among the least of both.
+    Each set joins the lists of its level and of the next, where these have other numbers of classes.  Small sets with
+    two empty classes join the lists of their n - ceil(limit n) + 1 least values too, of their level and the next: as
+    linked sets have limit n values or more of each in common, one of these is among the least of both.
     """
     limit = min(round(100 * limit) / 100, 0.95)  # lists for a limit serve all higher ones
     most = most_groups(limit)
     n = np.diff(at)
-    level = np.floor(np.log(np.maximum(n, 1)) / -np.log(limit) + 1e-9)
+    level = levels(n, limit)
     low, high = _groups(level, limit), _groups(level + 1, limit)
     keys, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     sparse = np.zeros(len(n), bool)
@@ -119,11 +128,13 @@ def list_keys(sets: np.ndarray, at: np.ndarray, limit: float = LIMIT) -> tuple[n
         keys.append(mix(np.add.reduceat(mix(value + place.astype(np.uint64)), begin) + (cell[begin] % most + most * groups[own]).astype(np.uint64)).view(np.int64))
         owners.append(own)
         sparse |= used & (groups - np.bincount(own, minlength=len(n)) >= 2)
-    least = np.where(sparse, n + (-n * round(100 * limit)) // 100 + 1, 0)
+    least = np.where(sparse & (n <= SMALL), n + (-n * round(100 * limit)) // 100 + 1, 0)
     owner = np.repeat(np.arange(len(n)), least)
     place = np.arange(len(owner)) - np.repeat(np.cumsum(least) - least, least)
-    keys.append(mix(sets[at[owner] + place].view(np.uint64) ^ PREFIX).view(np.int64))
-    owners.append(owner)
+    values = mix(sets[at[owner] + place].view(np.uint64) ^ PREFIX)
+    for above in (0, 1):
+        keys.append(mix(values + (level[owner] + above).astype(np.uint64)).view(np.int64))
+        owners.append(owner)
     keys, owners = np.concatenate(keys), np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     return keys[order], np.searchsorted(owners[order], np.arange(len(at)))
@@ -141,7 +152,7 @@ def _classes(docs: DataFrame, limit: float) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, sig binary, keys array<long>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, sig binary, keys array<long>")
 
 
 def bit_of(sig: bytes) -> int:
@@ -160,7 +171,7 @@ def _bitmap(wanted: DataFrame) -> np.ndarray:
         found = np.flatnonzero(words)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(words[found])], names=["word", "bits"])
 
-    words = wanted.select("sig").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = map_arrow(wanted.select("sig"), run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     bitmap = np.zeros(BITMAP_BITS >> 6, np.int64)
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return bitmap.view(np.uint8)
@@ -186,7 +197,7 @@ def _wanted_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 kept = [sets[at[k] : at[k + 1]] for k in out]
                 yield pa.RecordBatch.from_arrays([pa.array([sigs[k] for k in out], pa.binary()), pa.array([len(x) for x in kept], pa.int64()), pa.array(kept, pa.list_(pa.int64()))], names=["sig", "n", "shingles"])
 
-    full = docs.select("text").mapInArrow(run, "sig binary, n long, shingles array<long>")
+    full = map_arrow(docs.select("text"), run, "sig binary, n long, shingles array<long>")
     return full.join(wanted, "sig").dropDuplicates(["sig"])
 
 
@@ -242,19 +253,35 @@ def joining_links(sets: list[np.ndarray], labels: list, limit: float) -> list[tu
     return out
 
 
-def _cluster_links(sets: DataFrame, clusters: DataFrame, limit: float) -> DataFrame:
-    """(a, b) that join components inside clusters (sig, cluster, label)."""
-    sized = clusters.join(sets.select("sig", "n"), "sig")
-    by_label = sized.groupBy("cluster", "label").agg(F.count("*").alias("classes"), F.sum("n").alias("values"))
-    blocks = lambda which: F.ceil(F.greatest(F.sum(F.when(which, F.col("classes"))) / BLOCK, F.sum(F.when(which, F.col("values"))) / SHINGLES)).cast("int")
+def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, low, label) of the members of lists that hold several components."""
+    labelled = members.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    still = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    return written(labelled.join(still, "key").select("sig", "low", "label").distinct(), "neardup-open")
+
+
+def _clusters(rest: DataFrame) -> DataFrame:
+    """(sig, cluster, label): what open lists hold together."""
+    found = components(rest.where("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b")), "neardup-clusters")
+    return found.withColumnRenamed("label", "cluster").join(rest.select("sig", "label").distinct(), "sig")
+
+
+def _cluster_links(sets: DataFrame, clusters: DataFrame, limit: float, within: bool = False) -> DataFrame:
+    """(a, b) that join components inside clusters (sig, cluster, label); `within`: each block with itself only."""
+    level = F.floor(F.log("n") / -float(np.log(limit)) + 1e-9).cast("int")
+    sized = clusters.join(sets.select("sig", "n"), "sig").withColumn("level", level)
+    by_label = sized.groupBy("cluster", "label").agg(F.count("*").alias("classes"))
     largest = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("classes", "label")).alias("largest"))
-    own = F.col("label") == F.col("largest")
-    parts = by_label.join(largest, "cluster").groupBy("cluster", "largest").agg(blocks(own).alias("major"), blocks(~own).alias("minor"))
-    split = clusters.join(parts, "cluster")
-    block = F.when(own, F.col("minor") + F.pmod(F.xxhash64("sig"), F.col("major"))).otherwise(F.pmod(F.xxhash64("sig"), F.col("minor"))).cast("int")
-    others = F.when(own, F.col("minor")).otherwise(F.col("minor") + F.col("major"))
-    meets = F.transform(F.sequence(F.lit(0), others - 1), lambda k: F.struct(F.least("block", k).alias("x"), F.greatest("block", k).alias("y")))
-    met = split.withColumn("block", block).select("sig", "cluster", "label", F.explode(meets).alias("m"))
+    sided = sized.join(largest, "cluster").withColumn("side", (F.col("label") == F.col("largest")).cast("int"))
+    parts = sided.groupBy("cluster", "level", "side").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int").alias("parts"))
+    number = lambda part: F.col("level").cast("long") * (1 << 32) + F.col("side") * (1 << 31) + part
+    own = sided.join(parts, ["cluster", "level", "side"]).select("sig", "cluster", "label", "level", "side", number(F.pmod(F.xxhash64("sig"), F.col("parts"))).alias("own"))
+    others = parts.select("cluster", "level", F.col("side").alias("other_side"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), number)).alias("other"))
+    if within:
+        met = own.where("side = 0").withColumn("other", F.col("own"))
+    else:
+        met = own.withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))).join(others, ["cluster", "level"]).where("side + other_side < 2")
+    met = met.select("sig", "cluster", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     rows = sets.select("sig", "shingles").join(met, "sig")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -264,8 +291,7 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, limit: float) -> DataFr
         pairs = np.array(joining_links(held, group.column("label").to_pylist(), limit), np.int64).reshape(-1, 2)
         return pa.table([sigs.take(pa.array(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    keyed = rows.select("cluster", "m.x", "m.y", "sig", "label", "shingles")
-    return keyed.groupBy("cluster", "x", "y").applyInArrow(compare, "a binary, b binary")
+    return rows.groupBy("cluster", "x", "y").applyInArrow(compare, "a binary, b binary")
 
 
 def forest(a: list, b: list) -> tuple[list, list]:
@@ -298,7 +324,7 @@ def _forests(edges: DataFrame) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in forest(a, b)], names=["a", "b"])
 
-    return edges.select("a", "b").mapInArrow(run, "a binary, b binary")
+    return map_arrow(edges.select("a", "b"), run, "a binary, b binary")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -330,7 +356,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     of the number of classes, not with the length of chains.  Before each table is written, tasks turn what edges they
     hold into forests; there are as many tasks as the edges need, so small partitions share one.
     """
-    edges = written(_forests(links.where("a <> b")), name)
+    edges = written(_forests(links.where("a <> b").coalesce(links.count() // CHUNK + 1)), name)
     while not _unfinished(edges).isEmpty():
         stars = _small_star(_large_star(edges))
         before, edges = edges, written(_forests(stars.coalesce(edges.count() // EDGES + 1)), name)
@@ -357,14 +383,10 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     wanted = written(leaders, "neardup-wanted")
     sets = written(_wanted_sets(docs, wanted), "neardup-sets")
     first = written(_leader_links(sets, limit), "neardup-links")
-    labels = components(first)
-    labelled = members.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    still = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = written(labelled.join(still, "key").select("sig", "low", "label").distinct(), "neardup-open")
-    clusters = components(rest.where("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b")), "neardup-clusters")
-    clusters = clusters.withColumnRenamed("label", "cluster").join(rest.select("sig", "label").distinct(), "sig")
-    second = written(_cluster_links(sets, clusters, limit), "neardup-more")
-    labels = components(first.unionByName(second), "neardup-components")
+    inside = written(_cluster_links(sets, _clusters(_open_lists(members, components(first))), limit, within=True), "neardup-inside")
+    links = first.unionByName(inside)
+    across = written(_cluster_links(sets, _clusters(_open_lists(members, components(links))), limit), "neardup-across")
+    labels = components(links.unionByName(across), "neardup-components")
     rows = classes.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = rows.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "label", "left")
