@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, language, middle, mixing, neardup, onebit, pieces, pii, secret_scan, substrings, toxicity
+from . import covertree, exact, language, middle, mixing, neardup, onebit, pieces, pii, secret_scan, substrings, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_neardup": neardup.op10_neardup,
+    "op11_exact": exact.op11_exact,
     "op12_middle": middle.op12_middle,
 }
 SQL = {
     "op3_secrets": secret_scan.SQL,
     "op4_covertree": covertree.SQL,
     "op8_mixing": mixing.SQL,
+    "op11_exact": exact.SQL,
     "op12_middle": middle.SQL,
 }
