@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import covertree, exact, language, middle, mixing, neardup, onebit, pieces, pii, secret_scan, substrings, toxicity
+from . import covertree, exact, language, middle, mixing, neardup, onebit, periodic, pieces, pii, secret_scan, substrings, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_neardup": neardup.op10_neardup,
     "op11_exact": exact.op11_exact,
     "op12_middle": middle.op12_middle,
+    "op13_periodic": periodic.op13_periodic,
 }
 SQL = {
     "op3_secrets": secret_scan.SQL,

@@ -88,9 +88,9 @@ def test_keep_one_keeps_columns_and_edges(spark):
 
 
 def test_long_text_over_every_limit(spark):
-    long = "word " * 200_000
+    long = "word " * 100_000
     rows = [(1, long), (2, long), (3, long + "x"), (4, "short"), (5, "short")]
-    check(exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), flush=1000, limit=1000, bucket=1000).collect(), rows)
+    check(exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), flush=1000, limit=1000, bucket=400_000).collect(), rows)
 
 
 def test_query_on_a_folder(spark, tmp_path):
