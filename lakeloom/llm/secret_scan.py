@@ -17,6 +17,8 @@ skewed only on the side of the matches, which adaptive execution splits.  Nothin
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,34 +39,69 @@ MOST_OWNERS, MOST_REPOS = 1, 2
 LEAST_DISTINCT = 12
 
 
+_SPANS = "array<struct<start:bigint,end:bigint,kind:int,value:string>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once and not at each place, or each turn of a lambda, that names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _matches(kind: int, pattern: str, least: int = 0) -> Column:
-    """array<struct<start, end, kind, value>> of a pattern's matches in text; offsets in code points."""
-    p = F.lit(pattern)
+    """array<struct<start, end, kind, value>> of a pattern's matches in text; offsets in code points.
+
+    Offsets are running totals, which a fold gives by appending, at the cost of a copy of all so far.  So the matches are
+    cut into as many blocks as a block has matches: totals of blocks are folded first, then each block from its own.
+    """
+    p, zero = F.lit(pattern), F.lit(0).cast("long")
     found = F.regexp_extract_all("text", p, F.lit(0))
     value = F.regexp_extract_all("text", p, F.lit(2)) if least else found
-    pieces = F.split("text", pattern, -1)
-    none = F.lit(0).cast("long")
-    step = F.arrays_zip(
-        F.transform(pieces, lambda x: F.length(x).cast("long")).alias("gap"),
-        F.transform(found, lambda x: F.length(x).cast("long")).alias("size"),
-        value.alias("value"),
-    )
-    folded = F.aggregate(
-        F.filter(step, lambda x: x["size"].isNotNull()),
-        F.struct(none.alias("at"), F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["size"]).alias("at"),
-            F.when(
-                F.length(x["value"]) >= least,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    none_found = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string>>")
-    return F.when(F.col("text").rlike(pattern), folded).otherwise(none_found)
+    lengths = lambda c: F.transform(c, lambda x: F.length(x).cast("long"))
+    step = F.arrays_zip(lengths(F.split("text", pattern, -1)).alias("gap"), lengths(found).alias("size"), value.alias("value"))
+    step = F.filter(step, lambda x: x["size"].isNotNull())
+
+    def blocks(steps: Column) -> Column:
+        width = F.ceil(F.sqrt(F.size(steps))).cast("int")
+        last = F.ceil(F.size(steps) / width).cast("int") - 1
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(steps, k * width + 1, width))
+
+    def begins(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, zero, lambda n, x: n + x["gap"] + x["size"]))
+        return F.slice(F.aggregate(totals, F.array(zero), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))), F.lit(1), F.size(parts))
+
+    def within(part: Column, at: Column) -> Column:
+        return F.aggregate(
+            part,
+            F.struct(at.alias("at"), F.array().cast(_SPANS).alias("spans")),
+            lambda acc, x: _let(
+                F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["size"]).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")),
+                lambda s: F.struct(s["end"].alias("at"), F.when(F.length(s["value"]) >= least, F.concat(acc["spans"], F.array(s))).otherwise(acc["spans"]).alias("spans")),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    placed = _let(step, lambda steps: _let(blocks(steps), lambda parts: F.flatten(F.zip_with(parts, begins(parts), within))))
+    return F.when(F.col("text").rlike(pattern), placed).otherwise(F.array().cast(_SPANS))
+
+
+def _free(extra: str, base: str) -> Column:
+    """The spans of `extra`, which are in order and apart, that meet none of `base`.
+
+    A span meets as many others as start before its end less those that end up to its start.  Both numbers are places in
+    a sorted array of both kinds, so the work is that of sorting, however many spans a text has.
+    """
+
+    def before(own: str, other: str, other_first: bool) -> Column:
+        """For each span of extra, how many of base have `other` before its `own`; at it too, if other_first."""
+        events = F.concat(
+            F.transform(base, lambda s: F.struct(s[other].alias("at"), F.lit(int(not other_first)).alias("order"), F.lit(-1).alias("k"))),
+            F.transform(extra, lambda s, k: F.struct(s[own].alias("at"), F.lit(int(other_first)).alias("order"), k.alias("k"))),
+        )
+        counted = F.transform(F.array_sort(events), lambda e, place: F.struct(e["k"].alias("k"), (place - e["k"]).alias("n")))
+        return F.transform(F.filter(counted, lambda e: e["k"] >= 0), lambda e: e["n"])
+
+    both = F.arrays_zip(F.col(extra).alias("span"), before("end", "start", False).alias("begun"), before("start", "end", True).alias("over"))
+    return F.transform(F.filter(both, lambda x: x["begun"] == x["over"]), lambda x: x["span"])
 
 
 def _joined(spans: Column) -> Column:
@@ -78,9 +115,8 @@ def candidates(docs: DataFrame, owner: str, repo: str) -> DataFrame:
     rows = rows.select("_doc", "_owner", "_repo", F.sha2("text", 256).alias("_text"), _matches(0, ASSIGN, ASSIGN_LEAST).alias("a"), _matches(1, ACCESS).alias("k"), _matches(2, HEX).alias("h"), _matches(3, LIVE).alias("l"))
     base = F.array_sort(F.concat("a", "k", "h"))
     mixed = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(s["value"], ""))) >= LEAST_DISTINCT)
-    free = lambda s, b: ~F.exists(b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))
     rows = rows.withColumn("base", base)
-    return rows.select("_doc", "_owner", "_repo", "_text", "base", F.filter("l", lambda s: mixed(s) & free(s, F.col("base"))).alias("extra"))
+    return rows.select("_doc", "_owner", "_repo", "_text", "base", F.filter(_free("l", "base"), mixed).alias("extra"))
 
 
 def ownership(found: DataFrame) -> DataFrame:
