@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from lakeloom import registry
@@ -21,7 +22,8 @@ def duck():
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda x: repr(round(float(x), 8)) if isinstance(x, float) and x == x else "null" if x is None or x != x else str(x)
+    absent = lambda x: x is None or x is pd.NA or x is pd.NaT or (isinstance(x, float) and x != x)
+    text = lambda x: "null" if absent(x) else repr(round(float(x), 8)).removesuffix(".0") if isinstance(x, float) else str(x)
     return list(frame.columns), sorted(tuple(map(text, r)) for r in frame.astype(object).itertuples(index=False, name=None))
 
 
