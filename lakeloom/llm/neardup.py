@@ -375,7 +375,9 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     classes = written(_classes(docs, limit), "neardup-classes")
-    lists = classes.where("n > 0").select("sig", F.explode("keys").alias("key")).repartition(F.col("key"))
+    # a class's copies are one before its lists are dealt: the tasks of the scan keep one each
+    once = classes.where("n > 0").select("sig", "keys").dropDuplicates(["sig"])
+    lists = once.select("sig", F.explode("keys").alias("key")).repartition(F.col("key"))
     ends = lists.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key", "low")
     members = written(lists.join(ends, "key").distinct(), "neardup-lists")
     votes = members.groupBy("sig", "low").agg(F.count("*").alias("votes"))

@@ -4,7 +4,8 @@ Features of a text: the set of its hashed words (runs of letters and digits, A-Z
 pairs with one word between.  FTRL-proximal keeps a rate for each coordinate and sets weights to zero under its L1
 term, so the model that goes to the executors holds a few hundred coordinates.
 
-The classifier is fitted on a bounded sample: at most `PER_CLASS` labelled rows of each label, those of least hash.
+The classifier is fitted on a bounded sample: at most `PER_CLASS` labelled rows and `PER_CLASS_BYTES` of text of each label,
+those of least hash.
 Its one task sees that sample only.  Scoring is one pass over all texts with no shuffle; the weights broadcast are
 at most 2**BITS, and in fact as few as L1 leaves.
 """
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,8 @@ from .common import NOT_ALNUM, buffer, crc_mod, least_hashed, map_arrow, mix, sl
 
 BITS = 20
 PER_CLASS = 4000
+#: Bytes of text of each label in the sample, at most.
+PER_CLASS_BYTES = 64 << 20
 #: These five were chosen by log loss on learnable rows only: fitted where crc32 mod 3 is 0, judged where it is 2.
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 16.0, 1.0
@@ -68,15 +71,21 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS) -> DataFrame:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs: int = EPOCHS, per_class_bytes: int = PER_CLASS_BYTES) -> DataFrame:
     """(feature, weight) of the non-zero coordinates; feature 2**BITS is the intercept.
 
-    labels: doc_id, toxic; rows with null in either are left out, of contradicting rows the higher label counts.
+    labels: doc_id, toxic; rows with null in either are left out, of contradicting rows the higher label counts.  Of
+    repeated doc_ids the greatest text counts; empty tables give no weights.  The sample is, for each label, per_class
+    documents of least hash, and of these the first that have per_class_bytes of text together; longer single texts aren't
+    learnt from.  So the fitting task holds a bounded number of features.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     parts = [least_hashed(known.where(F.col("y") == y), F.xxhash64("doc_id"), per_class, "doc_id") for y in (0, 1)]
     chosen = written(parts[0].unionByName(parts[1]), "toxicity-ids")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+    texts = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text")), "toxicity-texts")
+    sized = texts.select("doc_id", "y", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size")).where(F.col("size") <= per_class_bytes)
+    so_far = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))  # per_class rows at most
+    rows = texts.join(F.broadcast(sized.withColumn("so_far", so_far).where(F.col("so_far") <= per_class_bytes).select("doc_id")), "doc_id")
 
     def listed(batches):
         for batch in batches:
@@ -90,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, epochs
         for batch in batches:
             ids += batch.column("doc_id").to_pylist()
             ys += batch.column("y").to_pylist()
-            xs += [np.append(x.values.to_numpy(), 1 << BITS) for x in batch.column("x")]
+            xs += [np.append(x.values.to_numpy(), np.int32(1 << BITS)) for x in batch.column("x")]
         rare = min(MOST_WEIGHT, max(1.0, ys.count(0) / max(ys.count(1), 1)))
         model, order = Ftrl(), np.argsort(np.array(ids, np.int64), kind="stable")
         for epoch in range(epochs):
