@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,29 +109,29 @@ def SC28_local_times(spark, d):
 
 
 def ocr_rows(words: DataFrame) -> DataFrame:
-    """page, row, text of recognised words (page, text, x, y, width, height), by rows of the layout.
+    """page, row, text of recognised words (page, text, x, y, width, height), by rows of the layout, top row first.
 
-    Words go by centre and left edge; each joins the best of the last eight rows whose centre is within max(4, 0.65 times
-    the lesser height).  A page is one group: what one image holds.
+    Words go by centre and left edge; each joins the nearest of the last eight rows whose mean centre is within max(4, 0.65
+    times the lesser height), or begins one.  The fold is an aggregate over the words of a page, which is what one image
+    holds.
     """
+    kind = "array<struct<sum:double,n:int,height:double,top:double,cells:array<struct<x:double,k:int,text:string>>>>"
+    word = F.struct((F.col("y") + F.col("height") / 2).cast("double").alias("centre"), F.col("x").cast("double").alias("x"), "text", F.col("y").cast("double").alias("top"), F.col("height").cast("double").alias("height"))
+    pages = words.groupBy("page").agg(F.array_sort(F.collect_list(word)).alias("words"))
 
-    def layout(page: pd.DataFrame) -> pd.DataFrame:
-        rows: list[dict] = []
-        page = page.assign(centre=page["y"] + page["height"] / 2).sort_values(["centre", "x"], kind="stable")
-        for w in page.itertuples():
-            near = [r for r in rows[-8:] if abs(r["centre"] - w.centre) <= max(4.0, 0.65 * min(r["height"], w.height))]
-            if near:
-                row = min(near, key=lambda r: abs(r["centre"] - w.centre))
-                row["words"].append((w.x, w.text))
-                n = len(row["words"])
-                row["centre"] += (w.centre - row["centre"]) / n
-                row["height"] = max(row["height"], w.height)
-            else:
-                rows.append({"centre": w.centre, "height": w.height, "words": [(w.x, w.text)]})
-        texts = [" | ".join(t for _, t in sorted(r["words"])) for r in rows]
-        return pd.DataFrame({"page": [page["page"].iloc[0]] * len(rows), "row": range(len(rows)), "text": texts})
-
-    return words.groupBy("page").applyInPandas(layout, "page long, row long, text string")
+    def joined(rows: Column, w: Column) -> Column:
+        skipped = F.greatest(F.size(rows) - 8, F.lit(0))
+        gaps = F.transform(F.slice(rows, skipped + 1, F.lit(8)), lambda r, k: F.struct(F.abs(r["sum"] / r["n"] - w["centre"]).alias("gap"), (skipped + k).alias("at"), r["height"].alias("height")))
+        nearest = F.array_min(F.filter(gaps, lambda g: g["gap"] <= F.greatest(F.lit(4.0), 0.65 * F.least(g["height"], w["height"]))))["at"]
+        cell = lambda k: F.array(F.struct(w["x"].alias("x"), k.alias("k"), w["text"].alias("text")))
+        row = lambda total, n, height, top, cells: F.struct(total.alias("sum"), n.alias("n"), height.alias("height"), top.alias("top"), cells.alias("cells"))
+        grown = F.transform(rows, lambda r, k: F.when(k == nearest, row(r["sum"] + w["centre"], r["n"] + 1, F.greatest(r["height"], w["height"]), F.least(r["top"], w["top"]), F.concat(r["cells"], cell(r["n"])))).otherwise(r))
+        return F.when(nearest.isNotNull(), grown).otherwise(F.concat(rows, F.array(row(w["centre"], F.lit(1), w["height"], w["top"], cell(F.lit(0))))))
+
+    rows = pages.select("page", F.aggregate("words", F.array().cast(kind), joined).alias("rows"))
+    ordered = F.array_sort(F.transform("rows", lambda r, k: F.struct(r["top"].alias("top"), k.alias("k"), r["cells"].alias("cells"))))
+    texts = F.transform(ordered, lambda r: F.array_join(F.transform(F.array_sort(r["cells"]), lambda c: c["text"]), " | "))
+    return rows.select("page", F.posexplode(texts).alias("row", "text")).withColumn("row", F.col("row").cast("long"))
 
 
 def validated(sources: DataFrame) -> DataFrame:
@@ -307,22 +308,26 @@ def SF46_suggestion(spark, d):
 
 
 @pandas_udf(T.DoubleType())
-def title_score(labels: pd.Series, titles: pd.Series) -> pd.Series:
-    """1 if equal, from 0.9 on if one holds the other, else by matching blocks; spaces and marks don't count."""
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Of pairs that aren't null: the matching blocks' share of a and of both, the first counting most from 0.8 on."""
+    out = pd.Series(np.nan, index=a.index)
+    for k in np.flatnonzero(a.notna() & b.notna()):
+        blocks = difflib.SequenceMatcher(None, a.iat[k], b.iat[k])
+        size = sum(m.size for m in blocks.get_matching_blocks())
+        of_a, of_both = size / len(a.iat[k]), 2 * size / (len(a.iat[k]) + len(b.iat[k]))
+        out.iat[k] = 0.8 + 0.15 * of_a + 0.05 * of_both if of_a >= 0.8 else of_both
+    return out
+
 
-    def one(a: str, b: str) -> float:
-        a, b = ("".join(c for c in (x or "").casefold() if c.isalnum()) for x in (a, b))
-        if not a or not b or a == b:
-            return float(bool(a) and a == b)
-        if a in b or b in a:
-            return 0.9 + 0.1 * min(len(a), len(b)) / max(len(a), len(b))
-        if min(len(a), len(b)) < 4:
-            return 0.0
-        m = difflib.SequenceMatcher(None, a, b)
-        held = sum(x.size for x in m.get_matching_blocks()) / len(a)
-        return 0.8 + 0.15 * held + 0.05 * m.ratio() if held >= 0.8 else m.ratio()
+def title_score(label: Column, title: Column) -> Column:
+    """1 if equal, from 0.9 on if one holds the other, else by likeness; case, spaces and marks don't count.
 
-    return pd.Series([one(a, b) for a, b in zip(labels, titles, strict=True)])
+    Only what equality, containment and length leave open goes to Python.
+    """
+    a, b = (F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]", "")) for c in (label, title))
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    decided = F.when(short == 0, 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9 + 0.1 * short / long).when(short < 4, 0.0)
+    return F.coalesce(decided, likeness(F.when(decided.isNull(), a), F.when(decided.isNull(), b)))
 
 
 def match_labels(labels: DataFrame, titles: DataFrame, least: float = 0.72, margin: float = 0.08) -> DataFrame:
@@ -331,7 +336,7 @@ def match_labels(labels: DataFrame, titles: DataFrame, least: float = 0.72, marg
     labels: answer, label; titles: answer, url, title.  A url counts with its best title; the best must reach `least` and
     lead by `margin`.  An answer has a handful of labels and titles, so its pairs are few.
     """
-    scored = labels.join(titles, "answer").withColumn("score", title_score("label", "title")).groupBy("answer", "label", "url").agg(F.max("score").alias("score"))
+    scored = labels.join(titles, "answer").withColumn("score", title_score(F.col("label"), F.col("title"))).groupBy("answer", "label", "url").agg(F.max("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("answer", "label").orderBy(F.desc("score"), "url"))
     best = scored.withColumn("place", place).where("place <= 2").groupBy("answer", "label").agg(F.max_by("url", -F.col("place")).alias("url"), F.max("score").alias("first"), F.coalesce(F.min(F.when(F.col("place") == 2, F.col("score"))), F.lit(0.0)).alias("second"), F.count("*").alias("n"))
     return best.where((F.col("first") >= least) & ((F.col("n") == 1) | (F.col("first") - F.col("second") >= margin))).select("answer", "label", "url")

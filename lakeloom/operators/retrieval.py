@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions.text import back_off_windows, distinct_in_order, eligible, normal_query, occurrences, preview, query_terms, trigrams
 from lakeloom.sources import index
-from lakeloom.sources.store import kept
-from lakeloom.sources.tables import AS_OF, SQL_CURRENT, SQL_VERSIONS, current, current_documents, table, versions
+from lakeloom.sources.store import fingerprint, kept, new_folder
+from lakeloom.sources.tables import AS_OF, SQL_CURRENT, SQL_VERSIONS, current, current_documents, excluded, table, versions
 
 K1, B, TITLE_WEIGHT = 1.2, 0.75, 5.0
 PHRASES = ("the", "and er", "license")
@@ -113,13 +113,13 @@ def RT1_and_search(spark, d):
     return search(spark, d, ("the", "ing"), and_)
 
 
-_BUILT: dict[tuple[str, str], index.Index] = {}
+_BUILT: dict[tuple[str, str, str], index.Index] = {}
 INDEXED = ("the", "ing", "license")
 
 
 def built(spark, d) -> index.Index:
-    """The index of a folder's tables, built once in an application."""
-    key = (spark.sparkContext.applicationId, d)
+    """The index of a folder's tables, built once in an application for each state of their files."""
+    key = (spark.sparkContext.applicationId, d, fingerprint(spark, f"{d}/documents.parquet", f"{d}/labels.parquet"))
     if key not in _BUILT:
         _BUILT[key] = index.build(spark, d)
     return _BUILT[key]
@@ -131,24 +131,67 @@ def RT1_index_search(spark, d):
     return index.search(built(spark, d), INDEXED)
 
 
-@query("SELECT doc_id, len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS grams, greatest(length(t) - 2, 0) AS places FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) BETWEEN 3 AND 1000)")
+@query(_search_sql(("the", "ing"), "OR").replace("WHERE (", "WHERE doc_id IN (SELECT doc_id FROM l WHERE contains(t || ' ' || b, 'zu') AND contains(t || ' ' || b, 'q')) AND ("))
+def FI5_index_required(spark, d):
+    """An indexed search whose terms of one and two characters, which have no postings, must stand in the texts."""
+    return index.search(built(spark, d), ("the", "ing"), required=("zu", "q"))
+
+
+@query("SELECT doc_id, len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS grams, length(t) - 2 AS places FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) >= 3)")
 def SK3_index_postings(spark, d):
-    """Of each short document how many different trigrams the index holds, and in how many places of its body."""
-    short = table(spark, d, "documents").where("length(text) BETWEEN 3 AND 1000").select("doc_id")
-    held = built(spark, d).grams.where("b > 0").join(short, "doc_id", "left_semi")
+    """Of each document how many different trigrams the index holds, and in how many places of its body."""
+    held = built(spark, d).read("postings", index.POSTINGS).where("b > 0")
     return held.groupBy("doc_id").agg(F.count("*").alias("grams"), F.sum("b").alias("places"))
 
 
-@query(_search_sql(("the", "ing"), "OR").replace("FROM documents)", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN 'the ' || text ELSE text END AS text) FROM documents))"))
+def changes(spark, d) -> list[DataFrame]:
+    """Three batches of changes of the documents: new texts for a third, of which some twice; deletions; copies under new
+    ids, of which some go again in the same batch."""
+    docs = versions(spark, d).join(excluded(spark, d).withColumn("bad", F.lit(True)), "doc_id", "left")
+    current = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False)) & F.col("bad").isNull()
+    row = lambda prefix, seq, deleted=False: [
+        F.substring(F.concat(F.lit(prefix), "body"), 1, 80).alias("title"), F.concat(F.lit(prefix), "body").alias("body"), "published", current.alias("current"), F.lit(deleted).alias("deleted"), F.lit(seq).alias("seq")
+    ]
+    first = docs.where("doc_id % 3 = 0").select("doc_id", *row("the ", 1)).unionByName(docs.where("doc_id % 9 = 0").select("doc_id", *row("the the ing ", 2)))
+    gone = docs.where("doc_id % 7 = 1").select("doc_id", *row("", 3, deleted=True))
+    copied = docs.where("doc_id % 5 = 2").withColumn("doc_id", F.col("doc_id") + 900_000_000)
+    current = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False))
+    again = copied.select("doc_id", *row("ing ", 4)).unionByName(copied.where("doc_id % 2 = 0").select("doc_id", *row("", 5, deleted=True)))
+    return [first, gone, again]
+
+
+#: The documents after these changes; 900,000,000 is a multiple of 900, so the stand-in for the date stays.
+SQL_CHANGED = """(SELECT * REPLACE (CASE WHEN doc_id % 9 = 0 THEN 'the the ing ' || text WHEN doc_id % 3 = 0 THEN 'the ' || text ELSE text END AS text) FROM documents WHERE doc_id % 7 <> 1
+  UNION ALL SELECT * REPLACE (doc_id + 900000000 AS doc_id, 'ing ' || text AS text) FROM documents WHERE doc_id % 5 = 2 AND doc_id % 2 = 1)"""
+
+
+@query(_search_sql(("the", "ing", "e ing"), "OR").replace("FROM documents)", f"FROM {SQL_CHANGED})"))
 def DM14_reindexed_search(spark, d):
-    """A search after the texts of some documents changed and their postings were replaced."""
-    changed = table(spark, d, "documents").where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("the "), "text").alias("text"))
-    changed = changed.select("doc_id", F.substring("text", 1, 80).alias("title"), F.col("text").alias("body"))
-    fresh = index.refresh(built(spark, d), changed)
-    sizes = changed.select("doc_id", (trigrams(F.lower("title")) + trigrams(F.lower("body"))).alias("new"))
-    docs = kept(fresh.docs.join(sizes, "doc_id", "left").withColumn("dl", F.coalesce("new", "dl")).drop("new"), "index-documents")
-    average = docs.agg(F.avg("dl")).first()[0]
-    return index.search(index.Index(d, fresh.grams, docs, fresh.n, average), ("the", "ing"))
+    """A search after three batches of updates, deletions and insertions were applied to the index."""
+    root = new_folder(spark, "index")
+    state = index.build(spark, d, root)
+    for batch in changes(spark, d):
+        state = index.apply(state, batch)
+    index.vacuum(state)
+    return index.search(state, ("the", "ing", "e ing"))
+
+
+@query(_search_sql(("the", "icense"), "OR").replace("FROM documents)", f"FROM {SQL_CHANGED})"))
+def ST9_followed_search(spark, d):
+    """A search on an index that a stream of changes keeps, a micro-batch a file, each applied once though it comes twice."""
+    root, source = new_folder(spark, "index"), new_folder(spark, "changes")
+    index.build(spark, d, root)
+    for k, batch in enumerate(changes(spark, d)):
+        batch.coalesce(1).write.parquet(f"{source}/part={k}")
+    write = index.followed(root, d)
+
+    def twice(rows: DataFrame, batch: int) -> None:
+        write(rows, batch)
+        write(rows, batch)
+
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(f"{source}/part=*")
+    stream.writeStream.option("checkpointLocation", f"{source}-state").trigger(availableNow=True).foreachBatch(twice).start().awaitTermination()
+    return index.search(index.opened(spark, root, d), ("the", "icense"))
 
 
 # --- the ladder -----------------------------------------------------------------------------------------------------

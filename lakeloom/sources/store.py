@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -20,8 +21,48 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a folder that isn't there yet, in the shared one."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def kept(df: DataFrame, name: str, *sort: str) -> DataFrame:
     """df as a Parquet table, each file in the order of `sort`: what costs a pass over the texts is done once."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, name)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any store that Spark reads; none if it isn't there."""
+    files, place = _place(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(place)) if files.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _place(spark, path)
+    files.delete(place, True)
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    files, place = _place(spark, path)
+    return files.getContentSummary(place).getLength() if files.exists(place) else 0
+
+
+def fingerprint(spark: SparkSession, *paths: str) -> str:
+    """Changes when a file of the paths comes, goes or is written anew."""
+    seen = hashlib.sha256()
+    for path in paths:
+        files, place = _place(spark, path)
+        each = files.listFiles(place, True)
+        found = []
+        while each.hasNext():
+            s = each.next()
+            found.append(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}")
+        seen.update("\n".join(sorted(found)).encode())
+    return seen.hexdigest()

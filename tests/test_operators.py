@@ -1,6 +1,9 @@
 """Golden values and brute force for what SQL doesn't cover: text forms, chunks, embeddings, facts, pages, matching."""
 
+import datetime
 import hashlib
+import random
+import re
 import unicodedata
 
 import numpy as np
@@ -59,18 +62,22 @@ def test_normal_form(spark):
         assert got[k] == plain_normal(t) == indexing.normal(t), repr(t)
 
 
-def test_chunks():
+def test_chunks(spark):
     lines = "\n".join(f"line {k} " + "x" * 90 for k in range(60))
-    out = indexing.chunks("t", lines)
-    assert [c[0] for c in out] == list(range(len(out))) and all(len(c[3]) <= 1450 for c in out) and "\n".join(c[3] for c in out) == lines
-    assert all(lines[c[4] : c[5]] == c[3] for c in out)
     text = "开头。\n第一章 总则\n" + "内" * 950 + "。\n后文\n一、报名时间\n六月"
-    found = indexing.chunks("标题", text)
-    assert [(c[1], c[2]) for c in found] == [("section", ""), ("clause", "第一章总则"), ("clause", "第一章总则"), ("time", "一、报名时间")]
     long = "。".join("字" * 99 for _ in range(30)) + "。"
-    split = indexing.chunks("t", long)
-    assert "".join(c[3].replace("\n", "") for c in split) == long and all(900 <= len(c[3]) <= 1450 for c in split[:-1])
-    assert indexing.chunks("t", "") == [(0, "summary", "t", "t", 0, 1)]
+    docs = spark.createDataFrame([(1, "t", lines), (2, "标题", text), (3, "t", long), (4, "t", ""), (5, None, None), (6, "t", "x"), (7, "t", "\n\n"), (8, "t", "适用 第二条")], "doc_id long, title string, text string")
+    found = {}
+    for r in indexing.chunk_table(docs).orderBy("doc_id", "ordinal").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    out = found[1]
+    assert [r.ordinal for r in out] == list(range(len(out))) and all(len(r.content) <= 1450 for r in out) and "\n".join(r.content for r in out) == lines
+    assert all(lines[r.start : r.end] == r.content for r in out)
+    assert [(r.kind, r.heading) for r in found[2]] == [("section", ""), ("clause", "第一章总则"), ("clause", "第一章总则"), ("time", "一、报名时间")]
+    split = found[3]
+    assert "".join(r.content.replace("\n", "") for r in split) == long and all(900 <= len(r.content) <= 1450 for r in split[:-1])
+    assert [(r.kind, r.heading, r.content, r.start, r.end) for r in found[4]] == [("summary", "t", "t", 0, 1)]
+    assert [(r.kind, r.content) for k in (5, 6, 8) for r in found[k]] == [("summary", ""), ("section", "x"), ("audience", "适用第二条")]
 
 
 def test_embedding_equals_brute_force():
@@ -92,20 +99,60 @@ def test_embedding_equals_brute_force():
     assert np.allclose(indexing.embed(text), want, atol=1e-8) and not indexing.embed("a !").any()
 
 
+def plain_time(text, labels, year, end_of_day):
+    """The labelled time by finditer: (at, start, end) or None."""
+    clock = r"(?:\s*(?P<p>上午|下午|晚上|晚|凌晨|中午))?(?:\s*(?P<h>[0-9]{1,2})\s*(?:[:：时点]\s*(?P<i>[0-9]{1,2}))?\s*分?)?"
+    full = r"(?P<y>20[0-9]{2})\s*[年./-]\s*(?P<m>[0-9]{1,2})\s*[月./-]\s*(?P<d>[0-9]{1,2})\s*[日号]?" + clock
+    short = r"(?<![0-9])(?P<y>)(?P<m>[0-9]{1,2})\s*月\s*(?P<d>[0-9]{1,2})\s*[日号]?" + clock
+    best = None
+    for k, label in enumerate(labels):
+        for at in re.finditer(label, text):
+            low = max(0, at.start() - 45)
+            for pattern in (full, short):
+                for m in re.finditer(pattern, text[low : at.end() + 130]):
+                    h, i = int(m["h"] or (23 if end_of_day else 0)), int(m["i"] or (59 if end_of_day and not m["h"] else 0))
+                    if m["h"]:
+                        h = h + 12 if m["p"] in ("下午", "晚上", "晚") and h < 12 or m["p"] == "中午" and h < 11 else 0 if m["p"] == "凌晨" and h == 12 else h
+                    try:
+                        when = datetime.datetime(int(m["y"] or year), int(m["m"]), int(m["d"]), h, i) - datetime.timedelta(hours=8)
+                    except ValueError:
+                        continue
+                    s, e = low + m.start(), low + m.end()
+                    key = (min(abs(s - at.end()), abs(e - at.start())) + (20 if s < at.start() else 0), s, k)
+                    best = min(best or (key, when, s, e), (key, when, s, e), key=lambda x: x[0])
+    return best and best[1:]
+
+
+def test_labelled_times_equal_a_plain_search(spark):
+    rng = random.Random(4)
+    bits = ["截止", "报名截止", "开始", "2024年3月5日", "3月5日下午3:30", "12月31日 中午11时", "2024-2-30", "2023.6.1 8点20分", "凌晨12:05", "月", "。", "\n", " 于 ", "x" * 20, "1月1日晚9时", "2024/13/1", "2月29日", "25:99", "截至", "5日"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 14))), rng.choice([2023, 2024])) for k in range(300)] + [(900, "", 2024), (901, None, 2024), (902, "截止" * 300 + "2024年1月2日", 2024)]
+    docs = spark.createDataFrame(rows, "k long, t string, y int")
+    for labels, last in ((indexing.DEADLINE_LABELS, True), (("开始",), False)):
+        for r in docs.select("*", indexing.labelled_time(F.col("t"), labels, F.col("y"), last).alias("x")).collect():
+            want = plain_time(r.t or "", labels, r.y, last)
+            assert (r.x and (r.x["at"], r.x.start, r.x.end)) == want, (r.t, r.x, want)
+
+
 def test_facts(spark):
     rows = [
-        (1, "关于报名的通知", "请2024级学生于2024年12月3日前提交材料。地点：一号楼报告厅。", "2024-01-01"),
-        (2, "奖学金管理办法", "废止《旧办法》。校发〔2023〕5号", "2024-01-01"),
-        (3, "plain", "nothing", "2024-01-01"),
-        (4, "讲座", "活动延期《原讲座安排》 1 2024.05", "2024-01-01"),
+        (1, "关于报名的通知", "请2024级学生于2024年12月3日前提交材料,报名截止:12月3日下午5时。地点：一号楼报告厅， 。", "2024-01-01", None),
+        (2, "奖学金管理办法", "废止《旧办法》。根据教高〔2023〕5号", "2024-01-01", None),
+        (3, "plain", "nothing", "2024-01-01", None),
+        (4, "讲座", "活动延期《原讲座安排》", "2024-01-01", "2024-09-01 10:00:00"),
+        (5, "考试", "报名取消。结束时间 2024年5月1日", "2024-01-01", None),
+        (6, "比赛", "开始时间：7月1日", "2024-01-01", None),
+        (7, "条例", "细则", "2024-01-01", "2024-09-01 10:00:00"),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, title string, body string, day string").withColumn("day", F.to_date("day"))
-    got = {r.doc_id: r for r in indexing.facts(docs).collect()}
-    assert got[1].kind == "notice" and got[1].audiences == ["2024级"] and got[1].places == ["一号楼报告厅"] and got[1].status == "upcoming" and len(got[1].actions) == 1
-    assert got[1].confidence == pytest.approx(0.52 + 4 * 0.055)
-    assert (got[2].kind, got[2].relation, got[2].status) == ("policy", "superseded", "superseded") and got[2].number.endswith("〔2023〕5号")
+    docs = spark.createDataFrame(rows, "doc_id long, title string, body string, day string, f string").withColumn("day", F.to_date("day")).withColumn("effective_from", F.to_timestamp("f"))
+    got = {r.doc_id: r for r in indexing.facts(docs, own_names=("x",)).collect()}
+    assert got[1].kind == "notice" and got[1].audiences == ["2024级"] and got[1].places == ["一号楼报告厅"] and got[1].status == "open" and len(got[1].actions) == 1
+    assert str(got[1].deadline_at) == "2024-12-03 09:00:00" and got[1].confidence == pytest.approx(0.52 + 4 * 0.055)
+    assert (got[2].kind, got[2].relation, got[2].related_title, got[2].status, got[2].number) == ("policy", "superseded", "旧办法", "superseded", "教高〔2023〕5号")
     assert (got[3].kind, got[3].status, got[3].confidence) == ("document", "unknown", 0.52)
-    assert (got[4].kind, got[4].status, str(got[4].dated)) == ("event", "postponed", "2024-05-01")
+    assert (got[4].kind, got[4].status, got[4].related_title, str(got[4].starts_at)) == ("event", "postponed", "原讲座安排", "2024-09-01 10:00:00")
+    assert (got[5].status, str(got[5].ends_at)) == ("cancelled", "2024-05-01 15:59:00")
+    assert [(got[k].kind, got[k].status) for k in (6, 7)] == [("competition", "upcoming"), ("policy", "upcoming")]
 
 
 def test_pages_and_blocks(spark):
