@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.operators import parsing
 from lakeloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -209,3 +210,124 @@ def SF39_merged_excerpts(spark, d):
     c = table(spark, d, "conversations").where("text IS NOT NULL").select("conv_id", "turn", F.trim("text").alias("a"))
     after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b"))
     return c.join(after, ["conv_id", "turn"]).select("conv_id", "turn", merged_excerpt(F.col("a"), F.col("b")).alias("text"))
+
+
+# --- repair of answers ----------------------------------------------------------------------------------------------
+
+#: A link in Markdown, an address, what stands for a hidden address, and marks that don't belong to one.
+LINK = r"\[([^\]\n]+)\]\((<[^>\n]+>|[^)\s\n]+)\)"
+ADDRESS = r"https?://[^\s)>\]]+"
+HIDDEN = "PRIVATE_URL"
+MARKS = ".,;，。；"
+
+
+def patched(claims: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims after patches in the order of seq, and findings of patches that could not be applied.
+
+    claims: answer, claim, place, content; patches: answer, seq, action (add, replace or remove), claim, content.  add and
+    replace put a content where the claim stands, or at the end if there is none; one without content is an error.  Removing
+    what isn't there is a warning.  What a claim ends as depends on its own patches only: the last one says whether it is there
+    and with what content, the first after its last removal where.  So patches of an answer need no fold; they are windows
+    over (answer, claim), which no long answer makes long.
+    Result: answer, claim, content, place (from 1); findings: answer, seq, claim, severity, code.
+    """
+    put = F.col("action") != "remove"
+    faulty = put & F.col("content").isNull()
+    of_claim = Window.partitionBy("answer", "claim")
+    so_far = of_claim.orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    there = claims.select("answer", "claim", F.lit(True).alias("original"))
+    steps = patches.where(~faulty).join(there, ["answer", "claim"], "left").withColumn("put", put)
+    steps = steps.withColumn("before", F.coalesce(F.last("put").over(so_far), F.col("original"), F.lit(False)))
+    steps = steps.withColumn("gone", F.max(F.when(~F.col("put"), F.col("seq"))).over(of_claim))
+    first = F.min(F.when(F.col("put") & (F.col("gone").isNull() | (F.col("seq") > F.col("gone"))), F.col("seq")))
+    ends = steps.groupBy("answer", "claim").agg(F.max_by(F.struct("put", "content"), "seq").alias("last"), first.alias("first"), F.max("gone").alias("gone"))
+    every = claims.withColumnRenamed("content", "old").join(ends, ["answer", "claim"], "full")
+    stays = F.col("place").isNotNull() & F.col("gone").isNull()
+    left = every.where(F.coalesce("last.put", F.lit(True)) & (F.col("place").isNotNull() | F.col("last").isNotNull()))
+    order = F.struct(F.when(stays, 0).otherwise(1).alias("appended"), F.when(stays, F.col("place")).otherwise(F.col("first")).cast("long").alias("at"))
+    after = left.select("answer", "claim", F.when(F.col("last").isNotNull(), F.col("last.content")).otherwise(F.col("old")).alias("content"), order.alias("order"))
+    after = after.withColumn("place", F.row_number().over(Window.partitionBy("answer").orderBy("order"))).drop("order")
+    finding = lambda rows, severity: rows.select("answer", "seq", "claim", F.lit(severity).alias("severity"), F.lit("orphan_fact").alias("code"))
+    return after, finding(patches.where(faulty), "error").unionByName(finding(steps.where("NOT put AND NOT before"), "warning"))
+
+
+def _claims_and_patches(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Stand-in: an order's first three lines are claims, all its lines patches of one of eight claims."""
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))  # a handful of lines
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("answer"), seq.alias("seq"), "l_partkey", "l_suppkey")
+    claims = lines.where("seq <= 3").select("answer", F.col("seq").alias("claim"), F.col("seq").alias("place"), F.concat(F.lit("old "), "l_partkey").alias("content"))
+    action = F.element_at(F.array(F.lit("remove"), F.lit("replace"), F.lit("add")), (F.col("l_partkey") % 3 + 1).cast("int"))
+    return claims, lines.select("answer", "seq", action.alias("action"), (F.col("l_suppkey") % 8).cast("int").alias("claim"), F.when(F.col("l_partkey") % 11 != 0, F.concat(F.lit("new "), "l_suppkey")).alias("content"))
+
+
+_FOLDED = """WITH RECURSIVE l AS (SELECT l_orderkey AS answer, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::INT AS seq, l_partkey AS p, l_suppkey AS s FROM lineitem),
+b AS (SELECT answer, seq, p % 3 = 0 AS removes, (s % 8)::INT AS claim, CASE WHEN p % 11 <> 0 THEN 'new ' || s END AS content, row_number() OVER (PARTITION BY answer ORDER BY seq) AS rn FROM l),
+r AS (SELECT answer, 0::BIGINT AS rn, list({'c': seq, 't': 'old ' || p} ORDER BY seq) FILTER (seq <= 3) AS state, 0 AS warnings, 0 AS errors FROM l GROUP BY answer
+  UNION ALL SELECT r.answer, b.rn,
+    CASE WHEN removes THEN list_filter(state, lambda x: x.c <> b.claim) WHEN content IS NULL THEN state
+         WHEN len(list_filter(state, lambda x: x.c = b.claim)) > 0 THEN list_transform(state, lambda x: CASE WHEN x.c = b.claim THEN {'c': b.claim, 't': content} ELSE x END)
+         ELSE list_append(state, {'c': b.claim, 't': content}) END,
+    warnings + (removes AND len(list_filter(state, lambda x: x.c = b.claim)) = 0)::INT, errors + (NOT removes AND content IS NULL)::INT
+  FROM r JOIN b ON b.answer = r.answer AND b.rn = r.rn + 1),
+z AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY answer ORDER BY rn DESC) = 1)"""
+
+
+@query(_FOLDED + " SELECT answer, i::INT AS place, state[i].c AS claim, state[i].t AS content FROM (SELECT answer, state, unnest(range(1, len(state) + 1)) AS i FROM z)")
+def RT11_patched_claims(spark, d):
+    """The claims of answers after all their patches; the SQL folds patch by patch."""
+    after, _ = patched(*_claims_and_patches(spark, d))
+    return after.select("answer", "place", "claim", "content")
+
+
+@query(_FOLDED + " SELECT answer, warnings, errors FROM z WHERE warnings + errors > 0")
+def RT11_patch_findings(spark, d):
+    """How many patches of an answer removed nothing, and how many had nothing to put."""
+    _, findings = patched(*_claims_and_patches(spark, d))
+    n = lambda severity: F.count_if(F.col("severity") == severity).cast("int")
+    return findings.groupBy("answer").agg(n("warning").alias("warnings"), n("error").alias("errors"))
+
+
+def repaired(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """answer, markdown, restored, stripped, removed: texts whose links lead to the evidence at hand only.
+
+    answers: answer, markdown; evidence: answer, url, title.  A link whose address is hidden gets that of the one title which
+    its label clearly matches.  A link to an address outside the evidence becomes its label; other such addresses go, as do
+    hidden ones that are left.  Links and addresses are rows, met with the evidence by joins; texts are put together again from
+    the pieces between them.
+    """
+    bare = lambda c: F.rtrim(c, F.lit(MARKS))
+    known = evidence.select("answer", bare(F.col("url")).alias("known")).distinct()
+    texts = answers.select("answer", "markdown", F.split("markdown", LINK, -1).alias("pieces"))
+    matches = lambda k: F.regexp_extract_all("markdown", F.lit(LINK), F.lit(k))
+    links = texts.select("answer", F.posexplode(F.arrays_zip(matches(0).alias("whole"), matches(1).alias("label"), matches(2).alias("raw"))).alias("k", "x")).select("answer", "k", "x.*")
+    links = links.withColumn("target", F.regexp_replace("raw", "^<(.*)>$", "$1"))
+    hidden = F.col("target") == HIDDEN
+    found = parsing.match_labels(links.where(hidden).select("answer", "label").distinct(), evidence).withColumnRenamed("url", "restored")
+    links = links.withColumn("known", bare(F.col("target"))).join(found, ["answer", "label"], "left").join(known.withColumn("is_known", F.lit(True)), ["answer", "known"], "left")
+    strips = ~hidden & F.col("target").rlike("^(https?://|/)") & F.col("is_known").isNull()
+    text = F.when(hidden & F.col("restored").isNotNull(), F.concat(F.lit("["), "label", F.lit("](<"), "restored", F.lit(">)"))).when(strips, F.col("label")).otherwise(F.col("whole"))
+    joined = links.groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("k", text.alias("text")))).alias("links"), F.count_if(hidden & F.col("restored").isNotNull()).alias("restored"), F.count_if(strips).alias("stripped"))
+    between = F.zip_with("pieces", F.coalesce(F.transform("links", lambda x: x["text"]), F.array().cast("array<string>")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    whole = texts.join(joined, "answer", "left").select("answer", F.array_join(between, "").alias("text"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("restored", "stripped")])
+    addresses = whole.select("answer", F.posexplode(F.array_distinct(F.regexp_extract_all("text", F.lit(ADDRESS), F.lit(0)))).alias("k", "address")).withColumn("known", bare(F.col("address")))
+    strange = addresses.join(known, ["answer", "known"], "left_anti").groupBy("answer").agg(F.array_sort(F.collect_list(F.struct("k", "address"))).alias("strange"))
+    out = whole.join(strange, "answer", "left")
+    gone = F.aggregate(F.coalesce("strange", F.array().cast("array<struct<k:int,address:string>>")), F.col("text"), lambda text, x: F.replace(text, x["address"], F.lit("")))
+    return out.select("answer", F.replace(gone, F.lit(f"<{HIDDEN}>"), F.lit("")).alias("markdown"), "restored", "stripped", F.coalesce(F.size("strange"), F.lit(0)).alias("removed"))
+
+
+_TITLED = r"""p AS (SELECT page_id, url, coalesce(nullif(trim(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '[\[\]\n]', '', 'g')), ''), 'untitled') AS title FROM pages)"""
+
+
+@query(f"""WITH {_TITLED} SELECT page_id AS answer, CASE WHEN page_id % 2 = 0
+  THEN 'A [' || title || '](<' || url || '>) B [x](' || url || ') C y D  E ' ELSE 'A [' || md5(title) || ']() B x C y D  E ' END AS markdown,
+  CASE WHEN page_id % 2 = 0 THEN 1 ELSE 0 END AS restored, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS stripped, 1 AS removed FROM p""")
+def RT11_repaired_links(spark, d):
+    """Links of answers after the repair.  Stand-in: each page is an answer with a hidden link by its title, one to itself, two
+    elsewhere; its evidence are itself and the next page, as far as their number is even."""
+    title = F.trim(F.regexp_replace(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1), r"[\[\]\n]", ""))
+    pages = table(spark, d, "pages").select("page_id", "url", F.coalesce(F.nullif(title, F.lit("")), F.lit("untitled")).alias("title"))
+    label = F.when(F.col("page_id") % 2 == 0, F.col("title")).otherwise(F.md5("title"))  # the second is like no title
+    text = F.concat(F.lit("A ["), label, F.lit("](<PRIVATE_URL>) B [x]("), "url", F.lit(") C [y](https://nowhere.example/z) D https://nowhere.example/q. E <PRIVATE_URL>"))
+    evidence = pages.where("page_id % 2 = 0").select(F.explode(F.array("page_id", F.col("page_id") - 1)).alias("answer"), "url", "title")
+    return repaired(pages.select(F.col("page_id").alias("answer"), text.alias("markdown")), evidence)

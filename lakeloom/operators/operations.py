@@ -321,14 +321,58 @@ def ST11_partial_back_fill(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct(full, "ts", "event_id")).alias("current_id"))
 
 
-@query("""SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS total_us, count(*) FILTER (event_type = 'view') AS model_calls, count(*) FILTER (event_type = 'click') AS tool_calls,
-CASE WHEN bool_or(event_type = 'error') THEN 'multi_source' WHEN bool_or(event_type = 'purchase') THEN 'authenticated' WHEN bool_or(event_type = 'click') THEN 'public_live' ELSE 'no_live_read' END AS scenario FROM events GROUP BY user_id""")
+#: Cells in which intervals of one key are united, in microseconds.
+CELL = 3_600_000_000
+
+
+def united(spans: DataFrame, key: str, cell: int = CELL) -> DataFrame:
+    """key, length of the union of its intervals [a, b), in microseconds.
+
+    Intervals are cut at the bounds of cells of time, in which unions are apart and add up; so a window holds one cell of
+    one key, and a key with very many intervals is many windows.  Empty and reversed intervals have no length.
+    """
+    at = F.explode(F.sequence(F.floor(F.col("a") / cell), F.floor((F.col("b") - 1) / cell)))
+    cut = spans.where("b > a").select(key, "a", "b", at.alias("cell"))
+    cut = cut.select(key, "cell", F.greatest("a", F.col("cell") * cell).alias("a"), F.least("b", (F.col("cell") + 1) * cell).alias("b"))
+    before = Window.partitionBy(key, "cell").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    covered = cut.withColumn("to", F.coalesce(F.max("b").over(before), F.col("a")))
+    return covered.groupBy(key).agg(F.sum(F.greatest(F.lit(0), F.col("b") - F.greatest("a", "to"))).alias("length"))
+
+
+def traces(spans: DataFrame, hints: DataFrame) -> DataFrame:
+    """What a trace took: trace, total_us, excluded_us, controllable_us, model_calls, tool_calls, measurable, scenario.
+
+    spans: trace, kind (model or tool), a, first (when the first token came, or null), b, in microseconds; hints: trace, hint.
+    Excluded is the union of what model calls waited for their first token, of calls that measure it; controllable is the
+    rest of the time from the first start to the last end.  A trace is measurable if all its model calls are.  Of several
+    hints the scenario is the first of image or multi_source, authenticated, public_live.
+    """
+    model = F.col("kind") == "model"
+    waits = united(spans.where(model & F.col("first").isNotNull()).select("trace", "a", F.col("first").alias("b")), "trace").withColumnRenamed("length", "excluded_us")
+    sums = spans.groupBy("trace").agg((F.max("b") - F.min("a")).alias("total_us"), F.count_if(model).alias("model_calls"), F.count_if(F.col("kind") == "tool").alias("tool_calls"), F.bool_and(~model | F.col("first").isNotNull()).alias("measurable"))
+    any_ = lambda *names: F.coalesce(F.bool_or(F.col("hint").isin(*names)), F.lit(False))
+    scenario = F.when(any_("image", "multi_source"), "multi_source_or_image").when(any_("authenticated"), "authenticated").when(any_("public_live"), "public_live").otherwise("no_live_read")
+    rows = sums.join(waits, "trace", "left").join(hints.groupBy("trace").agg(scenario.alias("scenario")), "trace", "left")
+    excluded = F.coalesce("excluded_us", F.lit(0))
+    return rows.select("trace", "total_us", excluded.alias("excluded_us"), F.greatest(F.lit(0), F.col("total_us") - excluded).alias("controllable_us"), "model_calls", "tool_calls", "measurable", F.coalesce("scenario", F.lit("no_live_read")).alias("scenario"))
+
+
+@query("""WITH s AS (SELECT user_id * 100 + day(ts) AS trace, CASE WHEN event_type IN ('view', 'signup') THEN 'model' WHEN event_type = 'click' THEN 'tool' END AS kind, epoch_us(ts) AS a, epoch_us(ts) + (value * 30000000)::BIGINT AS f, epoch_us(ts) + (value * 60000000)::BIGINT AS b, event_id, event_type FROM events),
+x AS (SELECT * REPLACE (CASE WHEN kind = 'model' AND event_id % 9 <> 0 THEN f END AS f) FROM s WHERE kind IS NOT NULL),
+w AS (SELECT trace, f, a, max(f) OVER (PARTITION BY trace ORDER BY a, f, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM x WHERE f IS NOT NULL),
+u AS (SELECT trace, sum(greatest(0, f - greatest(a, coalesce(prev, a))))::BIGINT AS excluded_us FROM w GROUP BY trace),
+h AS (SELECT trace, bool_or(event_type = 'error') AS many, bool_or(event_type = 'purchase') AS auth, bool_or(event_type = 'click') AS live FROM s GROUP BY trace),
+t AS (SELECT trace, max(b) - min(a) AS total_us, count(*) FILTER (kind = 'model') AS model_calls, count(*) FILTER (kind = 'tool') AS tool_calls, bool_and(kind <> 'model' OR f IS NOT NULL) AS measurable FROM x GROUP BY trace)
+SELECT trace, total_us, coalesce(excluded_us, 0) AS excluded_us, greatest(0, total_us - coalesce(excluded_us, 0)) AS controllable_us, model_calls, tool_calls, measurable,
+  CASE WHEN many THEN 'multi_source_or_image' WHEN auth THEN 'authenticated' WHEN live THEN 'public_live' ELSE 'no_live_read' END AS scenario FROM t LEFT JOIN u USING (trace) JOIN h USING (trace)""")
 def RT22_trace_snapshot(spark, d):
-    """Duration and calls of a trace, and its scenario by the first rule that fits; what is excluded is AG23."""
-    any_ = lambda t: F.bool_or(F.col("event_type") == t)
-    scenario = F.when(any_("error"), "multi_source").when(any_("purchase"), "authenticated").when(any_("click"), "public_live").otherwise("no_live_read")
-    n = lambda t: F.count_if(F.col("event_type") == t)
-    return table(spark, d, "events").groupBy("user_id").agg((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))).alias("total_us"), n("view").alias("model_calls"), n("click").alias("tool_calls"), scenario.alias("scenario"))
+    """Stand-in: a trace is a user's day; views and signups are model calls of half as many minutes to the first token as
+    their value, clicks are tools."""
+    e = table(spark, d, "events").select((F.col("user_id") * 100 + F.dayofmonth("ts")).alias("trace"), "event_type", "event_id", F.unix_micros("ts").alias("a"), *[(F.unix_micros("ts") + F.rint(F.col("value") * k * 1_000_000).cast("long")).alias(c) for c, k in (("f", 30), ("b", 60))])
+    kind = F.when(F.col("event_type").isin("view", "signup"), "model").when(F.col("event_type") == "click", "tool")
+    spans = e.withColumn("kind", kind).where("kind IS NOT NULL").select("trace", "kind", "a", F.when((F.col("kind") == "model") & (F.col("event_id") % 9 != 0), F.col("f")).alias("first"), "b")
+    hint = F.when(F.col("event_type") == "error", "multi_source").when(F.col("event_type") == "purchase", "authenticated").when(F.col("event_type") == "click", "public_live")
+    return traces(spans, e.select("trace", hint.alias("hint")))
 
 
 @query("""WITH t AS (SELECT *, sha256('t' || event_id) AS id FROM events)

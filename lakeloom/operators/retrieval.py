@@ -722,3 +722,64 @@ def SF19_cosine_topk(spark, d):
     return e.where("vec_id <> 0").crossJoin(F.broadcast(one)).select("vec_id", F.round(dot, 9).alias("score")).orderBy(F.desc("score"), "vec_id").limit(10)
 
 
+
+
+# --- the older excerpt ----------------------------------------------------------------------------------------------
+
+#: What is asked; how wide an excerpt is, how far before a term it may begin, and how many places of a term are tried.
+ASKED = ("license", "there", "tion", "zzzz")
+WIDTH, LEAD, TRIED = 1200, 180, 256
+
+
+def rare_excerpt(text: Column, terms: tuple[str, ...], width: int = WIDTH) -> Column:
+    """The passage with the most of the terms, then with the rarest (sum of 1 / how often each stands in the text), then the
+    last such; it begins at 0, or LEAD or half a width before one of the first TRIED places of a term.
+
+    Ellipses say where text was left out.  Terms are tried longest first, so sums add up alike for equal sets of terms.
+    """
+    terms = tuple(sorted(dict.fromkeys(t.lower() for t in terms), key=len, reverse=True))
+    body = F.trim(text)
+    let = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    quoted = lambda t: f"\\Q{t}\\E"
+
+    def starts(low: Column, t: str) -> Column:
+        sizes = F.transform(F.split(low, quoted(t), TRIED + 1), F.length)
+        found = F.aggregate(F.slice(sizes, 1, F.size(sizes) - 1), F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)) + len(t), F.lit(0)) + n)))
+        return F.flatten(F.transform(found, lambda at: F.array(F.greatest(at - LEAD, F.lit(0)), F.greatest(at - width // 2, F.lit(0)))))
+
+    def best(low: Column) -> Column:
+        each = F.array_distinct(F.concat(F.array(F.lit(0)), *[starts(low, t) for t in terms]))
+        often = F.array(*[F.size(F.split(low, quoted(t), -1)) - 1 for t in terms])
+
+        def scored(often: Column) -> Column:
+            def score(at: Column) -> Column:
+                held = lambda passage: [F.contains(passage, F.lit(t)) for t in terms]
+                total = lambda p: (reduce(add, [h.cast("int") for h in held(p)]), reduce(add, [F.when(h, 1.0 / often[k]).otherwise(0.0) for k, h in enumerate(held(p))]))
+                return let(F.substring(low, at + 1, F.lit(width)), lambda p: F.struct(total(p)[0].alias("terms"), total(p)[1].alias("rare"), at.alias("at")))
+
+            return F.array_max(F.transform(each, score))["at"]
+
+        return let(often, scored)
+
+    cut = lambda at: F.concat(F.when(at > 0, "…").otherwise(""), F.substring(body, at + 1, F.lit(width)), F.when(at + width < F.length(body), "…").otherwise(""))
+    return let(let(F.lower(body), best), cut)
+
+
+def _rare_sql() -> str:
+    terms = sorted(ASKED, key=len, reverse=True)
+    places = lambda k, t: f"list_transform(range(1, least(len(g{k}), {TRIED + 1})), lambda i: (list_sum(list_transform(g{k}[1:i], lambda x: length(x))) + (i - 1) * {len(t)})::BIGINT)"
+    both = [f"list_transform({places(k, t)}, lambda p: greatest(0, p - {back}))" for k, t in enumerate(terms) for back in (LEAD, WIDTH // 2)]
+    passage = f"substr(low, pos + 1, {WIDTH})"
+    count = " + ".join(f"contains({passage}, '{t}')::INT" for t in terms)
+    rare = " + ".join(f"CASE WHEN contains({passage}, '{t}') THEN 1.0::DOUBLE / (len(g{k}) - 1) ELSE 0.0::DOUBLE END" for k, t in enumerate(terms))
+    return f"""WITH a AS (SELECT doc_id, trim(text) AS body, lower(trim(text)) AS low FROM documents WHERE text IS NOT NULL),
+g AS (SELECT *, {', '.join(f"string_split(low, '{t}') AS g{k}" for k, t in enumerate(terms))} FROM a),
+s AS (SELECT *, unnest(list_distinct(list_concat([0::BIGINT], {', '.join(both)}))) AS pos FROM g),
+m AS (SELECT doc_id, any_value(body) AS body, arg_max(pos, ({count}, {rare}, pos)) AS pos FROM s GROUP BY doc_id)
+SELECT doc_id, CASE WHEN pos > 0 THEN '…' ELSE '' END || substr(body, pos + 1, {WIDTH}) || CASE WHEN pos + {WIDTH} < length(body) THEN '…' ELSE '' END AS excerpt FROM m"""
+
+
+@query(_rare_sql())
+def SF7_rare_excerpt(spark, d):
+    """The older excerpt of every document for one question; one of its terms stands nowhere."""
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", rare_excerpt(F.col("text"), ASKED).alias("excerpt"))
