@@ -20,9 +20,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakeloom.functions.windows import running_total
 from lakeloom.sources.store import kept
 from lakeloom.sources.tables import table
 
@@ -51,21 +52,6 @@ class Limits:
     observe: bool = False
 
 
-def _running(rows: DataFrame, cell: Column, within: list[Column], amount: Column, span: list[Column] | None = None) -> DataFrame:
-    """rows with `before`: the sum of amount over earlier rows, of the same span if one is given.
-
-    Rows are added up within cells, and cells over each other: a window holds one cell, or a row for each cell of a span.
-    """
-    keyed = rows.withColumns({"_cell": cell, "_amount": amount, **{f"_span{k}": c for k, c in enumerate(span or [])}})
-    spans = [f"_span{k}" for k in range(len(span or []))]
-    totals = keyed.groupBy(*spans, "_cell").agg(F.sum("_amount").alias("_sum"))
-    over = Window.partitionBy(*spans).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*spans, "_cell", F.coalesce(F.sum("_sum").over(over), F.lit(0)).alias("_base"))
-    own = Window.partitionBy(*spans, "_cell").orderBy(*within).rowsBetween(Window.unboundedPreceding, -1)
-    keyed = keyed.withColumn("_own", F.coalesce(F.sum("_amount").over(own), F.lit(0))).join(totals, [*spans, "_cell"])
-    return keyed.withColumn("before", F.col("_base") + F.col("_own")).drop("_cell", "_amount", "_own", "_base", *spans)
-
-
 def numbers(rows: DataFrame, limits: Limits) -> DataFrame:
     """rows (s, event_id, t, w, admitted) with all_queued and all_today: how many admitted ones before are queued at t, and are
     of its local day."""
@@ -73,9 +59,10 @@ def numbers(rows: DataFrame, limits: Limits) -> DataFrame:
     leaving = rows.where("admitted AND w > 0").select("s", "event_id", (F.col("t") + F.col("w")).alias("t"), "w", "admitted", F.lit(0).alias("comes"))
     both = rows.withColumn("comes", F.lit(1)).unionByName(leaving)
     amount = F.when(F.col("w") <= 0, 0).when(F.col("comes") == 1, one).otherwise(-1).cast("long")
-    queued = _running(both, F.floor(F.col("t") / HOUR), [F.col("t"), F.col("comes"), F.col("event_id")], amount).where("comes = 1").drop("comes").withColumnRenamed("before", "all_queued")
+    hour = F.floor(F.col("t") / HOUR)
+    queued = running_total(both, amount, hour, [F.col("t"), F.col("comes"), F.col("event_id")]).where("comes = 1").drop("comes").withColumnRenamed("before", "all_queued")
     day = F.floor((F.col("t") + limits.offset_us) / DAY)
-    return _running(queued, F.floor(F.col("t") / HOUR), [F.col("t"), F.col("event_id")], one, [day]).withColumnRenamed("before", "all_today")
+    return running_total(queued, one, hour, [F.col("t"), F.col("event_id")], [day]).withColumnRenamed("before", "all_today")
 
 
 def decided(rows: DataFrame, limits: Limits) -> DataFrame:

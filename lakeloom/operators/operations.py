@@ -189,8 +189,11 @@ def RT13_source_health(spark, d):
     """Health of each feed as of a given day: runs, the newest, the leading run of failures among the newest 20."""
     newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
     bad = F.col("event_type").isin("error", "view")
-    e = table(spark, d, "events").withColumn("rn", F.row_number().over(newest)).withColumn("ok", F.max(F.when(bad, 0).otherwise(1)).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
-    a = e.groupBy("user_id").agg(F.count("*").alias("runs"), F.max("ts").alias("last_run"), F.count_if((F.col("ok") == 0) & (F.col("rn") <= 20)).alias("failures"), F.max(F.when(F.col("rn") == 1, F.col("event_type"))).alias("last_type"))
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "ts")
+    last = e.withColumn("rn", F.row_number().over(newest)).where("rn <= 20")  # cut before the exchange: no history is sorted whole
+    last = last.withColumn("ok", F.max(F.when(bad, 0).otherwise(1)).over(newest.rowsBetween(Window.unboundedPreceding, 0)))
+    last = last.groupBy("user_id").agg(F.count_if(F.col("ok") == 0).alias("failures"), F.max(F.when(F.col("rn") == 1, F.col("event_type"))).alias("last_type"))
+    a = e.groupBy("user_id").agg(F.count("*").alias("runs"), F.max("ts").alias("last_run")).join(last, "user_id")
     health = F.when(F.col("failures") >= 3, "failing").when(F.col("last_run") < F.lit("2024-01-30").cast("timestamp"), "stale").otherwise("healthy")
     return a.select("*", health.alias("health"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from lakeloom.sources.store import kept
+from lakeloom.sources.store import kept, new_folder
 from lakeloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -394,6 +394,35 @@ def RT19_ready_steps(spark, d):
     return ready_levels(steps, needs)
 
 
+def batches(steps: DataFrame, most: int = 4) -> DataFrame:
+    """plan, level, tool, batch, steps, calls of the steps of plans: what is sent together.
+
+    steps: plan, step, level, tool, arguments (map).  Of steps of one tool with the same arguments, in whatever order these
+    are given, the first of a plan stands for all.  Those of a level and tool go in batches of `most`, in order of step; steps
+    are the numbers that a batch answers, calls how many it sends.
+    """
+    entries = F.array_sort(F.map_entries("arguments"))
+    signature = F.sha2(F.to_json(F.struct("tool", entries.alias("arguments"))), 256)
+    first = F.struct("level", "step")
+    once = steps.withColumn("signature", signature).groupBy("plan", "tool", "signature").agg(F.min(first).alias("first"), F.array_sort(F.collect_list("step")).alias("same"))
+    place = F.row_number().over(Window.partitionBy("plan", "level", "tool").orderBy("step")) - 1
+    dealt = once.select("plan", "tool", "first.level", "first.step", "same").withColumn("batch", F.floor(place / most))
+    return dealt.groupBy("plan", "level", "tool", "batch").agg(F.array_sort(F.flatten(F.collect_list("same"))).alias("steps"), F.count("*").alias("calls"))
+
+
+@query("""WITH s AS (SELECT l_orderkey AS plan, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS step, l_partkey % 2 AS tool, l_suppkey % 3 AS q, l_linenumber % 2 AS k FROM lineitem),
+u AS (SELECT plan, tool, q, k, min((step // 3) * 1000 + step) AS first, list(step ORDER BY step) AS same FROM s GROUP BY ALL),
+b AS (SELECT *, first // 1000 AS level, (row_number() OVER (PARTITION BY plan, first // 1000, tool ORDER BY first) - 1) // 2 AS batch FROM u)
+SELECT plan, level, tool, batch, array_to_string(list_sort(flatten(list(same))), ',') AS steps, count(*) AS calls FROM b GROUP BY plan, level, tool, batch""")
+def RT19_batches(spark, d):
+    """Stand-in: an order's lines are the steps of a plan, three a level, of two tools with two arguments; two a batch."""
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("plan"), seq.alias("step"), (F.col("l_partkey") % 2).alias("tool"), (F.col("l_suppkey") % 3).alias("q"), (F.col("l_linenumber") % 2).cast("long").alias("k"))
+    one, other = F.create_map(F.lit("q"), "q", F.lit("k"), "k"), F.create_map(F.lit("k"), "k", F.lit("q"), "q")
+    steps = s.select("plan", "step", F.floor(F.col("step") / 3).alias("level"), "tool", F.when(F.col("step") % 2 == 0, one).otherwise(other).alias("arguments"))
+    return batches(steps, 2).select("plan", "level", "tool", "batch", F.array_join(F.col("steps").cast("array<string>"), ",").alias("steps"), "calls")
+
+
 @query("""WITH q AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS terms FROM conversations WHERE turn = 0 AND text IS NOT NULL), t AS (SELECT conv_id, unnest(terms) AS term FROM q),
 p AS (SELECT DISTINCT source, unnest(regexp_extract_all(lower(substr(text, 1, 80)), '[a-z]{4,}')) AS term FROM documents WHERE text IS NOT NULL),
 s AS (SELECT conv_id, source, count(*) AS score FROM t JOIN p USING (term) GROUP BY ALL)
@@ -415,3 +444,38 @@ def RT20_merged_queries(spark, d):
     once = every.groupBy("user_id", "event_id").agg(F.min("pos").alias("pos"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("pos", "event_id"))
     return once.withColumn("place", place).where("place <= 6").select("user_id", "event_id", "pos")
+
+
+def waves(rows: DataFrame, ranked: list[str], limit: int, size: int = 6) -> tuple[DataFrame, int]:
+    """What is found in the sources, best source first, `size` at a time, and how many waves were asked.
+
+    rows: a table partitioned by source, with url and score.  A wave reads the folders of its sources only, and none is asked
+    once those before have `limit` different urls: what they found is counted before the next one.  Of a url's rows the best
+    holds; the first `limit` by wave and score are returned.
+    """
+    found = None
+    for k in range(0, len(ranked), size):
+        wave = rows.where(F.col("source").isin(ranked[k : k + size])).groupBy("url").agg(F.max("score").alias("score")).withColumn("wave", F.lit(k // size))
+        wave = kept(wave if found is None else wave.join(found, "url", "left_anti"), f"wave-{k}")
+        found = wave if found is None else found.unionByName(wave)
+        if found.count() >= limit:
+            break
+    return found.orderBy("wave", F.desc("score"), "url").limit(limit), k // size + 1
+
+
+_WAVED = """WITH r AS (SELECT source, row_number() OVER (ORDER BY count(*) DESC, source) - 1 AS place FROM documents WHERE source IS NOT NULL GROUP BY source),
+f AS (SELECT md5(text) AS url, place // 6 AS wave, max(length(text)) AS score FROM documents JOIN r USING (source) WHERE text IS NOT NULL GROUP BY ALL),
+o AS (SELECT url, min(wave) AS wave FROM f GROUP BY url), g AS (SELECT url, wave, score FROM o JOIN f USING (url, wave))"""
+
+
+@query(_WAVED + " SELECT url, wave, score FROM g ORDER BY wave, score DESC, url LIMIT 40")
+def RT20_waves(spark, d):
+    """The forty longest texts of the first waves of six sources; stand-in: sources rank by their number of documents.
+
+    The table by source is written once; a full wave leaves the folders of all later ones unread.
+    """
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND text IS NOT NULL")
+    path = new_folder(spark, "by-source")
+    docs.select("source", F.md5("text").alias("url"), F.length("text").alias("score")).write.partitionBy("source").parquet(path)
+    ranked = [r.source for r in table(spark, d, "documents").where("source IS NOT NULL").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").collect()]  # a row a source
+    return waves(spark.read.schema("url string, score int, source string").parquet(path), ranked, 40)[0].select("url", "wave", "score")

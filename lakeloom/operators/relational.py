@@ -151,11 +151,17 @@ def JO16_grouped_children(spark, d):
 
 @query("WITH s AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host, regexp_extract(url, '^[a-z]+://[^/]+/[^/?#]*', 0) AS path FROM pages) SELECT page_id, path FROM (SELECT page_id, path, row_number() OVER (PARTITION BY page_id ORDER BY length(path) DESC, path) AS rn FROM (SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages) p JOIN s USING (host) WHERE starts_with(url, path)) WHERE rn = 1")
 def JO19_best_prefix(spark, d):
-    """Each page's site: of the sites of its host (all there are) the one of the longest base path that begins its url."""
-    host = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1)
-    sites = table(spark, d, "pages").select(host.alias("host"), F.regexp_extract("url", "^[a-z]+://[^/]+/[^/?#]*", 0).alias("path")).distinct()
-    pages = table(spark, d, "pages").select("page_id", "url", host.alias("host"))
-    held = pages.join(sites, "host").where(F.col("url").startswith(F.col("path")))
+    """Each page's site: of the sites of its host (all there are) the one of the longest base path that begins its url.
+
+    A url's own beginnings, as many as its first segment has characters, meet the sites by equality, so a host of very many
+    pages and sites is no product of the two.
+    """
+    host, base = F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.regexp_extract("url", "^[a-z]+://[^/]+/[^/?#]*", 0)
+    pages = table(spark, d, "pages").select("page_id", host.alias("host"), base.alias("base"))
+    sites = pages.select("host", F.col("base").alias("path")).distinct()
+    least = F.length(F.regexp_extract("base", "^[a-z]+://[^/]+/", 0))
+    begins = F.transform(F.sequence(least, F.length("base")), lambda n: F.substring(F.col("base"), F.lit(1), n))
+    held = pages.select("page_id", "host", F.explode(F.array_distinct(F.concat(begins, F.array(F.lit(""))))).alias("path")).join(sites, ["host", "path"])
     return held.groupBy("page_id").agg(F.max_by("path", F.length("path")).alias("path"))
 
 

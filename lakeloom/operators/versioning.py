@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.windows import running_total
 from lakeloom.sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -72,9 +73,11 @@ def DM5_compare_and_set(spark, d):
 
 @query("SELECT doc_id, 'r' || row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS release, sha256(text) AS facts FROM documents")
 def DM6_publish_release(spark, d):
-    """Each publication is a version of its own, though its facts are the same as before."""
-    n = F.row_number().over(Window.partitionBy("facts").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("facts")).select("doc_id", F.concat(F.lit("r"), n).alias("release"), "facts")
+    """Each publication is a version of its own, though its facts are the same as before; a text of very many copies is
+    numbered in cells of ids."""
+    facts = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("facts"))
+    numbered = running_total(facts, F.lit(1), F.floor(F.col("doc_id") / 4096), [F.col("doc_id")], [F.col("facts")])
+    return numbered.select("doc_id", F.concat(F.lit("r"), F.col("before") + 1).alias("release"), "facts")
 
 
 @query("SELECT doc_id, 'accepted' AS status, NOT toxic AS is_current FROM (SELECT doc_id, max(toxic) = 1 AS toxic FROM labels GROUP BY 1) UNION ALL SELECT doc_id, 'retracted', true FROM labels GROUP BY doc_id HAVING max(toxic) = 1")
@@ -184,7 +187,7 @@ def SK2_snapshots(spark, d):
 
     texts = table(spark, d, "documents").where("text IS NOT NULL").select(F.sha2("text", 256).alias("sha"), "text").dropDuplicates(["sha"])
     path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
-    texts.withColumn("prefix", F.substring("sha", 1, 2)).repartition("prefix").write.partitionBy("prefix").option("compression", "gzip").parquet(path)
+    texts.withColumn("prefix", F.substring("sha", 1, 2)).repartitionByRange("sha").write.partitionBy("prefix").option("compression", "gzip").parquet(path)
     kept = spark.read.schema("sha string, text string, prefix string").parquet(path)
     return kept.where(F.sha2("text", 256) == F.col("sha")).groupBy("prefix").agg(F.count("*").alias("objects"))
 
