@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import canonical_url, fold_dashes
@@ -25,10 +26,26 @@ def SC17_html_title(spark, d):
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1), "<[^>]*>", "")).alias("title"))
 
 
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|nav|header|footer|aside)[^>]*>.*?</(script|style|nav|header|footer|aside)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages")
+#: Tags whose content is no text of a page.  Scripts and styles go first, as what they hold is no markup.
+BOILERPLATE = ("script", "style", "nav", "header", "footer", "aside")
+
+
+def without_boilerplate(html: Column) -> Column:
+    """html without these elements; each ends at its own closing tag only."""
+    for tag in BOILERPLATE:
+        html = F.regexp_replace(html, f"(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>", " ")
+    return html
+
+
+def boilerplate_sql(html: str) -> str:
+    for tag in BOILERPLATE:
+        html = f"regexp_replace({html}, '(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>', ' ', 'g')"
+    return html
+
+
+@query(rf"SELECT page_id, trim(regexp_replace(regexp_replace({boilerplate_sql('html')}, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g')) AS body FROM pages")
 def SC17_html_text(spark, d):
-    noise = "(?s)<(script|style|nav|header|footer|aside)[^>]*>.*?</(script|style|nav|header|footer|aside)>"
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("html", noise, " "), "<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("body"))
+    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace(F.regexp_replace(without_boilerplate(F.col("html")), "<[^>]*>", " "), r"[ \t\r\n]+", " ")).alias("body"))
 
 
 _HREF = "CASE WHEN regexp_matches(h, '^[a-z]+://') THEN h WHEN starts_with(h, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || h ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' || h END"

@@ -139,3 +139,34 @@ def RT9_find(spark, d):
 
 QUERIES["WI13_coalesced_passages"] = lambda spark, d: RT9_find(spark, d).groupBy("doc_id").agg(F.count("*").alias("passages"), F.min("offset_").alias("first"))
 SQL["WI13_coalesced_passages"] = SQL["RT9_find"].replace("SELECT doc_id, pos AS offset_", "SELECT doc_id, count(*) AS passages, min(offset_) AS first FROM (SELECT doc_id, pos AS offset_") + ") GROUP BY doc_id"
+
+
+def column_map(text: Column) -> Column:
+    """Each line with its number, and before each stretch of text the column where it begins, so that tables can be read.
+
+    A stretch is what single blanks hold together.  Columns are running totals of the pieces of a line.
+    """
+    stretch = r"\S+(?: \S+)*"
+    place = "array<struct<at:int,end:int,text:string>>"
+
+    def stretches(line: Column) -> Column:
+        gaps = F.transform(F.split(line, stretch, -1), F.length)
+        step = F.filter(F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(line, F.lit(stretch), F.lit(0)).alias("text")), lambda x: x["text"].isNotNull())
+        end = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0))
+        placed = F.aggregate(step, F.array().cast(place), lambda acc, x: F.concat(acc, F.array(F.struct((end(acc) + x["gap"]).alias("at"), (end(acc) + x["gap"] + F.length(x["text"])).alias("end"), x["text"].alias("text")))))
+        return F.array_join(F.transform(placed, lambda x: F.concat(F.format_string("[c%03d]", x["at"]), x["text"])), " ")
+
+    lines = F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    return F.array_join(F.transform(lines, lambda line, k: F.concat(F.format_string("L%03d ", k + 1), stretches(line))), "\n")
+
+
+@query(r"""WITH l AS (SELECT conv_id, turn, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k, len(string_split(t, chr(10))) AS n FROM (SELECT conv_id, turn, replace(text, ', ', ',   ') AS t FROM conversations WHERE text IS NOT NULL)),
+p AS (SELECT *, regexp_extract_all(line, '\S+(?: \S+)*') AS x, string_split_regex(line, '\S+(?: \S+)*') AS g FROM l WHERE NOT (k = n AND line = '')),
+m AS (SELECT conv_id, turn, k, 'L' || lpad(k::VARCHAR, greatest(3, length(k::VARCHAR))::INT, '0') || ' ' || array_to_string(list_transform(range(1, len(x) + 1), lambda i: '[c' || lpad((list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(x[1:i-1], lambda y: length(y))), 0))::VARCHAR,
+  greatest(3, length((list_sum(list_transform(g[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(x[1:i-1], lambda y: length(y))), 0))::VARCHAR))::INT, '0') || ']' || x[i]), ' ') AS mapped FROM p)
+SELECT conv_id, turn, string_agg(mapped, chr(10) ORDER BY k) AS mapped FROM m GROUP BY ALL""")
+def SF35_column_map(spark, d):
+    """Turns as tables; stand-in: what commas part are cells."""
+    c = table(spark, d, "conversations").where("text IS NOT NULL")
+    return c.select("conv_id", "turn", column_map(F.replace("text", F.lit(", "), F.lit(",   "))).alias("mapped"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from lakeloom.operators.content import boilerplate_sql, without_boilerplate
 from lakeloom.sources.store import kept, new_folder
 from lakeloom.sources.tables import table
 
@@ -80,7 +81,7 @@ def SC16_parser_dispatch(spark, d):
 
 
 _BODY = r"coalesce(nullif(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), ''), nullif(regexp_extract(html, '(?s)<main[^>]*>(.*?)</main>', 1), ''), html)"
-_PLAIN = rf"trim(regexp_replace(regexp_replace(regexp_replace({_BODY}, '(?s)<(script|style|nav|header|footer|aside)[^>]*>.*?</(script|style|nav|header|footer|aside)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
+_PLAIN = rf"trim(regexp_replace(regexp_replace({boilerplate_sql(_BODY)}, '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))"
 
 
 @query(rf"SELECT page_id, trim(regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), nullif(regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1), ''), url), '<[^>]*>', '', 'g')) AS title, substr({_PLAIN}, 1, 600000) AS body, CASE WHEN length({_PLAIN}) >= 80 THEN 'accepted' ELSE 'low_text' END AS quality FROM pages")
@@ -88,9 +89,8 @@ def SC17_html_document(spark, d):
     """A page as a document: the first title that there is, the first content part that there is, no boilerplate, at most
     600,000 characters, accepted from 80 on."""
     first = lambda *tags: F.coalesce(*[F.nullif(F.regexp_extract("html", f"(?s)<{t}[^>]*>(.*?)</{t}>", 1), F.lit("")) for t in tags])
-    noise = "(?s)<(script|style|nav|header|footer|aside)[^>]*>.*?</(script|style|nav|header|footer|aside)>"
     part = F.coalesce(first("article", "main"), "html")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(part, noise, " "), "<[^>]*>", " "), r"[ \t\r\n]+", " "))
+    plain = F.trim(F.regexp_replace(F.regexp_replace(without_boilerplate(part), "<[^>]*>", " "), r"[ \t\r\n]+", " "))
     title = F.trim(F.regexp_replace(F.coalesce(first("h1", "title"), "url"), "<[^>]*>", ""))
     return table(spark, d, "pages").select("page_id", title.alias("title"), plain.alias("body")).select("page_id", "title", F.substring("body", 1, 600000).alias("body"), F.when(F.length("body") >= 80, "accepted").otherwise("low_text").alias("quality"))
 
