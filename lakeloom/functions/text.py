@@ -33,6 +33,14 @@ def fold_dashes(text: Column) -> Column:
     return F.translate(text, DASHES, "-" * len(DASHES))
 
 
+def dash_variants(phrase: str) -> tuple[str, ...]:
+    """The phrase with each kind of dash in place of its dashes, for texts that were indexed with theirs."""
+    if not any(c in f"-{DASHES}" for c in phrase):
+        return (phrase,)
+    plain = phrase.translate({ord(c): "-" for c in DASHES})
+    return tuple(sorted({phrase, *(plain.replace("-", c) for c in f"-{DASHES}")}))
+
+
 def preview(text: Column, size: int = 180) -> Column:
     return F.substring(F.trim(F.regexp_replace(text, r"[ \t\r\n]+", " ")), 1, size)
 

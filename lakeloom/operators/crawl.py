@@ -6,9 +6,11 @@ is a listing by its address or its number, and is dated by its number (every ten
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeloom.functions.text import canonical_url
+from lakeloom.operators.content import _HREF, _canonical_sql
 from lakeloom.sources.store import kept
 from lakeloom.sources.tables import table
 
@@ -65,3 +67,35 @@ def SC6_full_crawl(spark, d):
     links = pages.select(F.col("page").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1)))).alias("h")).select("source", leads.alias("target")).distinct()
     nodes = kept(pages.select("page", kind.alias("kind"), day.alias("day")), "crawl-pages")
     return crawl(nodes, kept(links, "crawl-links"), nodes.where("page < 40"), "2022-06-01")
+
+
+def discovered(links: DataFrame, limit: int) -> DataFrame:
+    """group, link, seed, place of what a source's seeds offer: links has group (the source), seed, at (place on the page),
+    link, hinted (it looks like content).
+
+    Of a seed its first max(4 limit, limit + 20) links count, each once, hinted ones first, else in order. Seeds take turns, so
+    that none crowds out the others; a link that several offer goes to the one whose turn comes first. Of a source `limit` stay.
+    """
+    once = links.groupBy("group", "seed", "link").agg(F.min("at").alias("at"), F.bool_or("hinted").alias("hinted"))
+    of_seed = Window.partitionBy("group", "seed")  # the links of one page
+    scanned = once.withColumn("n", F.row_number().over(of_seed.orderBy("at", "link"))).where(F.col("n") <= max(4 * limit, limit + 20))
+    turn = scanned.withColumn("turn", F.row_number().over(of_seed.orderBy(F.desc("hinted"), "n")))
+    first = turn.groupBy("group", "link").agg(F.min(F.struct("turn", "seed")).alias("x")).select("group", "link", "x.turn", "x.seed")
+    place = F.row_number().over(Window.partitionBy("group").orderBy("turn", "seed"))
+    return first.withColumn("place", place).where(F.col("place") <= limit).select("group", "link", "seed", "place")
+
+
+@query(f"""WITH a AS (SELECT page_id AS seed, page_id % 40 AS "group", unnest(h) AS h, generate_subscripts(h, 1) AS at_, url FROM (SELECT page_id, url, regexp_extract_all(html, 'href=\x22([^\x22]+)\x22', 1) AS h FROM pages)),
+l AS (SELECT "group", seed, at_, {_canonical_sql('u')} AS link FROM (SELECT "group", seed, at_, {_HREF} AS u FROM a)),
+o AS (SELECT "group", seed, link, min(at_) AS at_, length(link) % 3 = 0 AS hinted FROM l GROUP BY ALL),
+s AS (SELECT *, row_number() OVER (PARTITION BY "group", seed ORDER BY at_, link) AS n FROM o QUALIFY n <= 25),
+t AS (SELECT *, row_number() OVER (PARTITION BY "group", seed ORDER BY hinted DESC, n) AS turn FROM s),
+f AS (SELECT "group", link, min(turn * 100000000 + seed) AS x FROM t GROUP BY ALL)
+SELECT "group", link, x % 100000000 AS seed, row_number() OVER (PARTITION BY "group" ORDER BY x) AS place FROM f QUALIFY place <= 5""")
+def SC5_discovery(spark, d):
+    """Five links of each source.  Stand-in: pages are seeds of one of forty sources; lengths of links tell hints."""
+    site = F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1)
+    anchors = table(spark, d, "pages").select(F.col("page_id").alias("seed"), (F.col("page_id") % 40).alias("group"), site.alias("site"), F.posexplode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("at", "h"))
+    absolute = F.when(F.col("h").rlike("^[a-z]+://"), F.col("h")).when(F.col("h").startswith("/"), F.concat("site", "h")).otherwise(F.concat_ws("/", "site", "h"))
+    links = anchors.select("group", "seed", "at", canonical_url(absolute).alias("link"))
+    return discovered(links.withColumn("hinted", F.length("link") % 3 == 0), 5)

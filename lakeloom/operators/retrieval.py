@@ -14,7 +14,7 @@ from operator import add, and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeloom.functions.text import back_off_windows, distinct_in_order, eligible, normal_query, occurrences, preview, query_terms, trigrams
+from lakeloom.functions.text import back_off_windows, dash_variants, distinct_in_order, eligible, normal_query, occurrences, preview, query_terms, trigrams
 from lakeloom.sources import index
 from lakeloom.sources.store import fingerprint, kept, new_folder
 from lakeloom.sources.tables import AS_OF, SQL_CURRENT, SQL_VERSIONS, current, current_documents, excluded, table, versions
@@ -131,10 +131,10 @@ def RT1_index_search(spark, d):
     return index.search(built(spark, d), INDEXED)
 
 
-@query(_search_sql(("the", "ing"), "OR").replace("WHERE (", "WHERE doc_id IN (SELECT doc_id FROM l WHERE contains(t || ' ' || b, 'zu') AND contains(t || ' ' || b, 'q')) AND ("))
+@query(_search_sql(("the", "ing"), "OR").replace("WHERE (", "WHERE doc_id IN (SELECT doc_id FROM l WHERE contains(t || ' ' || b, '7') AND contains(t || ' ' || b, 'wh')) AND ("))
 def FI5_index_required(spark, d):
     """An indexed search whose terms of one and two characters, which have no postings, must stand in the texts."""
-    return index.search(built(spark, d), ("the", "ing"), required=("zu", "q"))
+    return index.search(built(spark, d), ("the", "ing"), required=("7", "wh"))
 
 
 @query("SELECT doc_id, len(list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3)))) AS grams, length(t) - 2 AS places FROM (SELECT doc_id, lower(text) AS t FROM documents WHERE length(text) >= 3)")
@@ -194,6 +194,19 @@ def ST9_followed_search(spark, d):
     return index.search(index.opened(spark, root, d), ("the", "icense"))
 
 
+HYPHENED = dash_variants("pre-war")
+
+
+@query(_search_sql(HYPHENED, "OR").replace("FROM documents)", "FROM (SELECT * REPLACE (CASE doc_id % 4 WHEN 0 THEN 'pre–war ' || text WHEN 1 THEN 'Pre-war, pre-war ' || text ELSE text END AS text) FROM documents))"))
+def SK4_unfolded_search(spark, d):
+    """A search on an index that keeps dashes as they are: the phrase is asked with each of them."""
+    docs = versions(spark, d).join(excluded(spark, d).withColumn("bad", F.lit(True)), "doc_id", "left").where("doc_id % 4 < 2")
+    body = F.concat(F.when(F.col("doc_id") % 4 == 0, "pre–war ").otherwise("Pre-war, pre-war "), "body")
+    current = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False)) & F.col("bad").isNull()
+    changed = docs.select("doc_id", F.substring(body, 1, 80).alias("title"), body.alias("body"), "published", current.alias("current"), F.lit(False).alias("deleted"), F.lit(1).alias("seq"))
+    return index.search(index.apply(index.build(spark, d, new_folder(spark, "index")), changed), HYPHENED)
+
+
 # --- the ladder -----------------------------------------------------------------------------------------------------
 
 

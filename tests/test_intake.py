@@ -108,3 +108,16 @@ def test_running_total_with_nulls_and_spans(spark):
     frame = spark.createDataFrame(rows, "k string, t long, n long")
     got = {(r.k, r.t): r.before for r in running_total(frame, F.col("n"), F.floor(F.col("t") / 100), [F.col("t")], [F.col("k")]).collect()}
     assert got == {("a", 1): 0, ("a", 2): 5, ("a", 9000): 12, (None, 1): 0, (None, 5000): 2, ("b", 3): 0}
+
+
+def test_seeds_take_turns(spark):
+    rows = [("g", 1, k, f"a{k:02d}", k == 9) for k in range(60)] + [("g", 2, 0, "b", False), ("g", 2, 1, "a09", False), ("h", 3, 0, "x", False), ("h", 3, 1, "x", True)]
+    links = spark.createDataFrame(rows, "group string, seed long, at int, link string, hinted boolean")
+    got = [(r.group, r.place, r.link, r.seed) for r in crawl.discovered(links, 4).orderBy("group", "place").collect()]
+    assert got == [("g", 1, "a09", 1), ("g", 2, "b", 2), ("g", 3, "a00", 1), ("g", 4, "a01", 1), ("h", 1, "x", 3)]
+
+
+def test_dash_variants():
+    from lakeloom.functions.text import dash_variants
+
+    assert dash_variants("plain") == ("plain",) and set(dash_variants("a—b-c")) == {"a-b-c", "a–b–c", "a—b—c", "a－b－c", "a—b-c"}
