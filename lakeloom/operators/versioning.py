@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeloom.functions.windows import running_total
@@ -221,3 +221,65 @@ def SK9_preflight(spark, d):
 def SK7_structured_log(spark, d):
     """A log line of allowed fields only; fields without a value are left out."""
     return table(spark, d, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("event"), F.when(F.col("value") > 400, F.col("value")).alias("slow"), F.col("user_id").alias("user"))).alias("line"))
+
+
+def merged_attributes(rows: DataFrame) -> DataFrame:
+    """owner, id, key, status, moved after a visitor's attributes went to the owner of its account.
+
+    rows: owner (after the merge), visitor (whether the row was the visitor's), id, key, status.  Of a visitor's confirmed
+    values of a key the first stays confirmed, if the owner has confirmed none; the others become suggestions.  All else
+    keeps its status.  The first is a minimum over (owner, key), met by a join, so no group is sorted.
+    """
+    confirmed = F.col("status") == "confirmed"
+    held = rows.where(confirmed).groupBy("owner", "key").agg(F.bool_or(~F.col("visitor")).alias("own"), F.min(F.when(F.col("visitor"), F.col("id"))).alias("first"))
+    both = rows.join(held, ["owner", "key"], "left")
+    loses = F.col("visitor") & confirmed & (F.col("own") | (F.col("id") != F.col("first")))
+    return both.select("owner", "id", "key", F.when(loses, "suggested").otherwise(F.col("status")).alias("status"), F.col("visitor").alias("moved"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN user_id % 2 = 0 THEN user_id + 1 ELSE user_id END AS owner, user_id % 2 = 0 AS visitor, event_id AS id, event_type || event_id % 7 AS key, ['confirmed', 'suggested', 'dismissed'][event_id % 3 + 1] AS status FROM events),
+s AS (SELECT *, row_number() OVER (PARTITION BY owner, key, visitor, status ORDER BY id) AS n, max(CASE WHEN NOT visitor AND status = 'confirmed' THEN 1 ELSE 0 END) OVER (PARTITION BY owner, key) AS own FROM r)
+SELECT owner, id, key, CASE WHEN visitor AND status = 'confirmed' AND (own = 1 OR n > 1) THEN 'suggested' ELSE status END AS status, visitor AS moved FROM s""")
+def DM9_attribute_clash(spark, d):
+    """Attributes after even users went over to the next one's account.  Stand-in: events are attributes."""
+    even = F.col("user_id") % 2 == 0
+    status = F.element_at(F.array(*map(F.lit, ("confirmed", "suggested", "dismissed"))), (F.col("event_id") % 3 + 1).cast("int"))
+    e = table(spark, d, "events").select(F.when(even, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("owner"), even.alias("visitor"), F.col("event_id").alias("id"), F.concat("event_type", F.col("event_id") % 7).alias("key"), status.alias("status"))
+    return merged_attributes(e)
+
+
+def once_by_client(messages: DataFrame) -> DataFrame:
+    """The messages (conversation, client_id, at, ...) of which a client's repeats came in once; those without client_id all stay.
+
+    Of repeats the least `at` is kept by a minimum of whole rows, which tasks take before the exchange.
+    """
+    named = messages.where("client_id IS NOT NULL")
+    rest = [c for c in messages.columns if c not in ("conversation", "client_id", "at")]
+    first = named.groupBy("conversation", "client_id").agg(F.min(F.struct("at", *rest)).alias("x")).select("conversation", "client_id", "x.*")
+    return first.select(*messages.columns).unionByName(messages.where("client_id IS NULL"))
+
+
+@query("""WITH m AS (SELECT conv_id AS conversation, CASE WHEN turn % 3 <> 2 THEN turn // 3 END AS client_id, turn AS place, role FROM conversations)
+SELECT * FROM m WHERE client_id IS NULL UNION ALL SELECT conversation, client_id, min(place) AS place, arg_min(role, place) AS role FROM m WHERE client_id IS NOT NULL GROUP BY conversation, client_id""")
+def ST12_client_messages(spark, d):
+    """Stand-in: of three turns the first two carry one client id, the third none."""
+    turn = F.col("turn")
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("conversation"), F.when(turn % 3 != 2, F.floor(turn / 3)).alias("client_id"), turn.alias("at"), "role")
+    return once_by_client(m).select("conversation", "client_id", F.col("at").alias("place"), "role")
+
+
+#: How long rows are kept: admissions 48 hours, verifications 24 hours, counters while their local day is one of the last two.
+def kept_rows(rows: DataFrame, now: str, offset_h: int = 8) -> DataFrame:
+    """rows (kind: admission, verification or counter; at) that a clean-up leaves."""
+    clock = F.lit(now).cast("timestamp")
+    day = lambda t: F.to_date(t + F.expr(f"INTERVAL {offset_h} HOURS"))
+    age = F.when(F.col("kind") == "admission", F.col("at") >= clock - F.expr("INTERVAL 48 HOURS")).when(F.col("kind") == "verification", F.col("at") >= clock - F.expr("INTERVAL 24 HOURS"))
+    return rows.where(age.when(F.col("kind") == "counter", day(F.col("at")) >= F.date_sub(day(clock), 1)))
+
+
+@query("""WITH r AS (SELECT event_id, CASE event_type WHEN 'view' THEN 'admission' WHEN 'click' THEN 'verification' ELSE 'counter' END AS kind, ts FROM events)
+SELECT event_id, kind FROM r WHERE CASE kind WHEN 'admission' THEN ts >= TIMESTAMP '2024-01-29 18:00:00' - INTERVAL 48 HOUR WHEN 'verification' THEN ts >= TIMESTAMP '2024-01-29 18:00:00' - INTERVAL 24 HOUR ELSE (ts + INTERVAL 8 HOUR)::DATE >= DATE '2024-01-29' END""")
+def ST6_retentions(spark, d):
+    """Stand-in: views are admissions, clicks verifications, other events counters."""
+    kind = F.when(F.col("event_type") == "view", "admission").when(F.col("event_type") == "click", "verification").otherwise("counter")
+    return kept_rows(table(spark, d, "events").select("event_id", kind.alias("kind"), F.col("ts").alias("at")), "2024-01-29 18:00:00").select("event_id", "kind")

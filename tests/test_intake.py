@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeloom.functions.windows import running_total
-from lakeloom.operators import crawl, evidence, indexing, intake, parsing, retrieval
+from lakeloom.operators import crawl, evidence, indexing, intake, parsing, retrieval, versioning
 
 
 def test_import_outcomes(spark):
@@ -121,3 +121,15 @@ def test_dash_variants():
     from lakeloom.functions.text import dash_variants
 
     assert dash_variants("plain") == ("plain",) and set(dash_variants("a—b-c")) == {"a-b-c", "a–b–c", "a—b—c", "a－b－c", "a—b-c"}
+
+
+def test_messages_without_client_id_all_stay(spark):
+    rows = [(1, 7, 3, "b"), (1, 7, 2, "a"), (1, None, 1, "x"), (1, None, 1, "x"), (2, 7, 9, "c")]
+    got = versioning.once_by_client(spark.createDataFrame(rows, "conversation long, client_id long, at long, role string")).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, 7, 2, "a"), (1, None, 1, "x"), (1, None, 1, "x"), (2, 7, 9, "c")], key=str)
+
+
+def test_first_confirmed_value_of_a_visitor_stays(spark):
+    rows = [(1, True, 5, "k", "confirmed"), (1, True, 4, "k", "confirmed"), (1, True, 3, "k", "dismissed"), (1, False, 9, "m", "confirmed"), (1, True, 1, "m", "confirmed"), (2, True, 2, "m", "confirmed"), (2, False, 8, "m", "suggested")]
+    got = {r.id: (r.status, r.moved) for r in versioning.merged_attributes(spark.createDataFrame(rows, "owner long, visitor boolean, id long, key string, status string")).collect()}
+    assert got == {5: ("suggested", True), 4: ("confirmed", True), 3: ("dismissed", True), 9: ("confirmed", False), 1: ("suggested", True), 2: ("confirmed", True), 8: ("suggested", False)}
