@@ -397,3 +397,23 @@ def ST6_retention(spark, d):
 def ST12_dedup_messages(spark, d):
     c = table(spark, d, "conversations")
     return c.where("text IS NOT NULL").groupBy("role", "text").agg(F.min("conv_id").alias("conv_id"))
+
+
+@query("""WITH p AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS i, count(*) OVER () AS n FROM events WHERE event_id % 4 <> 0)
+SELECT count(*) AS tasks, count(*) FILTER (event_type IN ('click', 'purchase')) AS completed, count(*) FILTER (event_type = 'error') AS failed, (count(*) FILTER (event_type IN ('click', 'purchase')))::DOUBLE / count(*) AS success,
+  (SELECT median(value) FROM p) AS median, (SELECT value FROM p WHERE i = least(n - 1, floor(n * 0.95::DOUBLE))) AS p95, (SELECT count(*) FROM labels) AS feedback, count(*) FILTER (event_type = 'error' AND user_id % 3 = 0) AS alerts FROM events""")
+def RT15_overview(spark, d):
+    """One row for those who run it: tasks and how they ended, durations of those that were measured, feedback, alerts.
+
+    Durations are percentiles of all without sorting all; the parts are single rows, joined by a constant.
+    """
+    e = table(spark, d, "events")
+    n = lambda test: F.count_if(test)
+    kind = F.col("event_type")
+    done = kind.isin("click", "purchase")
+    sums = e.agg(F.count("*").alias("tasks"), n(done).alias("completed"), n(kind == "error").alias("failed"), F.coalesce(n(done) / F.nullif(F.count("*"), F.lit(0)), F.lit(1.0)).alias("success"), n((kind == "error") & (F.col("user_id") % 3 == 0)).alias("alerts")).withColumn("one", F.lit(1))
+    size = F.col("n")
+    measured = at_ranks(e.where("event_id % 4 <> 0").select(F.lit(1).alias("one"), "value"), "one", "value", {"low": F.floor((size - 1) / 2), "high": F.floor(size / 2), "p95": F.least(size - 1, F.floor(size * F.lit(0.95)))})
+    feedback = table(spark, d, "labels").agg(F.count("*").alias("feedback")).withColumn("one", F.lit(1))
+    row = sums.join(measured, "one", "left").join(feedback, "one")
+    return row.select("tasks", "completed", "failed", "success", (F.col("low") + (F.col("high") - F.col("low")) * 0.5).alias("median"), "p95", "feedback", "alerts")

@@ -109,7 +109,7 @@ def SC28_local_times(spark, d):
 
 
 def ocr_rows(words: DataFrame) -> DataFrame:
-    """page, row, text of recognised words (page, text, x, y, width, height), by rows of the layout, top row first.
+    """page, row, text, cells of recognised words (page, text, x, y, width, height), by rows of the layout, top row first.
 
     Words go by centre and left edge; each joins the nearest of the last eight rows whose mean centre is within max(4, 0.65
     times the lesser height), or begins one.  The fold is an aggregate over the words of a page, which is what one image
@@ -130,8 +130,45 @@ def ocr_rows(words: DataFrame) -> DataFrame:
 
     rows = pages.select("page", F.aggregate("words", F.array().cast(kind), joined).alias("rows"))
     ordered = F.array_sort(F.transform("rows", lambda r, k: F.struct(r["top"].alias("top"), k.alias("k"), r["cells"].alias("cells"))))
-    texts = F.transform(ordered, lambda r: F.array_join(F.transform(F.array_sort(r["cells"]), lambda c: c["text"]), " | "))
-    return rows.select("page", F.posexplode(texts).alias("row", "text")).withColumn("row", F.col("row").cast("long"))
+    texts = F.transform(ordered, lambda r: F.struct(F.array_join(F.transform(F.array_sort(r["cells"]), lambda c: c["text"]), " | ").alias("text"), F.size(r["cells"]).alias("cells")))
+    return rows.select("page", F.posexplode(texts).alias("row", "x")).select("page", F.col("row").cast("long").alias("row"), "x.text", "x.cells")
+
+
+def ocr_text(words: DataFrame) -> DataFrame:
+    """page, text of recognised words: page, line, k (place in the line), text, x, y, width, height.
+
+    Where each line of a page has a word with a box, its lines are set in rows, and rows of two cells, mostly a name and its
+    value, stand once more before all rows.  Other pages are their lines, each its words without blanks.  Words without text
+    don't count; of a line with boxes only words that have one do.
+    """
+    said = words.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    boxed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
+    joined = lambda order, test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct(F.col(order).alias("o"), F.col("k").alias("k"), F.trim("text").alias("text"))))), lambda w: w["text"]), "")
+    lines = said.groupBy("page", "line").agg(
+        F.bool_or(boxed).alias("placed"), joined("x", boxed).alias("set"), joined("k", F.lit(True)).alias("plain"),
+        F.min(F.when(boxed, F.col("x"))).alias("x"), F.min(F.when(boxed, F.col("y"))).alias("y"),
+        F.max(F.when(boxed, F.col("x") + F.col("width"))).alias("right"), F.max(F.when(boxed, F.col("y") + F.col("height"))).alias("bottom"),
+    )
+    pages = lines.groupBy("page").agg(F.bool_and("placed").alias("all"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "plain"))), lambda x: x["plain"]), "\n").alias("plain"))
+    rows = ocr_rows(lines.join(pages.where("all").select("page"), "page", "left_semi").select("page", F.col("set").alias("text"), "x", "y", (F.col("right") - F.col("x")).alias("width"), (F.col("bottom") - F.col("y")).alias("height")))
+    parts = rows.select("page", F.explode(F.when(F.col("cells") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("part"), "row", "text")
+    laid = parts.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "row", "text"))), lambda x: x["text"]), "\n").alias("laid"))
+    return pages.join(laid, "page", "left").select("page", F.coalesce("laid", "plain").alias("text"))
+
+
+@query(r"""WITH w AS (SELECT conv_id * 1000 + turn AS page, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ 	-]+') AS x FROM conversations WHERE text IS NOT NULL)),
+r AS (SELECT page, i // 3 AS n, string_agg(w, ' | ' ORDER BY i) AS t, count(*) AS cells FROM w GROUP BY ALL),
+p AS (SELECT page, 0 AS part, n, t FROM r WHERE cells = 2 UNION ALL SELECT page, 1, n, t FROM r)
+SELECT page, CASE WHEN page % 7 = 0 THEN (SELECT string_agg(w, chr(10) ORDER BY i) FROM w WHERE w.page = p.page) ELSE string_agg(t, chr(10) ORDER BY part, n) END AS text FROM p GROUP BY page""")
+def SC25_page_text(spark, d):
+    """Stand-in: a turn is a page whose words stand in three columns, somewhat out of line; every seventh page has a word
+    without a box."""
+    page = F.col("conv_id") * 1000 + F.col("turn")
+    words = table(spark, d, "conversations").where("text IS NOT NULL").select(page.alias("page"), F.posexplode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("i", "text"))
+    i, column = F.col("i"), F.col("i") % 3
+    x = F.when((F.col("page") % 7 != 0) | (i > 0), (column * 100).cast("double"))
+    y = (F.floor(i / 3) * 20 + column * 2).cast("double")
+    return ocr_text(words.select("page", i.alias("line"), F.lit(0).alias("k"), "text", x.alias("x"), y.alias("y"), F.lit(50.0).alias("width"), F.lit(12.0).alias("height")))
 
 
 def validated(sources: DataFrame) -> DataFrame:

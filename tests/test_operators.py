@@ -168,7 +168,17 @@ def test_pages_and_blocks(spark):
 def test_rows_of_recognised_words(spark):
     words = [(1, t, x, y, 10.0, 10.0) for t, x, y in (("b", 50.0, 101.0), ("a", 0.0, 100.0), ("d", 50.0, 141.0), ("c", 0.0, 140.0))]
     got = parsing.ocr_rows(spark.createDataFrame(words, "page long, text string, x double, y double, width double, height double"))
-    assert [r.text for r in got.orderBy("row").collect()] == ["a | b", "c | d"]
+    assert [(r.text, r.cells) for r in got.orderBy("row").collect()] == [("a | b", 2), ("c | d", 2)]
+    # rows are in the order of their tops, though a low word of the first has the greater centre
+    tilted = spark.createDataFrame([(1, "low", 0.0, 10.0, 5.0, 40.0), (1, "top", 0.0, 0.0, 5.0, 8.0), (1, "late", 0.0, 90.0, 5.0, 8.0)], "page long, text string, x double, y double, width double, height double")
+    assert [r.text for r in parsing.ocr_rows(tilted).orderBy("row").collect()] == ["top", "low", "late"]
+
+
+def test_page_texts(spark):
+    box = lambda p, line, k, t, x, y: (p, line, k, t, x, y, 10.0, 10.0)
+    rows = [box(1, 0, 0, "Name", 0.0, 0.0), box(1, 1, 0, "Value", 50.0, 1.0), box(1, 2, 0, "alone", 0.0, 40.0), box(1, 3, 1, "b", 9.0, 80.0), box(1, 3, 0, "a", 0.0, 80.0), box(1, 4, 0, " ", 0.0, 0.0), (2, 0, 0, "x", None, None, None, None), box(2, 0, 1, "y", 1.0, 1.0), (2, 1, 0, "z", None, 1.0, 1.0, 1.0)]
+    got = parsing.ocr_text(spark.createDataFrame(rows, "page long, line int, k int, text string, x double, y double, width double, height double"))
+    assert {r.page: r.text for r in got.collect()} == {1: "Name | Value\nName | Value\nalone\nab", 2: "xy\nz"}
 
 
 def test_labels_match_one_title(spark):
