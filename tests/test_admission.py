@@ -44,9 +44,9 @@ def test_equals_a_plain_fold(spark, seed):
 def test_empty_and_unfinished(spark):
     none = spark.createDataFrame([], "s long, event_id long, t long, w long")
     assert admit(none, Limits()).collect() == []
-    some = spark.createDataFrame([(1, 1, 0, 10), (1, 2, 5, 10)], "s long, event_id long, t long, w long")
+    some = spark.createDataFrame([(1, 1, 0, 10), (2, 2, 5, 10)], "s long, event_id long, t long, w long")
     with pytest.raises(ValueError):
-        admit(some, Limits(), most=1)
+        admit(some, Limits(all_daily=1), most=1)
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
