@@ -51,6 +51,8 @@ PREFIX = np.uint64(0xA0761D6478BD642F)
 BITMAP_BITS = 1 << 24
 #: Classes and values of a cluster that one side of a comparison holds.
 BLOCK, SHINGLES = 1000, 1 << 19
+#: Signatures that a task remembers so as to send copies once.
+SEEN = 1 << 17
 #: Edges that a task turns into a forest at a time.
 CHUNK = 1 << 16
 #: Edges for each task that writes them.
@@ -141,13 +143,23 @@ def list_keys(sets: np.ndarray, at: np.ndarray, limit: float = LIMIT) -> tuple[n
 
 
 def _classes(docs: DataFrame, limit: float) -> DataFrame:
+    """doc_id, n, sig, keys of each row; of the copies that a task sees the first alone has keys, so that a class is a few rows
+    for each task before its lists are dealt, however many copies it has."""
+
     def run(batches):
+        seen: set[bytes] = set()  # emptied before it grows large
         for batch in batches:
             for part in slices(batch, "text"):
                 sets, at = shingle_sets(part.column("text"))
                 keys, begin = list_keys(sets, at, limit)
+                sigs = signatures(sets, at)
+                first = np.array([not (x in seen or seen.add(x)) for x in sigs], bool)
+                if len(seen) > SEEN:
+                    seen.clear()
+                size = np.diff(begin)
+                keys, begin = keys[np.repeat(first, size)], np.concatenate([[0], np.cumsum(size * first)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(np.diff(at)), pa.array(signatures(sets, at), pa.binary()), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(keys))],
+                    [part.column("doc_id"), pa.array(np.diff(at)), pa.array(sigs, pa.binary()), pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(keys))],
                     names=["doc_id", "n", "sig", "keys"],
                 )
 
@@ -375,9 +387,7 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     classes = written(_classes(docs, limit), "neardup-classes")
-    # a class's copies are one before its lists are dealt: the tasks of the scan keep one each
-    once = classes.where("n > 0").select("sig", "keys").dropDuplicates(["sig"])
-    lists = once.select("sig", F.explode("keys").alias("key")).repartition(F.col("key"))
+    lists = classes.where("n > 0").select("sig", F.explode("keys").alias("key")).repartition(F.col("key"))
     ends = lists.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key", "low")
     members = written(lists.join(ends, "key").distinct(), "neardup-lists")
     votes = members.groupBy("sig", "low").agg(F.count("*").alias("votes"))

@@ -132,3 +132,12 @@ def test_linked_small_sets_share_a_list(percent):
     for k in range(len(pairs)):
         a, b, c = begin[2 * k : 2 * k + 3].tolist()
         assert set(keys[a:b].tolist()) & set(keys[b:c].tolist()), pairs[k]
+
+
+def test_copies_are_one_row_a_task_before_lists_are_dealt(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(i, text if i % 3 else text + f" x{i} y z") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    classes = neardup._classes(docs, 0.85)
+    hot = classes.groupBy("sig").count().orderBy("count", ascending=False).first()
+    assert hot["count"] == 600 and classes.where(classes.sig == hot.sig).where("size(keys) > 0").count() == 4
