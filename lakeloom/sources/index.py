@@ -16,7 +16,7 @@ current documents.  A search is one job.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from operator import add, or_
 
@@ -103,10 +103,16 @@ class Index:
     total_dl: int = 0
     batch: int = -1
     next: int = 0
+    #: Tables of this state that were opened: their files are listed once.
+    seen: dict = field(default_factory=dict, compare=False, repr=False)
 
     def read(self, kind: str, schema: str, numbers=None) -> DataFrame:
         """A kind of table of the segments (all that count), with `segment`."""
-        numbers = [s.number for s in self.segments] if numbers is None else numbers
+        if numbers is None:
+            key = (kind, self.segments)
+            if key not in self.seen:
+                self.seen[key] = self.read(kind, schema, [s.number for s in self.segments])
+            return self.seen[key]
         if not numbers:
             return self.spark.createDataFrame([], schema + ", segment int")
         paths = [f"{self.root}/{kind}/segment={n}" for n in numbers]
@@ -117,8 +123,11 @@ class Index:
 
     def live(self, numbers=None) -> DataFrame:
         """The rows of documents that no tombstone names."""
+        rows = self.read("documents", DOCUMENTS, numbers)
+        if not any(s.dead for s in self.segments if numbers is None or s.number in numbers):
+            return rows
         dead = self.read("dead", DEAD).select("doc_id", F.col("victim").alias("segment"))
-        return self.read("documents", DOCUMENTS, numbers).join(dead, ["doc_id", "segment"], "left_anti")
+        return rows.join(dead, ["doc_id", "segment"], "left_anti")
 
     @property
     def average(self) -> float:
