@@ -7,6 +7,7 @@ character, so words can be found in the raw buffer of an Arrow column, a whole b
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,6 +86,16 @@ def forget(table: DataFrame) -> None:
         place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the shuffle files of steps that nothing refers to any more removed.
+
+    Spark removes them when the driver's garbage is collected, which a driver with little to do hardly ever is, while the
+    executors' disks fill.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(column: str, m: int):
     """crc32 of the column as text, modulo m (null: null)."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(m))

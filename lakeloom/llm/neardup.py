@@ -38,7 +38,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffer, forget, map_arrow, mix, rolling, slices, word_bounds, word_hashes, written
+from .common import buffer, forget, map_arrow, mix, release, rolling, slices, word_bounds, word_hashes, written
 
 SHINGLE, LIMIT = 5, 0.85
 DEPTH, SKETCH = 6, 128
@@ -385,20 +385,30 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     component's.  Null doc_ids are never a component's id unless all of it are null; then kept is true.  An empty table
     gives an empty one.  Only doc_id and text are read.
     """
-    docs = docs.select("doc_id", "text")
+    docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     classes = written(_classes(docs, limit), "neardup-classes")
     lists = classes.where("n > 0").select("sig", F.explode("keys").alias("key")).repartition(F.col("key"))
     ends = lists.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key", "low")
     members = written(lists.join(ends, "key").distinct(), "neardup-lists")
+    del lists, ends
+    release(spark)
     votes = members.groupBy("sig", "low").agg(F.count("*").alias("votes"))
     leaders = votes.groupBy("sig").agg(F.max_by("low", F.struct("votes", "low")).alias("leader"))
     wanted = written(leaders, "neardup-wanted")
     sets = written(_wanted_sets(docs, wanted), "neardup-sets")
+    release(spark)
     first = written(_leader_links(sets, limit), "neardup-links")
+    release(spark)
     inside = written(_cluster_links(sets, _clusters(_open_lists(members, components(first))), limit, within=True), "neardup-inside")
+    release(spark)
     links = first.unionByName(inside)
     across = written(_cluster_links(sets, _clusters(_open_lists(members, components(links))), limit), "neardup-across")
+    forget(members)
+    forget(sets)
+    release(spark)
     labels = components(links.unionByName(across), "neardup-components")
+    for done in (wanted, first, inside, across):
+        forget(done)
     rows = classes.select("doc_id", F.col("n").alias("n_shingles"), "sig").join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = rows.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("least"))
     rows = rows.join(least, "label", "left")
