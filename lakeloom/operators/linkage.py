@@ -181,12 +181,13 @@ def FI23_session_validity(spark, d):
 
 @query("SELECT user_id, role, reason FROM (SELECT DISTINCT user_id, CASE WHEN user_id % 11 = 0 THEN 'admin' ELSE 'user' END AS role, '10.' || (user_id % 4) || '.' || (user_id // 256) || '.' || (user_id % 256) AS ip FROM events), LATERAL (SELECT CASE WHEN role = 'admin' THEN 'ADMIN_BYPASS' WHEN regexp_matches(ip, '^10\\.[01]\\.') THEN 'ALLOWLIST' ELSE 'DENIED' END AS reason)")
 def FI16_network_rule(spark, d):
-    """Membership of 10.0.0.0/15 by the address's first 15 bits; admins pass first.  Addresses are stand-ins."""
+    """Membership of 10.0.0.0/15 by the address's first 15 bits, which its first two parts hold; admins pass first.
+
+    Addresses are stand-ins, made from the user: their third part goes past 255 from user 65,536 on, as in the SQL."""
     u = table(spark, d, "events").select("user_id").distinct()
-    ip = F.concat_ws(".", F.lit("10"), F.col("user_id") % 4, F.floor(F.col("user_id") / 256), F.col("user_id") % 256)
-    part = lambda i: F.element_at(F.split(ip, r"\."), i).cast("long")
-    number = part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4)
-    within = F.shiftright(number, 17) == (10 * 16777216) >> 17
+    ip = F.concat(F.lit("10."), F.col("user_id") % 4, F.lit("."), F.floor(F.col("user_id") / 256), F.lit("."), F.col("user_id") % 256)
+    part = lambda i: F.split_part(ip, F.lit("."), F.lit(i)).cast("long")
+    within = F.shiftright(part(1) * 256 + part(2), 1) == (10 * 256) >> 1
     role = F.when(F.col("user_id") % 11 == 0, "admin").otherwise("user")
     return u.select("user_id", role.alias("role"), F.when(role == "admin", "ADMIN_BYPASS").when(within, "ALLOWLIST").otherwise("DENIED").alias("reason"))
 
