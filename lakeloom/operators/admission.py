@@ -2,28 +2,29 @@
 
 In the order of time each request is admitted or gets the reason of the first rule that it breaks, and only admitted ones
 count for later requests.  A subject's rules are a fold along its requests.  The rules for all would make one long fold of
-everything; instead their two numbers, how many are queued and how many were admitted today, are taken from the decisions
-of a round before:
+everything; instead a day starts from the decisions of a round before:
 
-The first round's decisions are those of each subject's own rules alone.
+The first decisions are those of each subject's own rules alone, a fold for each subject.
 
-1. From decisions follow, for each request, the numbers of those before it: running totals within cells of an hour, and
-   over the cells, a row an hour.
-2. From these numbers follow new decisions, a fold for each subject.
-3. Rounds end when no decision changes.  Decisions that reproduce themselves are the sequential ones: the first request
-   depends on none, and each other only on those before it.  A round settles at least the first request that was wrong, in
-   fact all up to the next one that a wrong number misleads, so rounds follow how often the common limits are reached.
+1. Requests are cut at local days.  From decisions follow, for each day, the admitted ones of earlier days that are still
+   felt in it: queued, or within the window of their subject.
+2. Each day is one fold of these and of its own requests under all rules, days beside each other.
+3. Rounds end when no decision changes; a round folds only days that feel a changed decision.  Decisions that reproduce
+   themselves are the sequential ones: the first day depends on none, and each other only on those before it.  A round settles
+   at least the first day that was wrong, so there are no more rounds than days and one, however often the common limits are
+   reached.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.functions.windows import running_total
 from lakeloom.sources.store import kept
 from lakeloom.sources.tables import table
 
@@ -52,49 +53,61 @@ class Limits:
     observe: bool = False
 
 
-def numbers(rows: DataFrame, limits: Limits) -> DataFrame:
-    """rows (s, event_id, t, w, admitted) with all_queued and all_today: how many admitted ones before are queued at t, and are
-    of its local day."""
-    one = F.col("admitted").cast("long")
-    leaving = rows.where("admitted AND w > 0").select("s", "event_id", (F.col("t") + F.col("w")).alias("t"), "w", "admitted", F.lit(0).alias("comes"))
-    both = rows.withColumn("comes", F.lit(1)).unionByName(leaving)
-    amount = F.when(F.col("w") <= 0, 0).when(F.col("comes") == 1, one).otherwise(-1).cast("long")
-    hour = F.floor(F.col("t") / HOUR)
-    queued = running_total(both, amount, hour, [F.col("t"), F.col("comes"), F.col("event_id")]).where("comes = 1").drop("comes").withColumnRenamed("before", "all_queued")
-    day = F.floor((F.col("t") + limits.offset_us) / DAY)
-    return running_total(queued, one, hour, [F.col("t"), F.col("event_id")], [day]).withColumnRenamed("before", "all_today")
+def own_rules(rows: DataFrame, limits: Limits) -> DataFrame:
+    """rows (s, event_id, t, w, cell) as each subject's own rules decide: a fold of the day below, of one subject each."""
+    return _folded(rows.withColumns({"own": F.lit(True), "earlier": F.lit(True)}).repartition("s").sortWithinPartitions("s", "t", "event_id"), limits, "s")
 
 
-def decided(rows: DataFrame, limits: Limits) -> DataFrame:
-    """rows with reason, admitted and what was admitted before (`earlier`): a fold along the requests of each subject.
+def felt(rows: DataFrame, limits: Limits, last: int) -> DataFrame:
+    """What is admitted, once for each later day (`cell`, up to `last`) in which it is queued or within its subject's window."""
+    until = F.least(F.floor((F.col("t") + F.greatest(F.col("w"), F.lit(limits.window_us)) + limits.offset_us) / DAY), F.lit(last))
+    days = F.when(until > F.col("cell"), F.sequence(F.col("cell") + 1, until))
+    return rows.where("admitted").select("s", "event_id", "t", "w", F.explode(days).alias("cell"))
 
-    Rows are dealt by subject and sorted within partitions; a subject's state is its queue, its last `window` admissions and
-    a count, which its limits bound unless all is only observed.
-    """
+
+def day_rules(rows: DataFrame, carried: DataFrame, limits: Limits, days: int) -> DataFrame:
+    """rows (s, event_id, t, w, cell, admitted) as all rules decide, each day after what is carried into it."""
+    own = rows.select("s", "event_id", "t", "w", "cell", F.lit(True).alias("own"), F.col("admitted").alias("earlier"))
+    both = own.unionByName(carried.withColumns({"own": F.lit(False), "earlier": F.lit(True)}))
+    return _folded(both.repartition(days, "cell").sortWithinPartitions("cell", "own", "t", "event_id"), limits, "cell")
+
+
+def _folded(rows: DataFrame, limits: Limits, by: str) -> DataFrame:
+    """Decisions on the rows that are a group's own, in the order they come; the others are only counted.  By "s" the rules for
+    all are left out.  State are subjects' queues, last admissions and counts of the day, and the ends of all that are queued."""
+    common = by == "cell"
 
     def run(batches):
-        last, queue, times, day, today = object(), [], [], None, 0
+        last, subjects, queued, day, all_today = object(), {}, [], None, 0
         for batch in batches:
             reasons, admitted = [], []
-            for s, t, w, all_queued, all_today in zip(*(batch.column(c).to_pylist() for c in ("s", "t", "w", "all_queued", "all_today")), strict=True):
-                if s != last:
-                    last, queue, times, day, today = s, [], [], None, 0
+            for group, s, t, w, own in zip(*(batch.column(c).to_pylist() for c in (by, "s", "t", "w", "own")), strict=True):
+                if group != last:
+                    last, subjects, queued, day, all_today = group, {}, [], None, 0
                 if day != (t + limits.offset_us) // DAY:
-                    day, today = (t + limits.offset_us) // DAY, 0
-                queue = [end for end in queue if end > t]
-                recent = len(times) == limits.window and times[0] > t - limits.window_us
-                broken = (len(queue) >= limits.queued, all_queued >= limits.all_queued, recent, today >= limits.daily, all_today >= limits.all_daily)
-                reason = next((r for r, b in zip(REASONS, broken, strict=True) if b), None)
+                    day, all_today = (t + limits.offset_us) // DAY, 0
+                queue, times, today, of = subjects.get(s, ((), (), 0, day))
+                today = today if of == day else 0
+                reason = None
+                if own:
+                    while queued and queued[0] <= t:
+                        heapq.heappop(queued)
+                    queue = tuple(end for end in queue if end > t)
+                    recent = len(times) == limits.window and times[0] > t - limits.window_us
+                    broken = (len(queue) >= limits.queued, common and len(queued) >= limits.all_queued, recent, today >= limits.daily, common and all_today >= limits.all_daily)
+                    reason = next((r for r, b in zip(REASONS, broken, strict=True) if b), None)
                 yes = reason is None or limits.observe
                 if yes:
-                    queue.append(t + w)
-                    times, today = [*times, t][-limits.window :], today + 1
+                    subjects[s] = ((*queue, t + w), (*times, t)[-limits.window :], today + 1, day)
+                    all_today += 1
+                    if common and w > 0:
+                        heapq.heappush(queued, t + w)
                 reasons.append(reason)
                 admitted.append(yes)
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("s", "event_id", "t", "w")] + [pa.array(admitted, pa.bool_()), batch.column("admitted"), pa.array(reasons, pa.string())], names=["s", "event_id", "t", "w", "admitted", "earlier", "reason"])
+            out = pa.RecordBatch.from_arrays([batch.column(c) for c in ("s", "event_id", "t", "w", "cell")] + [pa.array(admitted, pa.bool_()), batch.column("earlier"), pa.array(reasons, pa.string())], names=["s", "event_id", "t", "w", "cell", "admitted", "earlier", "reason"])
+            yield out.filter(batch.column("own"))
 
-    dealt = rows.repartition("s").sortWithinPartitions("s", "t", "event_id")
-    return dealt.mapInArrow(run, "s long, event_id long, t long, w long, admitted boolean, earlier boolean, reason string")
+    return rows.mapInArrow(run, "s long, event_id long, t long, w long, cell long, admitted boolean, earlier boolean, reason string")
 
 
 def admit(requests: DataFrame, limits: Limits, most: int = 200) -> DataFrame:
@@ -102,14 +115,33 @@ def admit(requests: DataFrame, limits: Limits, most: int = 200) -> DataFrame:
 
     Ends when a round changes nothing; if `most` rounds aren't enough that is an error, never a guess.
     """
-    rows = requests.select(*[F.col(c).cast("long").alias(c) for c in ("s", "event_id", "t", "w")], F.lit(True).alias("admitted"))
-    none = F.lit(0).cast("long")
-    rows = kept(decided(rows.withColumns({"all_queued": none, "all_today": none}), limits), "admission-own")
+    rows = requests.select(*[F.col(c).cast("long").alias(c) for c in ("s", "event_id", "t", "w")]).withColumn("cell", F.floor((F.col("t") + limits.offset_us) / DAY))
+    first = kept(own_rules(rows, limits), "admission-own")
+    days = {r.cell: first for r in first.select("cell").distinct().collect()}  # the table that holds a day's decisions
+    fold = sorted(days)
     for k in range(most):
-        rows = kept(decided(numbers(rows.select("s", "event_id", "t", "w", "admitted"), limits), limits), f"admission-{k}")
-        if limits.observe or rows.where("admitted <> earlier").isEmpty():
-            return rows.select("event_id", "admitted", "reason")
-    raise ValueError(f"decisions still change after {most} rounds")
+        if not fold:
+            break
+        rows = decisions(days)
+        after = kept(day_rules(rows.where(F.col("cell").isin(fold)), felt(rows, limits, max(days)).where(F.col("cell").isin(fold)), limits, len(fold)), f"admission-{k}")
+        days |= dict.fromkeys(fold, after)
+        # a row a day: which days feel a change
+        wrong = after.where("admitted <> earlier")
+        changed = not (limits.observe or wrong.isEmpty())
+        reached = {r.cell for r in felt(wrong.withColumn("admitted", F.lit(True)), limits, max(days)).select("cell").distinct().collect()} if changed else set()
+        fold = sorted(reached & set(days))
+    else:
+        if fold or changed:
+            raise ValueError(f"decisions still change after {most} rounds")
+    return decisions(days, first).select("event_id", "admitted", "reason")
+
+
+def decisions(days: dict[int, DataFrame], none: DataFrame | None = None) -> DataFrame:
+    """The decisions of all days, from the tables that hold them; `none` where there is no day."""
+    held: dict[int, tuple[DataFrame, list[int]]] = {}
+    for day, rows in days.items():
+        held.setdefault(id(rows), (rows, []))[1].append(day)
+    return reduce(DataFrame.unionByName, [rows.where(F.col("cell").isin(some)) for rows, some in held.values()]) if held else none
 
 
 def usual(n: int) -> Limits:

@@ -1,6 +1,8 @@
 """Small forms of what only large tables show."""
 
-from lakeloom.operators import linkage
+import random
+
+from lakeloom.operators import admission, linkage
 
 
 def events(spark, folder, rows, schema="event_id long, user_id long"):
@@ -12,3 +14,15 @@ def test_network_rule_of_users_past_two_parts(spark, tmp_path):
     """The third part of an address is past 255 from user 65,536 on; it must not reach the second."""
     got = {r.user_id: r.reason for r in linkage.FI16_network_rule(spark, events(spark, tmp_path, [(1, 5), (2, 65537), (3, 131073), (4, 131075), (5, 131078)])).collect()}
     assert got == {5: "ALLOWLIST", 65537: "ALLOWLIST", 131073: "ALLOWLIST", 131075: "DENIED", 131078: "DENIED"}
+
+
+def test_admission_rounds_follow_days_not_limits(spark):
+    """Common limits that bind all the time: before, a round settled little more than the next request."""
+    rng = random.Random(5)
+    hour = admission.HOUR
+    requests = [(rng.randint(1, 40), i, rng.randint(0, 4 * 24 * 6) * hour // 6, rng.randint(5, 40) * hour // 10) for i in range(900)]
+    limits = admission.Limits(queued=2, all_queued=3, window=6, window_us=8 * hour, daily=20, all_daily=60)
+    from tests.test_admission import plain
+
+    got = {r.event_id: (r.admitted, r.reason) for r in admission.admit(spark.createDataFrame(requests, "s long, event_id long, t long, w long"), limits, most=6).collect()}
+    assert got == plain(requests, limits)
