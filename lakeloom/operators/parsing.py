@@ -9,11 +9,13 @@ import difflib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from lakeloom.functions.likeness import alike, contained
 from lakeloom.operators.content import boilerplate_sql, without_boilerplate
 from lakeloom.sources.store import kept, new_folder
 from lakeloom.sources.tables import table
@@ -156,7 +158,8 @@ def ocr_text(words: DataFrame) -> DataFrame:
     return pages.join(laid, "page", "left").select("page", F.coalesce("laid", "plain").alias("text"))
 
 
-@query(r"""WITH w AS (SELECT conv_id * 1000 + turn AS page, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ 	-]+') AS x FROM conversations WHERE text IS NOT NULL)),
+@query(r"""WITH w AS (SELECT conv_id * 1000 + turn AS page, unnest(x) AS w, generate_subscripts(x, 1) - 1 AS i FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^ 	-
+]+') AS x FROM conversations WHERE text IS NOT NULL)),
 r AS (SELECT page, i // 3 AS n, string_agg(w, ' | ' ORDER BY i) AS t, count(*) AS cells FROM w GROUP BY ALL),
 p AS (SELECT page, 0 AS part, n, t FROM r WHERE cells = 2 UNION ALL SELECT page, 1, n, t FROM r)
 SELECT page, CASE WHEN page % 7 = 0 THEN (SELECT string_agg(w, chr(10) ORDER BY i) FROM w WHERE w.page = p.page) ELSE string_agg(t, chr(10) ORDER BY part, n) END AS text FROM p GROUP BY page""")
@@ -344,39 +347,61 @@ def SF46_suggestion(spark, d):
     return table(spark, d, "customer").select("c_custkey", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.nullif(F.col("c_mktsegment"), F.lit("")), F.lit("untitled")).alias("title"))
 
 
-@pandas_udf(T.DoubleType())
-def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Of pairs that aren't null: the matching blocks' share of a and of both, the first counting most from 0.8 on."""
-    out = pd.Series(np.nan, index=a.index)
-    for k in np.flatnonzero(a.notna() & b.notna()):
-        blocks = difflib.SequenceMatcher(None, a.iat[k], b.iat[k])
-        size = sum(m.size for m in blocks.get_matching_blocks())
-        of_a, of_both = size / len(a.iat[k]), 2 * size / (len(a.iat[k]) + len(b.iat[k]))
-        out.iat[k] = 0.8 + 0.15 * of_a + 0.05 * of_both if of_a >= 0.8 else of_both
-    return out
-
-
-def title_score(label: Column, title: Column) -> Column:
-    """1 if equal, from 0.9 on if one holds the other, else by likeness; case, spaces and marks don't count.
-
-    Only what equality, containment and length leave open goes to Python.
-    """
-    a, b = (F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]", "")) for c in (label, title))
-    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
-    decided = F.when(short == 0, 0.0).when(a == b, 1.0).when(F.contains(a, b) | F.contains(b, a), 0.9 + 0.1 * short / long).when(short < 4, 0.0)
-    return F.coalesce(decided, likeness(F.when(decided.isNull(), a), F.when(decided.isNull(), b)))
-
-
-def match_labels(labels: DataFrame, titles: DataFrame, least: float = 0.72, margin: float = 0.08) -> DataFrame:
+def match_labels(labels: DataFrame, titles: DataFrame, least: float = 0.72, margin: float = 0.08, block: int = 2048) -> DataFrame:
     """answer, label, url: the one title of the label's answer that is a clear match.
 
-    labels: answer, label; titles: answer, url, title.  A url counts with its best title; the best must reach `least` and
-    lead by `margin`.  An answer has a handful of labels and titles, so its pairs are few.
+    labels: answer, label; titles: answer, url, title.  Case, spaces and marks don't count.  A score is 1 if both are equal, from
+    0.9 on if one holds the other, else by matching blocks.  A url counts with its best title; the best must reach `least` and
+    lead by `margin`.
+
+    Different labels and titles of an answer meet in blocks of `block` each.  A first pass finds equal and contained ones; that
+    gives each label a bar, its best score less the margin, below which another title changes nothing, and settles labels that
+    have two urls near 1.  The second compares what reaches the bar.  Work is labels times titles of an answer, in tasks of one
+    size.
     """
-    scored = labels.join(titles, "answer").withColumn("score", title_score(F.col("label"), F.col("title"))).groupBy("answer", "label", "url").agg(F.max("score").alias("score"))
-    place = F.row_number().over(Window.partitionBy("answer", "label").orderBy(F.desc("score"), "url"))
-    best = scored.withColumn("place", place).where("place <= 2").groupBy("answer", "label").agg(F.max_by("url", -F.col("place")).alias("url"), F.max("score").alias("first"), F.coalesce(F.min(F.when(F.col("place") == 2, F.col("score"))), F.lit(0.0)).alias("second"), F.count("*").alias("n"))
-    return best.where((F.col("first") >= least) & ((F.col("n") == 1) | (F.col("first") - F.col("second") >= margin))).select("answer", "label", "url")
+    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]", ""))
+    named = labels.select("answer", "label", bare("label").alias("a")).where("a <> ''").distinct()
+    place = F.row_number().over(Window.partitionBy("answer", "b").orderBy("url"))
+    held = titles.select("answer", "url", bare("title").alias("b")).where("b <> ''").distinct().withColumn("place", place).where("place <= 2")  # of a title's urls a third can't be second
+    held = kept(held.groupBy("answer", "b").agg(F.min_by("url", "place").alias("u1"), F.max(F.when(F.col("place") == 2, F.col("url"))).alias("u2")), "match-titles")
+    own = kept(named.join(held.select("answer").distinct(), "answer", "left_semi").select("answer", "a").distinct(), "match-labels")
+    blocks = lambda rows, name: rows.groupBy("answer").agg(F.ceil(F.count("*") / block).alias(name))
+    sizes = blocks(own, "n_a").join(blocks(held, "n_b"), "answer")
+
+    def meet(own: DataFrame, compare) -> DataFrame:
+        left = own.join(sizes, "answer").select("answer", "a", "bar", F.pmod(F.xxhash64("a"), "n_a").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_b") - 1)).alias("j"))
+        right = held.join(sizes, "answer").select("answer", "b", "u1", "u2", F.pmod(F.xxhash64("b"), "n_b").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_a") - 1)).alias("i"))
+
+        def run(x: pa.Table, y: pa.Table) -> pa.Table:
+            a, b = x.column("a").to_pylist(), y.column("b").to_pylist()
+            urls = list(zip(y.column("u1").to_pylist(), y.column("u2").to_pylist(), strict=True))
+            best: dict[int, dict] = {}
+            for p, q, score in compare(a, b, np.array(x.column("bar"))) if a and b else ():
+                for url in urls[q][: 1 + (urls[q][1] is not None)]:
+                    mine = best.setdefault(p, {})
+                    mine[url] = max(score, mine.get(url, 0.0))
+                    if len(mine) > 2:
+                        del mine[max(mine, key=lambda u: (-mine[u], u is not None, u or ""))]
+            rows = [(a[p], url, score) for p, mine in best.items() for url, score in mine.items()]
+            answer = (x if a else y).column("answer").slice(0, 1)
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.float64()))]
+            return pa.table([pa.chunked_array(answer.chunks).take(pa.array([0] * len(rows), pa.int64())), *columns], names=["answer", "a", "url", "score"])
+
+        key = ["answer", "i", "j"]
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, f"answer {dict(own.dtypes)['answer']}, a string, url string, score double")
+
+    def two_best(scored: DataFrame) -> DataFrame:
+        of_url = scored.groupBy("answer", "a", "url").agg(F.max("score").alias("score"))
+        place = F.row_number().over(Window.partitionBy("answer", "a").orderBy(F.desc("score"), "url"))
+        second = F.coalesce(F.min(F.when(F.col("place") == 2, F.col("score"))), F.lit(0.0)).alias("second")
+        return of_url.withColumn("place", place).where("place <= 2").groupBy("answer", "a").agg(F.max_by("url", -F.col("place")).alias("url"), F.max("score").alias("first"), second, F.count("*").alias("n"))
+
+    sure = kept(meet(own.withColumn("bar", F.lit(0.0)), lambda a, b, bar: contained(a, b)), "match-contained")
+    known = own.join(two_best(sure), ["answer", "a"], "left").where(F.coalesce(F.col("second") <= 1 - margin, F.lit(True)))
+    bar = F.greatest(F.coalesce("first", F.lit(0.0)), F.lit(least)) - margin - 1e-9
+    best = two_best(sure.unionByName(meet(known.select("answer", "a", bar.alias("bar")), alike)))
+    clear = best.where((F.col("first") >= least) & ((F.col("n") == 1) | (F.col("first") - F.col("second") >= margin)))
+    return named.join(clear, ["answer", "a"]).select("answer", "label", "url")
 
 
 @query()
