@@ -8,9 +8,9 @@ a change as a whole or not at all, and a change that is applied again after a fa
 
 A phrase of three characters is a trigram, so its postings are its counts; of a longer one the documents that hold all its
 trigrams are candidates, which are verified on their texts.  Shorter phrases have no postings: they can only be required, and
-are looked up in the texts of the candidates.  Postings lie in ranges of (gram, doc_id), so a search reads the pages of
-its trigrams only, and a trigram that all documents hold has many files.  Corpus statistics cover all versions, results are
-current documents.  A search is one job.
+are looked up in the texts of the candidates.  Postings are written by the tasks that read the texts, without an exchange, in
+runs of GATHERED sorted by gram, so a search reads of each run the pages of its trigrams only, and a trigram that all documents
+hold lies in all files.  Corpus statistics cover all versions, results are current documents.  A search is one job.
 """
 
 from __future__ import annotations
@@ -26,19 +26,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import occurrences, trigrams
-from lakeloom.sources.store import listed, new_folder, remove
+from lakeloom.sources.store import kept, listed, new_folder, remove
 from lakeloom.sources.tables import excluded, versions
 
 SHIFT = 21
 #: So many segments of about one size are merged.
 FAN = 4
-#: Postings that a task gathers before it sends them on.
+#: Postings that a task gathers and sorts before it sends them on: a run of a file.
 GATHERED = 1 << 20
 
 POSTINGS = "gram long, doc_id long, t int, b int"
 DOCUMENTS = "doc_id long, published date, current boolean, dl int, at int"
 DEAD = "doc_id long, victim int, dl int"
 TEXTS = "doc_id long, title string, body string, published date, current boolean, deleted boolean"
+CHANGE = ("title", "body", "published", "current", "deleted")
 MANIFEST = "segment int, n long, dead long, documents long, total_dl long, batch long, next int"
 
 
@@ -54,27 +55,31 @@ def grams_of(low: str) -> np.ndarray:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """gram, doc_id, t, b: how often each trigram stands in title and body; docs has doc_id, title, body."""
+    """gram, doc_id, t, b: how often each trigram stands in title and body, in sorted runs; docs has doc_id, title, body."""
 
     def sent(out):
-        g, d, n_t, n_b = (np.concatenate(x) for x in zip(*out, strict=True))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        order = np.argsort(columns[0], kind="stable")
+        g, d, n_t, n_b = (c[order] for c in columns)
         return pa.RecordBatch.from_arrays([pa.array(g), pa.array(d, pa.int64()), pa.array(n_t, pa.int32()), pa.array(n_b, pa.int32())], names=["gram", "doc_id", "t", "b"])
 
     def run(batches):
+        out, gathered = [], 0
         for batch in batches:
-            out, gathered = [], 0
             for k in range(batch.num_rows):
                 i, title, body = (batch.column(c)[k].as_py() for c in range(3))
                 t, b = grams_of(title or ""), grams_of(body or "")
-                every, at = np.unique(np.concatenate([t, b]), return_inverse=True)
-                n_t = np.bincount(at[: len(t)], minlength=len(every))
-                out.append((every, np.full(len(every), i), n_t, np.bincount(at, minlength=len(every)) - n_t))
+                every, n = np.unique(np.concatenate([t, b]), return_counts=True)
+                n_t = np.zeros(len(every), np.int64)
+                own, of_title = np.unique(t, return_counts=True)
+                n_t[np.searchsorted(every, own)] = of_title
+                out.append((every, np.full(len(every), i), n_t, n - n_t))
                 gathered += len(every)
                 if gathered > GATHERED:
                     yield sent(out)
                     out, gathered = [], 0
-            if out:
-                yield sent(out)
+        if out:
+            yield sent(out)
 
     return docs.select("doc_id", F.lower("title"), F.lower("body")).mapInArrow(run, POSTINGS)
 
@@ -152,10 +157,6 @@ def opened(spark: SparkSession, root: str, folder: str) -> Index:
     return Index(spark, root, folder, segments, rows[0].documents, rows[0].total_dl, rows[0].batch, rows[0].next)
 
 
-def _ranged(rows: DataFrame) -> DataFrame:
-    return rows.select("gram", "doc_id", "t", "b").repartitionByRange("gram", "doc_id").sortWithinPartitions("gram", "doc_id")
-
-
 def build(spark: SparkSession, folder: str, root: str | None = None) -> Index:
     """The index of a folder's documents: one segment, whose texts stay where they are."""
     index = Index(spark, root or new_folder(spark, "index"), folder)
@@ -163,12 +164,24 @@ def build(spark: SparkSession, folder: str, root: str | None = None) -> Index:
     bad = excluded(spark, folder).withColumn("excluded", F.lit(True))
     current = F.coalesce(F.col("lang").isin("en", "fr"), F.lit(False)) & F.col("excluded").isNull()
     index.write(v.join(bad, "doc_id", "left").select("doc_id", "published", current.alias("current"), length().alias("dl"), F.lit(None).cast("int").alias("at")), "documents", 0)
-    index.write(_ranged(postings(v)), "postings", 0)
+    index.write(postings(v), "postings", 0)
     index.write(spark.createDataFrame([], DEAD), "dead", 0)
     n, total = index.read("documents", DOCUMENTS, [0]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
     return replace(index, segments=(Segment(0, n),), documents=n, total_dl=total, next=1).commit(0)
 
 
+def newest(changes: DataFrame) -> DataFrame:
+    """Of each document the change of greatest `seq`, told by keys, so no texts are grouped but where several have it."""
+    counted = changes.groupBy("doc_id", "seq").agg(F.count("*").alias("n"))
+    keys = kept(counted.groupBy("doc_id").agg(F.max("seq").alias("seq"), F.max_by("n", "seq").alias("n")), "newest-changes")
+    alone = changes.join(keys.where("n = 1").select("doc_id", "seq"), ["doc_id", "seq"], "left_semi").select("doc_id", *CHANGE)
+    twice = keys.where("n > 1 OR seq IS NULL").select("doc_id")
+    if twice.isEmpty():
+        return alone
+    held = F.max_by(F.struct(*CHANGE), "seq").alias("x")
+    return alone.unionByName(changes.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(held).select("doc_id", "x.*"))
+
+
 def apply(index: Index, changes: DataFrame, batch: int | None = None) -> Index:
     """The index after a batch of changes: doc_id, title, body, published, current, deleted, seq.
 
@@ -178,12 +191,11 @@ def apply(index: Index, changes: DataFrame, batch: int | None = None) -> Index:
     if batch is not None and batch <= index.batch:
         return index
     number = index.next
-    newest = F.max_by(F.struct("title", "body", "published", "current", "deleted"), "seq").alias("x")
-    index.write(changes.where("doc_id IS NOT NULL").groupBy("doc_id").agg(newest).select("doc_id", "x.*"), "texts", number)
+    index.write(newest(changes.where("doc_id IS NOT NULL")), "texts", number)
     texts = index.read("texts", TEXTS, [number])
     fresh = texts.where("NOT deleted")
     index.write(fresh.select("doc_id", "published", "current", length().alias("dl"), F.lit(number).alias("at")), "documents", number)
-    index.write(_ranged(postings(fresh)), "postings", number)
+    index.write(postings(fresh), "postings", number)
     replaced = index.live().join(texts.select("doc_id"), "doc_id", "left_semi")
     index.write(replaced.select("doc_id", F.col("segment").alias("victim"), "dl"), "dead", number)
     came = index.read("documents", DOCUMENTS, [number]).agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
@@ -214,7 +226,7 @@ def merged(index: Index) -> Index:
         live = index.live(numbers)
         index.write(live.select("doc_id", "published", "current", "dl", "at"), "documents", number)
         held = index.read("postings", POSTINGS, numbers).join(live.select("doc_id", "segment"), ["doc_id", "segment"], "left_semi")
-        index.write(_ranged(held), "postings", number)
+        index.write(held.select("gram", "doc_id", "t", "b").sortWithinPartitions("gram", "doc_id"), "postings", number)
         marks = index.read("dead", DEAD, numbers).where(F.col("victim").isin([s.number for s in rest]))
         index.write(marks.select("doc_id", "victim", "dl"), "dead", number)
         index = replace(index, segments=(*rest, Segment(number, sum(s.n - s.dead for s in some))), next=number + 1).commit(number)

@@ -131,3 +131,32 @@ def test_built_follows_the_files(spark, folder):
     assert retrieval.built(spark, path) is first
     spark.createDataFrame([(500, "zzz zzz", "en", "s1", 7)], "doc_id long, text string, lang string, source string, n_chars long").write.mode("append").parquet(f"{path}/documents.parquet")
     assert index.search(retrieval.built(spark, path), ("zzz",)).count() == 1
+
+
+def test_newest_change_without_grouping_texts(spark):
+    """Texts meet their keys; only documents with several changes of the greatest number are grouped."""
+    rows = [(1, "a", 1), (1, "b", 3), (1, "c", 2), (2, "d", 5), (2, "d", 5), (3, None, 1), (3, "e", 0)]
+    got = index.newest(spark.createDataFrame(rows, "doc_id long, body string, seq int").selectExpr("doc_id", "body AS title", "body", "DATE'2024-01-01' AS published", "true AS current", "false AS deleted", "seq"))
+    assert sorted((r.doc_id, r.body) for r in got.collect()) == [(1, "b"), (2, "d"), (3, None)]
+
+
+def test_postings_are_sorted_runs_without_an_exchange(spark, folder):
+    """Before, ranges of postings were sampled first, which counted all trigrams twice."""
+    path, docs = folder
+    plan = index.postings(spark.createDataFrame([(1, "ab", "xabcabc"), (2, None, "")], "doc_id long, title string, body string").coalesce(1))
+    rows = [tuple(r) for r in plan.collect()]
+    assert rows == sorted(rows) and (index.code("abc"), 1, 0, 2) in rows
+    assert not hasattr(index, "_ranged") and "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_followed_changes_keep_their_files(spark, tmp_path, monkeypatch):
+    """A set of changes is one micro-batch of several files; before, one task wrote and read all of it."""
+    from lakeloom.operators import retrieval
+
+    roots = []
+    monkeypatch.setattr(retrieval, "new_folder", lambda spark, name: roots.append(f"{tmp_path}/{name}") or roots[-1])
+    many = [b.repartition(3) for b in retrieval.changes(spark, "/root/testdata/sf0.001")]
+    monkeypatch.setattr(retrieval, "changes", lambda spark, d: many)
+    assert retrieval.ST9_followed_search(spark, "/root/testdata/sf0.001").count() == 32
+    assert len(list((tmp_path / "changes" / "part=0").glob("*.parquet"))) == 3
+    assert index.opened(spark, f"{tmp_path}/index", "/root/testdata/sf0.001").batch == 2
