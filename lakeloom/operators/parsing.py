@@ -127,7 +127,8 @@ def ocr_rows(words: DataFrame) -> DataFrame:
         nearest = F.array_min(F.filter(gaps, lambda g: g["gap"] <= F.greatest(F.lit(4.0), 0.65 * F.least(g["height"], w["height"]))))["at"]
         cell = lambda k: F.array(F.struct(w["x"].alias("x"), k.alias("k"), w["text"].alias("text")))
         row = lambda total, n, height, top, cells: F.struct(total.alias("sum"), n.alias("n"), height.alias("height"), top.alias("top"), cells.alias("cells"))
-        grown = F.transform(rows, lambda r, k: F.when(k == nearest, row(r["sum"] + w["centre"], r["n"] + 1, F.greatest(r["height"], w["height"]), F.least(r["top"], w["top"]), F.concat(r["cells"], cell(r["n"])))).otherwise(r))
+        last = F.transform(F.slice(rows, skipped + 1, F.lit(8)), lambda r, k: F.when(skipped + k == nearest, row(r["sum"] + w["centre"], r["n"] + 1, F.greatest(r["height"], w["height"]), F.least(r["top"], w["top"]), F.concat(r["cells"], cell(r["n"])))).otherwise(r))
+        grown = F.concat(F.slice(rows, F.lit(1), skipped), last)  # rows before stay as they are
         return F.when(nearest.isNotNull(), grown).otherwise(F.concat(rows, F.array(row(w["centre"], F.lit(1), w["height"], w["top"], cell(F.lit(0))))))
 
     rows = pages.select("page", F.aggregate("words", F.array().cast(kind), joined).alias("rows"))
@@ -143,7 +144,7 @@ def ocr_text(words: DataFrame) -> DataFrame:
     value, stand once more before all rows.  Other pages are their lines, each its words without blanks.  Words without text
     don't count; of a line with boxes only words that have one do.
     """
-    said = words.where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    said = words.where(F.trim(F.coalesce("text", F.lit(""))) != "").repartition("page")  # all that follows goes by page
     boxed = F.col("x").isNotNull() & F.col("y").isNotNull() & F.col("width").isNotNull() & F.col("height").isNotNull()
     joined = lambda order, test: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(test, F.struct(F.col(order).alias("o"), F.col("k").alias("k"), F.trim("text").alias("text"))))), lambda w: w["text"]), "")
     lines = said.groupBy("page", "line").agg(
