@@ -642,9 +642,10 @@ def holders(spark, d) -> DataFrame:
     first = F.xxhash64(F.array_join(F.slice("words", 2, ANCHOR), " "))
     long = items.where(F.size("words") >= ANCHOR + 2).select("item_id", "passage", first.alias("anchor"))
     runs = docs.select("doc_id", F.explode(F.array_distinct(F.transform(runs_of(F.split("text", r"\s+"), ANCHOR), lambda x: F.xxhash64(x)))).alias("anchor"))
-    met = runs.join(long, "anchor").select("doc_id", "item_id", "passage").join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    met = kept(runs.join(long.select("item_id", "anchor"), "anchor").select("doc_id", "item_id"), "met-passages")  # few, so texts aren't sorted to meet them
+    met = met.join(items.select("item_id", "passage"), "item_id").join(docs, "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
     short = items.where(F.size("words") < ANCHOR + 2).select("item_id", "passage")
-    return met.union(docs.join(short, F.contains("text", "passage")).select("item_id", "doc_id"))
+    return kept(met.union(docs.join(short, F.contains("text", "passage")).select("item_id", "doc_id")), "passages-held")
 
 
 @query("WITH f AS (SELECT item_id, count(*) AS n_docs, min(doc_id) AS first_doc FROM documents d JOIN benchmark b ON contains(d.text, b.text) GROUP BY item_id) SELECT b.item_id, coalesce(n_docs, 0) AS n_docs, coalesce(first_doc, -1) AS first_doc FROM benchmark b LEFT JOIN f USING (item_id)")
@@ -662,7 +663,7 @@ def ranked_cases(spark, d, depth: int = 10) -> DataFrame:
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", run)
     shared = docs.join(items, "run").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
     place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("shared"), "doc_id"))
-    return shared.withColumn("rank", place).where(F.col("rank") <= depth)
+    return kept(shared.withColumn("rank", place).where(F.col("rank") <= depth), "ranked-cases")
 
 
 def _runs_sql(name: str, key: str, source: str) -> str:
