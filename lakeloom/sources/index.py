@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions.text import occurrences, trigrams
-from lakeloom.sources.store import kept, listed, new_folder, remove
+from lakeloom.sources.store import in_small_batches, kept, listed, new_folder, remove
 from lakeloom.sources.tables import excluded, versions
 
 SHIFT = 21
@@ -81,7 +81,7 @@ def postings(docs: DataFrame) -> DataFrame:
         if out:
             yield sent(out)
 
-    return docs.select("doc_id", F.lower("title"), F.lower("body")).mapInArrow(run, POSTINGS)
+    return in_small_batches(docs).select("doc_id", F.lower("title"), F.lower("body")).mapInArrow(run, POSTINGS)
 
 
 def length() -> Column:

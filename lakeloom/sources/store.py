@@ -9,6 +9,17 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What one Arrow batch of a Python task holds at most; settings of the session.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def in_small_batches(rows: DataFrame) -> DataFrame:
+    """rows, whose texts go to Python in batches of bounded bytes, so a worker's memory doesn't follow their number."""
+    for name, value in BATCH.items():
+        rows.sparkSession.conf.set(name, value)
+    return rows
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; only on one machine, where it is unset, a temporary folder."""
     sc = spark.sparkContext
