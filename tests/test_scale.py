@@ -1,10 +1,11 @@
 """Small forms of what only large tables show."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from lakeloom.operators import admission, evidence, indexing, linkage
+from lakeloom.operators import admission, evidence, indexing, linkage, parsing, retrieval
 
 
 def events(spark, folder, rows, schema="event_id long, user_id long"):
@@ -50,3 +51,15 @@ def test_ascii_texts_stay_out_of_python_and_batches_are_bounded(spark):
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     indexing.SF1_normalize_text(spark, "/root/testdata/sf0.001")
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "2000"
+
+
+def test_facts_and_passages_are_computed_once(spark):
+    """What the diff and the report are taken from is a table: no pattern of facts, no text is left in their plans."""
+    d = "/root/testdata/sf0.001"
+    assert "办理结束" not in plan_of(indexing.RT14_entity_diff(spark, d))
+    assert "text" not in plan_of(retrieval.RT17_evaluation_report(spark, d))
+
+
+def test_words_of_a_page_are_dealt_once(spark):
+    plan = plan_of(parsing.SC25_page_text(spark, "/root/testdata/sf0.001")).split("Initial Plan")[0]
+    assert set(re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, ", plan)) == {"page"} and "hashpartitioning(page#" in plan and not re.search(r"hashpartitioning\(page#\d+L?, line", plan)
