@@ -15,13 +15,17 @@
 3. A class is compared with one leader, the class that is least in most of its lists: an estimate from the bottom-k of
    the union of the two sketches drops pairs more than five standard deviations below the limit, the exact similarity
    of the full sets decides the others.  That is one pair a class, however large a group is.
-4. Lists whose members are now all connected are done.  What the other lists hold together is a cluster: its classes
-   meet in tasks of at most two blocks of BLOCK classes and SHINGLES values, which compare full sets exactly and give
-   one link for each two components that they join.  So no link is lost, and no task writes all pairs of a group.
-   Blocks hold classes of one level of size and meet those of their own and the neighbouring levels only.  Blocks of a
-   cluster's largest component don't meet each other, only the rest: a large group of near copies costs its own size
-   for each block of others.  Each block is compared within itself first; with the components that come of it, lists
-   are closed again, and pairs of blocks then have few components to join, so links stay in proportion to classes.
+4. Lists whose members are now all connected are done.  What the other lists that share their least class hold is a
+   group: two classes that share a list meet in its group, and groups are as large as what shares lists with one class,
+   whatever other lists their classes are in.  (What lists hold together over any number of steps would be a cluster whose
+   size follows the corpus, as common passages chain most classes, and its pairs the square of that.)  A group of at most
+   BLOCK classes and SHINGLES values meets in one task, each class once.  Larger groups are dealt to tasks of at most two
+   such blocks.  Tasks compare full sets exactly and give one link for each two components that they join.  So no link is
+   lost, and no task writes all pairs of a group.  Blocks hold classes of one level of size and meet those of their own
+   and the neighbouring levels only.  Blocks of a large group's largest component don't meet each other, only the rest: a
+   large group of near copies costs its own size for each block of others.  Each block is compared within itself first;
+   with the components that come of it, lists of large groups are closed again, and pairs of blocks then have few
+   components to join, so links stay in proportion to classes.
 5. Components by rounds of large and small stars, whose number doesn't depend on how long chains are.
 
 Scale: texts are never shuffled.  Lists are shuffled once as (key, class) pairs.  Full sets are built, in a second pass
@@ -49,7 +53,7 @@ SMALL = 64
 #: Tells lists of single values from those of residue classes.
 PREFIX = np.uint64(0xA0761D6478BD642F)
 BITMAP_BITS = 1 << 24
-#: Classes and values of a cluster that one side of a comparison holds.
+#: Classes and values of a group that one side of a comparison holds.
 BLOCK, SHINGLES = 1000, 1 << 19
 #: Signatures that a task remembers so as to send copies once.
 SEEN = 1 << 17
@@ -272,28 +276,32 @@ def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(labelled.join(still, "key").select("sig", "low", "label").distinct(), "neardup-open")
 
 
-def _clusters(rest: DataFrame) -> DataFrame:
-    """(sig, cluster, label): what open lists hold together."""
-    found = components(rest.where("sig <> low").select(F.col("sig").alias("a"), F.col("low").alias("b")), "neardup-clusters")
-    return found.withColumnRenamed("label", "cluster").join(rest.select("sig", "label").distinct(), "sig")
+def _large_groups(sets: DataFrame, rest: DataFrame) -> DataFrame:
+    """low of the groups that are more than one block."""
+    sized = rest.join(sets.select("sig", "n"), "sig").groupBy("low").agg(F.count("*").alias("classes"), F.sum("n").alias("values"))
+    return written(sized.where((F.col("classes") > BLOCK) | (F.col("values") > SHINGLES)).select("low"), "neardup-large")
 
 
-def _cluster_links(sets: DataFrame, clusters: DataFrame, limit: float, within: bool = False) -> DataFrame:
-    """(a, b) that join components inside clusters (sig, cluster, label); `within`: each block with itself only."""
+def _blocks(sets: DataFrame, rest: DataFrame, limit: float, within: bool) -> DataFrame:
+    """(sig, low, label, x, y): the pairs of blocks of large groups that a class takes part in; `within`: each block with itself only."""
     level = F.floor(F.log("n") / -float(np.log(limit)) + 1e-9).cast("int")
-    sized = clusters.join(sets.select("sig", "n"), "sig").withColumn("level", level)
-    by_label = sized.groupBy("cluster", "label").agg(F.count("*").alias("classes"))
-    largest = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("classes", "label")).alias("largest"))
-    sided = sized.join(largest, "cluster").withColumn("side", (F.col("label") == F.col("largest")).cast("int"))
-    parts = sided.groupBy("cluster", "level", "side").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int").alias("parts"))
+    sized = rest.join(sets.select("sig", "n"), "sig").withColumn("level", level)
+    by_label = sized.groupBy("low", "label").agg(F.count("*").alias("classes"))
+    largest = by_label.groupBy("low").agg(F.max_by("label", F.struct("classes", "label")).alias("largest"))
+    sided = sized.join(largest, "low").withColumn("side", (F.col("label") == F.col("largest")).cast("int"))
+    parts = sided.groupBy("low", "level", "side").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / SHINGLES)).cast("int").alias("parts"))
     number = lambda part: F.col("level").cast("long") * (1 << 32) + F.col("side") * (1 << 31) + part
-    own = sided.join(parts, ["cluster", "level", "side"]).select("sig", "cluster", "label", "level", "side", number(F.pmod(F.xxhash64("sig"), F.col("parts"))).alias("own"))
-    others = parts.select("cluster", "level", F.col("side").alias("other_side"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), number)).alias("other"))
+    own = sided.join(parts, ["low", "level", "side"]).select("sig", "low", "label", "level", "side", number(F.pmod(F.xxhash64("sig"), F.col("parts"))).alias("own"))
+    others = parts.select("low", "level", F.col("side").alias("other_side"), F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), number)).alias("other"))
     if within:
         met = own.where("side = 0").withColumn("other", F.col("own"))
     else:
-        met = own.withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))).join(others, ["cluster", "level"]).where("side + other_side < 2")
-    met = met.select("sig", "cluster", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        met = own.withColumn("level", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1))).join(others, ["low", "level"]).where("side + other_side < 2")
+    return met.select("sig", "low", "label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+
+def _group_links(sets: DataFrame, met: DataFrame, limit: float) -> DataFrame:
+    """(a, b) that join components among the classes that meet: met has sig, label and the key low, x, y."""
     rows = sets.select("sig", "shingles").join(met, "sig")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -303,7 +311,7 @@ def _cluster_links(sets: DataFrame, clusters: DataFrame, limit: float, within: b
         pairs = np.array(joining_links(held, group.column("label").to_pylist(), limit), np.int64).reshape(-1, 2)
         return pa.table([sigs.take(pa.array(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    return rows.groupBy("cluster", "x", "y").applyInArrow(compare, "a binary, b binary")
+    return rows.groupBy("low", "x", "y").applyInArrow(compare, "a binary, b binary")
 
 
 def forest(a: list, b: list) -> tuple[list, list]:
@@ -399,10 +407,19 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     release(spark)
     first = written(_leader_links(sets, limit), "neardup-links")
     release(spark)
-    inside = written(_cluster_links(sets, _clusters(_open_lists(members, components(first))), limit, within=True), "neardup-inside")
+    rest = _open_lists(members, components(first))
+    large = _large_groups(sets, rest)
+    whole = rest.join(large, "low", "left_anti").select("sig", "low", "label", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    blocks = _blocks(sets, rest.join(large, "low", "left_semi"), limit, within=True)
+    inside = written(_group_links(sets, whole.unionByName(blocks), limit), "neardup-inside")
+    forget(rest)
+    del rest, whole, blocks
     release(spark)
     links = first.unionByName(inside)
-    across = written(_cluster_links(sets, _clusters(_open_lists(members, components(links))), limit), "neardup-across")
+    rest = _open_lists(members.join(large, "low", "left_semi"), components(links))
+    across = written(_group_links(sets, _blocks(sets, rest, limit, within=False), limit), "neardup-across")
+    for done in (rest, large):
+        forget(done)
     forget(members)
     forget(sets)
     release(spark)
@@ -422,9 +439,15 @@ def keep_one(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     Rows of null and empty texts stay, once for each doc_id and text.  Columns of any other name pass through; of rows
     that agree in doc_id and text one is kept.  An empty table gives an empty one.
     """
-    found = near_duplicates(docs, limit).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    one = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]), "left_semi")
-    return one.dropDuplicates(["doc_id", "text"])
+    found = near_duplicates(docs, limit).where("kept").select(*_id_key()).distinct()
+    rows = docs.select(*_id_key(), F.struct("*").alias("row")).join(found, ["absent", "key"], "left_semi")
+    # rows that agree in doc_id lie in one task after the join, so texts are dealt once
+    return rows.groupBy("absent", "key", F.col("row.text").alias("text")).agg(F.first("row").alias("row")).select("row.*")
+
+
+def _id_key() -> tuple[Column, Column]:
+    """doc_id as two columns without nulls."""
+    return F.col("doc_id").isNull().alias("absent"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
 
 
 def op10_neardup(spark, sf_dir: str) -> DataFrame:

@@ -141,3 +141,33 @@ def test_copies_are_one_row_a_task_before_lists_are_dealt(spark):
     classes = neardup._classes(docs, 0.85)
     hot = classes.groupBy("sig").count().orderBy("count", ascending=False).first()
     assert hot["count"] == 600 and classes.where(classes.sig == hot.sig).where("size(keys) > 0").count() == 4
+
+
+def test_chained_lists_are_compared_in_proportion(spark, monkeypatch):
+    """Windows along one stream of words: neighbours share lists without being linked, so lists chain all of them."""
+    from pyspark.sql import GroupedData
+
+    sent, apply = [], GroupedData.applyInArrow
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: (sent.append(self._df.count()), apply(self, *a))[1])
+    rows = [(i, " ".join(f"w{k}" for k in range(10 * i, 10 * i + 64))) for i in range(300)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 0.8).collect()
+    assert len(found) == 300 and all(r.kept for r in found)
+    assert 300 < sum(sent) < 10 * 300  # rows of full sets that go to comparisons
+
+
+def test_lists_of_a_large_group_are_compared_whole(spark, monkeypatch):
+    """One group in many blocks: unlinked windows around pairs that only blocks of two parts find."""
+    import random
+
+    rng = random.Random(6)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        for k in rng.sample(range(90), 4):
+            own[k] = f"x{i}-{k}"
+        rows.append((i, " ".join(own)))
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {d: least for d, _, least, _ in brute(rows)}
