@@ -270,22 +270,22 @@ def joining_links(sets: list[np.ndarray], labels: list, limit: float) -> list[tu
 
 
 def _open_lists(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, low, label) of the members of lists that hold several components."""
+    """(sig, n, low, label) of the members of lists that hold several components."""
     labelled = members.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     still = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    return written(labelled.join(still, "key").select("sig", "low", "label").distinct(), "neardup-open")
+    return written(labelled.join(still, "key").select("sig", "n", "low", "label").distinct(), "neardup-open")
 
 
-def _large_groups(sets: DataFrame, rest: DataFrame) -> DataFrame:
+def _large_groups(rest: DataFrame) -> DataFrame:
     """low of the groups that are more than one block."""
-    sized = rest.join(sets.select("sig", "n"), "sig").groupBy("low").agg(F.count("*").alias("classes"), F.sum("n").alias("values"))
+    sized = rest.groupBy("low").agg(F.count("*").alias("classes"), F.sum("n").alias("values"))
     return written(sized.where((F.col("classes") > BLOCK) | (F.col("values") > SHINGLES)).select("low"), "neardup-large")
 
 
-def _blocks(sets: DataFrame, rest: DataFrame, limit: float, within: bool) -> DataFrame:
+def _blocks(rest: DataFrame, limit: float, within: bool) -> DataFrame:
     """(sig, low, label, x, y): the pairs of blocks of large groups that a class takes part in; `within`: each block with itself only."""
     level = F.floor(F.log("n") / -float(np.log(limit)) + 1e-9).cast("int")
-    sized = rest.join(sets.select("sig", "n"), "sig").withColumn("level", level)
+    sized = rest.withColumn("level", level)
     by_label = sized.groupBy("low", "label").agg(F.count("*").alias("classes"))
     largest = by_label.groupBy("low").agg(F.max_by("label", F.struct("classes", "label")).alias("largest"))
     sided = sized.join(largest, "low").withColumn("side", (F.col("label") == F.col("largest")).cast("int"))
@@ -395,7 +395,7 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     """
     docs, spark = docs.select("doc_id", "text"), docs.sparkSession
     classes = written(_classes(docs, limit), "neardup-classes")
-    lists = classes.where("n > 0").select("sig", F.explode("keys").alias("key")).repartition(F.col("key"))
+    lists = classes.where("n > 0").select("sig", "n", F.explode("keys").alias("key")).repartition(F.col("key"))
     ends = lists.groupBy("key").agg(F.min("sig").alias("low"), F.max("sig").alias("high")).where("low < high").select("key", "low")
     members = written(lists.join(ends, "key").distinct(), "neardup-lists")
     del lists, ends
@@ -408,16 +408,16 @@ def near_duplicates(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     first = written(_leader_links(sets, limit), "neardup-links")
     release(spark)
     rest = _open_lists(members, components(first))
-    large = _large_groups(sets, rest)
+    large = _large_groups(rest)
     whole = rest.join(large, "low", "left_anti").select("sig", "low", "label", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-    blocks = _blocks(sets, rest.join(large, "low", "left_semi"), limit, within=True)
+    blocks = _blocks(rest.join(large, "low", "left_semi"), limit, within=True)
     inside = written(_group_links(sets, whole.unionByName(blocks), limit), "neardup-inside")
     forget(rest)
     del rest, whole, blocks
     release(spark)
     links = first.unionByName(inside)
     rest = _open_lists(members.join(large, "low", "left_semi"), components(links))
-    across = written(_group_links(sets, _blocks(sets, rest, limit, within=False), limit), "neardup-across")
+    across = written(_group_links(sets, _blocks(rest, limit, within=False), limit), "neardup-across")
     for done in (rest, large):
         forget(done)
     forget(members)
